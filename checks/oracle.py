@@ -172,6 +172,13 @@ def _rule_results(group: str | None) -> str:
     )
 
 
+def _alerts(min_quality: float, max_quarantine: float) -> str:
+    return f"""SELECT batch_month, alert, input_rows, quality_rate, quarantine_rate
+  FROM (SELECT *, unnest(['quarantine_rate', 'quality_rate']) AS alert FROM quality)
+  WHERE CASE alert WHEN 'quarantine_rate' THEN quarantine_rate > {max_quarantine}
+                   ELSE quality_rate < {min_quality} END"""
+
+
 _FILLED = (
     "VendorID",
     "tpep_pickup_datetime",
@@ -313,9 +320,8 @@ _BODIES: dict[str, str] = {
     "out_of_batch_rows": """SELECT batch_month, ds[1:7] AS ds_month, count(*) AS trip_count
   FROM clean WHERE batch_month <> ds[1:7] GROUP BY 1, 2""",
     "quality_over_time": "SELECT * FROM quality",
-    "quality_alerts": """SELECT batch_month, alert, input_rows, quality_rate, quarantine_rate
-  FROM (SELECT *, unnest(['quarantine_rate', 'quality_rate']) AS alert FROM quality)
-  WHERE CASE alert WHEN 'quarantine_rate' THEN quarantine_rate > 5 ELSE quality_rate < 95 END""",
+    "quality_alerts": _alerts(95, 5),
+    "quality_alerts_tight": _alerts(98, 2.5),
     # jobs
     "job_landing_to_raw": "SELECT * FROM quality",
     "job_raw_to_structured": _statistics("clean", "batch_month"),

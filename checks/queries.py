@@ -30,6 +30,7 @@ from zoneflow.config import (
     RAW,
     STRUCTURED,
     UNRESOLVED,
+    QualityTargets,
     months_between,
 )
 from zoneflow.operators import casts, contract, enrich, quality, remediation
@@ -444,6 +445,13 @@ def quality_alerts(spark, sf_dir):
     return monitoring.quality_alerts(quality_over_time(spark, sf_dir))
 
 
+@query
+def quality_alerts_tight(spark, sf_dir):
+    """The same with targets that many a month misses."""
+    targets = QualityTargets(min_quality=98.0, max_quarantine=2.5)
+    return monitoring.quality_alerts(quality_over_time(spark, sf_dir), targets)
+
+
 # --- jobs ----------------------------------------------------------------------------
 
 

@@ -49,10 +49,13 @@ REQUIRED_COLUMNS: tuple[str, ...] = (
 )
 OPTIONAL_COLUMNS: tuple[str, ...] = ("congestion_surcharge", "airport_fee")
 
+# What the structured zone is made from; a raw batch must hold all of it.
+STRUCTURED_COLUMNS = tuple(name for name in TRIP_TYPES if name not in OPTIONAL_COLUMNS)
+
 TEXT_FORMATS = ("csv", "json")
 FORMATS = ("parquet", *TEXT_FORMATS)
 
-_MONTH = re.compile(r"\d{4}-(0[1-9]|1[0-2])")
+MONTH = re.compile(r"\d{4}-(0[1-9]|1[0-2])")
 
 
 @dataclass(frozen=True)
@@ -79,7 +82,7 @@ class QualityTargets:
 
 def split_month(month: str) -> tuple[str, str]:
     """``'2024-01'`` → ``('2024', '01')``."""
-    if not _MONTH.fullmatch(month):
+    if not MONTH.fullmatch(month):
         raise ValueError(f"a batch month is written YYYY-MM, not {month!r}")
     year, number = month.split("-")
     return year, number

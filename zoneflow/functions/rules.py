@@ -91,8 +91,14 @@ def trip_rules(schema: T.StructType) -> tuple[Rule, ...]:
     )
 
 
+def all_hold(rules: Sequence[Rule]) -> Column:
+    """TRUE, FALSE or NULL; a filter on it may be pushed into the scan."""
+    return reduce(and_, (rule.holds for rule in rules))
+
+
 def is_valid(rules: Sequence[Rule]) -> Column:
-    return F.coalesce(reduce(and_, (rule.holds for rule in rules)), F.lit(False))
+    """``all_hold`` with NULL read as not valid, so that it may be negated."""
+    return F.coalesce(all_hold(rules), F.lit(False))
 
 
 def reason(rules: Sequence[Rule]) -> Column:

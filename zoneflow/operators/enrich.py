@@ -24,12 +24,13 @@ def _inside(name: str, low: float, high: float) -> Column:
 
 
 def within_limits(limits: OutlierLimits = OutlierLimits()) -> Column:
-    speed = "avg_speed_mph"
+    """A row without a speed is judged by the other limits alone."""
+    speed = _inside("avg_speed_mph", limits.min_speed, limits.max_speed)
     return (
         _inside("trip_duration_minutes", limits.min_minutes, limits.max_minutes)
         & _inside("trip_distance", limits.min_distance, limits.max_distance)
         & _inside("fare_amount", limits.min_fare, limits.max_fare)
-        & (F.col(speed).isNull() | _inside(speed, limits.min_speed, limits.max_speed))
+        & F.coalesce(speed, F.lit(True))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zoneflow.config import QualityTargets
 from zoneflow.functions.numeric import percentage
-from zoneflow.functions.rules import failed_rules, is_valid, reason, trip_rules
+from zoneflow.functions.rules import all_hold, failed_rules, is_valid, reason, trip_rules
 
 
 def tag_quality(df: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def tag_quality(df: DataFrame) -> DataFrame:
 
 
 def valid_rows(df: DataFrame) -> DataFrame:
-    return df.filter(is_valid(trip_rules(df.schema)))
+    return df.filter(all_hold(trip_rules(df.schema)))
 
 
 def rejected_rows(df: DataFrame, distinct: bool = True) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from zoneflow.config import (
     PROMOTED,
     QUARANTINE,
     RAW,
+    STRUCTURED,
+    STRUCTURED_COLUMNS,
     UNRESOLVED,
     SourceConfig,
     months_between,
@@ -58,27 +62,21 @@ class BatchReport:
         return monitoring.statistics_over_time(self.spark, self.cfg, self.months)
 
 
-def landing_to_raw(
+def _split_landing(
     spark: SparkSession,
     cfg: SourceConfig,
     months: Sequence[str],
-    run_ts: datetime | None = None,
+    run_ts: datetime | None,
     dedup: bool = False,
-) -> BatchReport:
-    """Split landed months into raw (valid rows) and quarantine (distinct rejected rows).
-
-    Raw is written straight off the scan, without a shuffle; only rejected rows are
-    shuffled. A month that lacks required columns goes to quarantine as a whole, and
-    the error is raised after the other months are done. ``dedup`` also keeps equal
-    valid rows only once.
-    """
+) -> tuple[list[list[str]], dict[str, list[str]]]:
+    """Write raw and quarantine; groups of months of one schema, and months with gaps."""
     run_ts = run_ts or datetime.now(UTC)
+    done: list[list[str]] = []
     lacking: dict[str, list[str]] = {}
-    for _, group in batches_by_schema(spark, cfg, LANDING, months):
+    for group in batches_by_schema(spark, cfg, LANDING, months):
         landed = with_trace(read_batches(spark, cfg, LANDING, group), run_ts)
         landed = canonical_names(landed, cfg.columns)
-        stale = [cfg.batch_path(z, m) for z in (PROMOTED, UNRESOLVED) for m in group]
-        storage.delete(spark, stale)
+        storage.delete(spark, [cfg.batch_path(z, m) for z in (PROMOTED, UNRESOLVED) for m in group])
         if missing := missing_columns(landed, cfg.required):
             quarantine_batches(landed, cfg, group)
             lacking.update(dict.fromkeys(group, missing))
@@ -86,8 +84,33 @@ def landing_to_raw(
         valid, rejected = split_quality(landed)
         if dedup:
             valid = valid.dropDuplicates()
-        write_batches(valid, cfg, RAW, group, gather=dedup)
-        write_batches(rejected, cfg, QUARANTINE, group, gather=True)
+        with ThreadPoolExecutor(2) as pool:
+            # Both writes at once: the small one runs in the gaps of the large one.
+            writes = [
+                pool.submit(write_batches, valid, cfg, RAW, group, gather=dedup),
+                pool.submit(write_batches, rejected, cfg, QUARANTINE, group, gather=True),
+            ]
+        for write in writes:
+            write.result()
+        done.append(group)
+    return done, lacking
+
+
+def landing_to_raw(
+    spark: SparkSession,
+    cfg: SourceConfig,
+    months: Sequence[str],
+    run_ts: datetime | None = None,
+    dedup: bool = False,
+) -> BatchReport:
+    """Split landed months into raw (valid rows) and quarantine (distinct rejected rows).
+
+    Raw is written straight off the scan, without a shuffle; only rejected rows are
+    shuffled. A month that lacks required columns goes to quarantine as a whole, and
+    the error is raised after the other months are done. ``dedup`` also keeps equal
+    valid rows only once.
+    """
+    _, lacking = _split_landing(spark, cfg, months, run_ts, dedup)
     if lacking:
         names = sorted({name for missing in lacking.values() for name in missing})
         raise SchemaContractError(names, sorted(lacking))
@@ -101,20 +124,34 @@ def quarantine_batches(df: DataFrame, cfg: SourceConfig, months: Sequence[str])
     write_batches(flagged, cfg, QUARANTINE, months, gather=False)
 
 
+def _structure_raw(
+    spark: SparkSession,
+    cfg: SourceConfig,
+    months: Sequence[str],
+    groups: Sequence[Sequence[str]],
+    mode: str,
+) -> None:
+    """Write structured from raw months, each group of which has one schema."""
+    promoted = promoted_months(spark, cfg, months)
+    scans = [(RAW, group) for group in groups]
+    scans += [(PROMOTED, group) for group in batches_by_schema(spark, cfg, PROMOTED, promoted)]
+    parts: list[DataFrame] = []
+    for zone, group in scans:
+        raw = read_batches(spark, cfg, zone, group)
+        if missing := missing_columns(raw, STRUCTURED_COLUMNS):
+            raise SchemaContractError(missing, group)
+        raw = raw.withColumn("batch_month", batch_month()).drop("year", "month")
+        parts.append(structure(raw, cfg.limits))
+    if parts:
+        clean = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        write_structured(clean, cfg, months, mode)
+
+
 def raw_to_structured(
     spark: SparkSession, cfg: SourceConfig, months: Sequence[str], mode: str = "replace"
 ) -> BatchReport:
     """Cast, enrich and clean raw months (with their promoted rows) into structured."""
-    groups = [(RAW, g) for _, g in batches_by_schema(spark, cfg, RAW, months)]
-    promoted = promoted_months(spark, cfg, months)
-    groups += [(PROMOTED, g) for _, g in batches_by_schema(spark, cfg, PROMOTED, promoted)]
-    clean = None
-    for zone, group in groups:
-        raw = read_batches(spark, cfg, zone, group)
-        part = structure(raw.withColumn("batch_month", batch_month()).drop("year", "month"), cfg.limits)
-        clean = part if clean is None else clean.unionByName(part, allowMissingColumns=True)
-    if clean is not None:
-        write_structured(clean, cfg, months, mode)
+    _structure_raw(spark, cfg, months, batches_by_schema(spark, cfg, RAW, months), mode)
     return BatchReport(spark, cfg, tuple(months))
 
 
@@ -130,16 +167,13 @@ def run_months(
     """
     status = {row.batch_month: row.status for row in batch_status(spark, cfg, months).collect()}
     ready = [m for m in months if status[m] == READY]
-    failed = [m for m in months if status[m] == FAILED]
-    try:
-        landing_to_raw(spark, cfg, ready, run_ts)
-    except SchemaContractError as error:
-        failed += error.batches
-        ready = [m for m in ready if m not in error.batches]
-        storage.delete(spark, [cfg.batch_path("structured", m) for m in error.batches])
-    raw_to_structured(spark, cfg, ready)
-    skipped = tuple(m for m in months if status[m] == SKIP)
-    return BatchReport(spark, cfg, tuple(ready), skipped, tuple(sorted(failed)))
+    groups, lacking = _split_landing(spark, cfg, ready, run_ts)
+    storage.delete(spark, [cfg.batch_path(STRUCTURED, month) for month in lacking])
+    done = [month for month in ready if month not in lacking]
+    _structure_raw(spark, cfg, done, groups, "replace")
+    failed = [m for m in months if status[m] == FAILED or m in lacking]
+    skipped = [m for m in months if status[m] == SKIP]
+    return BatchReport(spark, cfg, tuple(done), tuple(skipped), tuple(failed))
 
 
 def run_month(

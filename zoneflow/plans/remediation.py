@@ -31,9 +31,8 @@ def promote(spark: SparkSession, cfg: SourceConfig, months: Sequence[str]) -> li
     """
     known = set(storage.batch_months(spark, cfg, QUARANTINE))
     done: list[str] = []
-    for _, group in batches_by_schema(
-        spark, cfg, QUARANTINE, [month for month in months if month in known]
-    ):
+    present = [month for month in months if month in known]
+    for group in batches_by_schema(spark, cfg, QUARANTINE, present):
         rejected = read_batches(spark, cfg, QUARANTINE, group)
         if missing_columns(rejected, cfg.required):
             continue

@@ -11,6 +11,8 @@ from zoneflow import storage
 from zoneflow.config import LANDING, SourceConfig, split_month
 
 READY, SKIP, FAILED = "ready", "skip", "failed"
+PARQUET_MARK = b"PAR1"
+EMPTY_FILE_BYTES = 256 * 1024
 MANIFEST = (
     "date_param string, source_file string, file_size_bytes bigint, ingestion_timestamp timestamp"
 )
@@ -69,22 +71,47 @@ def _readable_rows(spark: SparkSession, cfg: SourceConfig, months: Sequence[str]
     return rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _sound_empty_files(
+    spark: SparkSession, cfg: SourceConfig, months: Sequence[str]
+) -> DataFrame:
+    """Small landed files that may well hold no row; larger ones never should.
+
+    An empty Parquet file still ends in the format's mark, a broken one does not.
+    Only small files are opened for it.
+    """
+    paths = _landed_paths(spark, cfg, months)
+    if not paths:
+        return spark.createDataFrame([], "source_file string")
+    small = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(paths)
+        .filter(F.col("length") <= EMPTY_FILE_BYTES)
+    )
+    if cfg.fmt == "parquet":
+        small = small.filter(F.substring("content", -len(PARQUET_MARK), len(PARQUET_MARK)) == F.lit(PARQUET_MARK))
+    return small.select(F.col("_metadata.file_path").alias("source_file"))
+
+
 def batch_status(spark: SparkSession, cfg: SourceConfig, months: Sequence[str]) -> DataFrame:
     """``ready``, ``skip`` or ``failed`` for every wanted month.
 
-    A month nothing has landed for is skipped. A month with a file that yields no
-    row, because it is broken or empty, has failed: it is not a month without data.
+    A month nothing has landed for is skipped. A month with a file that cannot be
+    opened has failed: that is not a month without data.
     """
     for month in months:
         split_month(month)
     wanted = spark.createDataFrame([(month,) for month in months], "batch_month string")
-    files = landing_manifest(spark, cfg, months).join(
-        _readable_rows(spark, cfg, months), "source_file", "left"
+    sound = _sound_empty_files(spark, cfg, months).withColumn("sound", F.lit(True))
+    files = (
+        landing_manifest(spark, cfg, months)
+        .join(_readable_rows(spark, cfg, months), "source_file", "left")
+        .join(sound, "source_file", "left")
     )
     landed = files.groupBy(F.col("date_param").alias("batch_month")).agg(
         F.count(F.lit(1)).alias("files"),
         F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-        F.count_if(F.col("rows").isNull()).alias("unreadable"),
+        F.count_if(F.col("rows").isNull() & F.col("sound").isNull()).alias("unreadable"),
     )
     return wanted.join(landed, "batch_month", "left").select(
         "batch_month",

@@ -12,23 +12,26 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from zoneflow import storage
 from zoneflow.config import STRUCTURED, SourceConfig
+from zoneflow.sources.zones import path_part
 
 BATCH_KEYS = ("year", "month")
 STRUCTURED_KEYS = ("batch_month", "ds")
-EMPTY_WRITERS = 8
+DAYS_PER_MONTH = 31
 
 
-def size_for_write(df: DataFrame, *keys: str) -> DataFrame:
+def size_for_write(df: DataFrame, *keys: str, directories: int = 1) -> DataFrame:
     """Bring the rows of a partition directory together, in files of even size.
 
     A rebalance, unlike ``repartition``, splits a directory that outgrows the
-    advisory partition size over several tasks and merges small ones into one.
+    advisory partition size over several tasks and merges small ones into one. More
+    shuffle partitions than directories would stay empty, so their number follows
+    the directories, not the bytes, beyond the session's own setting.
     """
-    return df.hint("rebalance", *keys)
+    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), directories)
+    return df.hint("rebalance", partitions, *keys)
 
 
 def write_batches(
@@ -41,21 +44,25 @@ def write_batches(
     first; leave it out where the scan already delivers month by month.
     """
     spark = df.sparkSession
-    paths = {month: cfg.batch_path(zone, month) for month in months}
-    storage.delete(spark, paths.values())
+    if len(months) == 1:
+        # One directory: no path columns, hence neither a shuffle nor a sort by them.
+        single = df.drop(*BATCH_KEYS).write.mode("overwrite")
+        single.option("maxRecordsPerFile", cfg.rows_per_file).parquet(cfg.batch_path(zone, *months))
+        return
+    paths = [cfg.batch_path(zone, month) for month in months]
+    storage.delete(spark, paths)
     if gather:
-        df = size_for_write(df, *BATCH_KEYS)
+        df = size_for_write(df, *BATCH_KEYS, directories=len(months))
     (
-        df.withColumns({"year": F.lpad(F.col("year").cast("string"), 4, "0"),
-                        "month": F.lpad(F.col("month").cast("string"), 2, "0")})
+        df.withColumns({"year": path_part("year", 4), "month": path_part("month", 2)})
         .write.mode("append")
         .option("maxRecordsPerFile", cfg.rows_per_file)
         .partitionBy(*BATCH_KEYS)
         .parquet(cfg.zone_root(zone))
     )
     no_rows = df.drop(*BATCH_KEYS).schema
-    bare = [path for path in paths.values() if not storage.exists(spark, path)]
-    with ThreadPoolExecutor(EMPTY_WRITERS) as pool:
+    bare = [path for path in paths if not storage.exists(spark, path)]
+    with ThreadPoolExecutor(storage.THREADS) as pool:
         list(pool.map(lambda path: spark.createDataFrame([], no_rows).write.parquet(path), bare))
 
 
@@ -78,7 +85,7 @@ def write_structured(
             raise ValueError("replace works on whole batches: partition by batch_month")
         storage.delete(df.sparkSession, [cfg.batch_path(STRUCTURED, m) for m in months])
     (
-        size_for_write(df, *keys)
+        size_for_write(df, *keys, directories=DAYS_PER_MONTH * len(months))
         .write.mode("append")
         .option("maxRecordsPerFile", cfg.rows_per_file)
         .partitionBy(*keys)

@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,13 +27,16 @@ from zoneflow.functions.features import time_features, trip_metrics
 from zoneflow.operators.contract import canonical_names
 
 TRACE_TYPES = {"ingestion_timestamp": "timestamp", "source_file": "string"}
-SCHEMA_READERS = 8
 
 
-def batch_month() -> F.Column:
-    """``YYYY-MM`` from the path columns, whichever type they were inferred with."""
-    number = [F.col(name).cast("int") for name in ("year", "month")]
-    return F.format_string("%04d-%02d", *number)
+def path_part(name: str, digits: int) -> Column:
+    """A path column as text with its leading zeros, whichever type it was read as."""
+    return F.lpad(F.col(name).cast("string"), digits, "0")
+
+
+def batch_month() -> Column:
+    """``YYYY-MM`` from the path columns."""
+    return F.concat(path_part("year", 4), F.lit("-"), path_part("month", 2))
 
 
 def with_trace(df: DataFrame, run_ts: datetime) -> DataFrame:
@@ -111,7 +114,7 @@ def read_quarantine(
     months = storage.batch_months(spark, cfg, QUARANTINE) if months is None else months
     parts = [
         read_batches(spark, cfg, QUARANTINE, group)
-        for _, group in batches_by_schema(spark, cfg, QUARANTINE, months)
+        for group in batches_by_schema(spark, cfg, QUARANTINE, months)
     ]
     if not parts:
         raise ValueError(f"quarantine of {cfg.source} holds none of the batches asked for")
@@ -136,7 +139,7 @@ def read_structured(
 ) -> DataFrame:
     """The structured table; ``ds`` and ``batch_month`` stay text and still prune."""
     root = cfg.zone_root(STRUCTURED)
-    if not storage.exists(spark, root):
+    if not storage.has_partitions(spark, root):
         return spark.createDataFrame([], structured_schema())
     df = spark.read.option("mergeSchema", merge_schema).parquet(root)
     partitions = {"ds": F.col("ds").cast("string"), "batch_month": F.col("batch_month").cast("string")}
@@ -150,24 +153,24 @@ def trips_between(spark: SparkSession, cfg: SourceConfig, first: str, last: str)
 
 def batches_by_schema(
     spark: SparkSession, cfg: SourceConfig, zone: str, months: Sequence[str]
-) -> list[tuple[T.StructType, list[str]]]:
+) -> list[list[str]]:
     """Group months whose files have one schema, so that each group is one scan.
 
     Monthly deliveries change spelling, types and columns over the years, and one
     scan cannot mix them. Only a footer (or header line) per month is read.
     """
-    if cfg.fmt == "json" and zone == LANDING:
-        return [(read_batches(spark, cfg, zone, months).schema, list(months))] if months else []
+    if len(months) < 2 or (cfg.fmt == "json" and zone == LANDING):
+        return [list(months)] if months else []
 
-    def schema_of(month: str) -> T.StructType:
-        return read_batches(spark, cfg, zone, [month]).schema
+    def schema_of(month: str) -> str:
+        schema = read_batches(spark, cfg, zone, [month]).schema
+        return json.dumps([[f.name, f.dataType.simpleString()] for f in schema])
 
-    with ThreadPoolExecutor(SCHEMA_READERS) as pool:
+    with ThreadPoolExecutor(storage.THREADS) as pool:
         schemas = list(pool.map(schema_of, months))
-    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    groups: dict[str, list[str]] = {}
     for schema, month in zip(schemas, months, strict=True):
-        key = json.dumps([[f.name, f.dataType.simpleString()] for f in schema])
-        groups.setdefault(key, (schema, []))[1].append(month)
+        groups.setdefault(schema, []).append(month)
     return list(groups.values())
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
-from zoneflow.config import SourceConfig
+from zoneflow.config import MONTH, SourceConfig
+
+THREADS = 16
 
 
 def _open(spark: SparkSession, path: str):
@@ -21,20 +24,35 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def has_partitions(spark: SparkSession, path: str) -> bool:
+    """Whether a directory holds ``key=value`` directories, that is, any row."""
+    fs, pattern = _open(spark, f"{path}/*=*")
+    return bool(fs.globStatus(pattern))
+
+
 def delete(spark: SparkSession, paths: Iterable[str]) -> None:
-    for path in paths:
+    """Delete directories that exist, several at a time."""
+
+    def drop(path: str) -> None:
         fs, hadoop_path = _open(spark, path)
         fs.delete(hadoop_path, True)
 
+    with ThreadPoolExecutor(THREADS) as pool:
+        list(pool.map(drop, paths))
+
 
 def batch_months(spark: SparkSession, cfg: SourceConfig, zone: str) -> list[str]:
-    """Months that have a directory in a ``year=/month=`` zone."""
+    """Months that have a directory in a ``year=/month=`` zone.
+
+    Names that are no batch month, as job leftovers have, are passed over.
+    """
     fs, pattern = _open(spark, f"{cfg.zone_root(zone)}/year=*/month=*")
     found = [status.getPath() for status in fs.globStatus(pattern) or []]
-    return sorted(
+    names = (
         f"{p.getParent().getName().removeprefix('year=')}-{p.getName().removeprefix('month=')}"
         for p in found
     )
+    return sorted(name for name in names if MONTH.fullmatch(name))
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:

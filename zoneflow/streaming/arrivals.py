@@ -13,13 +13,13 @@ from zoneflow.sources.zones import batch_month
 
 
 def arrivals(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
-    """Stream of the batch months of new landing files; reads no data column."""
+    """Stream of the path columns of new landing files; reads no data column."""
     return (
         spark.readStream.format(cfg.fmt)
         .schema("_none string, year int, month int")
         .option("header", cfg.fmt == "csv")
         .load(cfg.zone_root(LANDING))
-        .select(batch_month().alias("batch_month"))
+        .select("year", "month")
     )
 
 
@@ -37,7 +37,8 @@ def ingest_stream(
     """
 
     def process(batch: DataFrame, _: int) -> None:
-        months = sorted(row.batch_month for row in batch.distinct().collect())
+        new = batch.distinct().select(batch_month().alias("batch_month"))
+        months = sorted(row.batch_month for row in new.collect())
         if months:
             run_months(batch.sparkSession, cfg, months, run_ts)
 

@@ -1,7 +1,9 @@
 """Time the jobs and reports; prints one JSON line.
 
-``BENCH_SF_DIR`` names the data, ``BENCH_CPUS`` the local cores. ``baseline`` holds
-the same two jobs written the plain way: one action per figure and per output.
+``BENCH_SF_DIR`` names the data, ``BENCH_CPUS`` the local cores. With
+``BENCH_BASELINE=1`` the line also has ``baseline``: the same two jobs written the
+plain way, with one action per figure and per output. The ``job_`` keys run over all
+monthly files at once, the ``one_month_`` keys over all trips delivered as one file.
 Every query runs twice and the second run counts.
 """
 
@@ -11,14 +13,16 @@ import json
 import os
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.lake import RUN_TS, fresh_lake, landed
+from checks.lake import RUN_TS, empty_lake, fresh_lake, land
 from checks.queries import QUERIES
+from checks.trips import derive_trips
 from zoneflow import storage
-from zoneflow.config import LANDING, QUARANTINE, RAW, STRUCTURED
+from zoneflow.config import LANDING, QUARANTINE, RAW, STRUCTURED, SourceConfig
 from zoneflow.functions.rules import reason, trip_rules
 from zoneflow.operators.enrich import enrich, remove_outliers
 from zoneflow.operators.quality import valid_rows
@@ -66,7 +70,7 @@ def consume(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def plain_landing_to_raw(spark: SparkSession, cfg) -> None:
+def plain_landing_to_raw(spark: SparkSession, cfg: SourceConfig) -> None:
     """Six actions over the landing zone, rejected rows by EXCEPT."""
     landed_rows = with_trace(read_batches(spark, cfg, LANDING), RUN_TS)
     landed_rows.count()
@@ -80,7 +84,7 @@ def plain_landing_to_raw(spark: SparkSession, cfg) -> None:
         rows.write.mode("overwrite").partitionBy("year", "month").parquet(cfg.zone_root(zone))
 
 
-def plain_raw_to_structured(spark: SparkSession, cfg) -> None:
+def plain_raw_to_structured(spark: SparkSession, cfg: SourceConfig) -> None:
     """Four actions over the raw zone, output coalesced by its row count."""
     raw = read_batches(spark, cfg, RAW).withColumn("batch_month", batch_month())
     raw.count()
@@ -99,35 +103,54 @@ def plain_raw_to_structured(spark: SparkSession, cfg) -> None:
     ).collect()
 
 
-def main() -> None:
-    spark = build()
-    landed(spark, SF_DIR)
-    times: dict[str, float] = {}
+def one_month_lake(spark: SparkSession, label: str) -> SourceConfig:
+    """All trips delivered as one month: what a single run of the jobs is made for."""
+    cfg = empty_lake(spark, label)
+    land(derive_trips(spark, SF_DIR).withColumn("batch_month", F.lit("2001-12")), cfg)
+    return cfg
 
-    cfg = fresh_lake(spark, SF_DIR, "bench")
+
+def time_jobs(spark: SparkSession, cfg: SourceConfig) -> dict[str, float]:
     months = storage.batch_months(spark, cfg, LANDING)
+    return {
+        "landing_to_raw": second_run(
+            lambda: landing_to_raw(spark, cfg, months, RUN_TS).quality().collect()
+        ),
+        "raw_to_structured": second_run(
+            lambda: raw_to_structured(spark, cfg, months).structured().collect()
+        ),
+    }
+
 
-    def to_raw() -> None:
-        landing_to_raw(spark, cfg, months, RUN_TS).quality().collect()
+def time_plain_jobs(spark: SparkSession, cfg: SourceConfig) -> dict[str, float]:
+    return {
+        "landing_to_raw": second_run(lambda: plain_landing_to_raw(spark, cfg)),
+        "raw_to_structured": second_run(lambda: plain_raw_to_structured(spark, cfg)),
+    }
 
-    def to_structured() -> None:
-        report = raw_to_structured(spark, cfg, months)
-        report.outliers().collect()
-        report.statistics().collect()
 
-    times["job_landing_to_raw"] = second_run(to_raw)
-    times["job_raw_to_structured"] = second_run(to_structured)
-    structured = read_structured(spark, cfg)
+def main() -> None:
+    spark = build()
+    cfg = fresh_lake(spark, SF_DIR, "bench")
+    month = one_month_lake(spark, "bench-month")
+    times = {
+        **{f"job_{name}": took for name, took in time_jobs(spark, cfg).items()},
+        **{f"one_month_{name}": took for name, took in time_jobs(spark, month).items()},
+    }
+    structured = read_structured(spark, month)
     for name in ("trips_by_month", "trips_by_hour"):
         times[name] = second_run(lambda name=name: reports.trip_report(name, structured).collect())
     for name in OPERATORS:
         times[name] = second_run(lambda name=name: consume(QUERIES[name](spark, SF_DIR)))
 
-    plain = fresh_lake(spark, SF_DIR, "bench-plain")
-    baseline = {
-        "job_landing_to_raw": second_run(lambda: plain_landing_to_raw(spark, plain)),
-        "job_raw_to_structured": second_run(lambda: plain_raw_to_structured(spark, plain)),
-    }
+    extra: dict[str, object] = {}
+    if os.environ.get("BENCH_BASELINE") == "1":
+        plain = fresh_lake(spark, SF_DIR, "bench-plain")
+        single = replace(empty_lake(spark, "plain-month"), landing_root=month.root)
+        extra["baseline"] = {
+            **{f"job_{name}": took for name, took in time_plain_jobs(spark, plain).items()},
+            **{f"one_month_{name}": took for name, took in time_plain_jobs(spark, single).items()},
+        }
     print(
         json.dumps(
             {
@@ -135,8 +158,8 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
-                "baseline": baseline,
                 "sf": float(os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")),
+                **extra,
             }
         )
     )

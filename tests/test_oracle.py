@@ -1,5 +1,7 @@
 """All queries against DuckDB, and the trips themselves against their known counts."""
 
+import os
+
 import pytest
 
 import __spark_entry__
@@ -10,6 +12,17 @@ from zoneflow.operators.quality import quality_metrics
 
 SF = f"{TESTDATA}/sf0.001"
 QUERIES, ORACLE = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+# Each writes thousands of day directories; test_zones has the same operators on few days.
+SLOW = {
+    "arrival_once",
+    "catalog_repair",
+    "job_raw_to_structured",
+    "remediate_promote",
+    "run_month",
+    "second_source",
+    "structured_append",
+    "structured_replace",
+}
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +36,8 @@ def test_every_query_has_an_answer():
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_same_rows(spark, con, name):
+    if name in SLOW and os.environ.get("ZONEFLOW_SLOW") != "1":
+        pytest.skip("set ZONEFLOW_SLOW=1")
     assert difference(QUERIES[name](spark, SF), con, ORACLE[name]) is None
 
 

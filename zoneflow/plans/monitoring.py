@@ -25,7 +25,7 @@ from zoneflow.config import (
 from zoneflow.functions.numeric import percentage
 from zoneflow.operators.enrich import batch_stats
 from zoneflow.operators.quality import rates
-from zoneflow.sources.zones import batch_month, read_structured
+from zoneflow.sources.zones import batch_month, batch_paths, read_structured
 
 MONTHLY = "batch_month string, rows bigint"
 
@@ -38,8 +38,8 @@ def _zone_rows(
         trips = read_structured(spark, cfg).filter(F.col("batch_month").isin(list(months)))
         return trips.groupBy("batch_month").agg(F.count(F.lit(1)).alias("rows"))
     known = set(storage.batch_months(spark, cfg, zone))
-    paths = [cfg.batch_path(zone, month) for month in months if month in known]
-    if not paths:
+    present = [month for month in months if month in known]
+    if not present:
         return spark.createDataFrame([], MONTHLY)
     fmt = cfg.fmt if zone == LANDING else "parquet"
     rows = (
@@ -47,7 +47,7 @@ def _zone_rows(
         .schema("_none string, year int, month int")
         .option("header", fmt == "csv")
         .option("basePath", cfg.zone_root(zone))
-        .load(paths)
+        .load(batch_paths(spark, cfg, zone, present))
     )
     return rows.groupBy(batch_month().alias("batch_month")).agg(F.count(F.lit(1)).alias("rows"))
 
@@ -117,19 +117,35 @@ def quality_alerts(quality: DataFrame, targets: QualityTargets = QualityTargets(
     )
 
 
-def outliers_over_time(
+def structured_over_time(
     spark: SparkSession, cfg: SourceConfig, months: Sequence[str]
 ) -> DataFrame:
-    """Per batch month: raw and promoted rows, structured rows and the share removed."""
+    """Per batch month: rows taken in, outliers removed and statistics of the rest.
+
+    Taken in are raw and promoted rows. One scan of structured, and none of its data
+    columns if only the counts are selected.
+    """
     taken_in = _zone_rows(spark, cfg, RAW, months).unionByName(
         _zone_rows(spark, cfg, PROMOTED, months)
     )
-    counts = _side_by_side(
-        {"input_rows": taken_in, "clean_rows": _zone_rows(spark, cfg, STRUCTURED, months)}
+    taken_in = taken_in.groupBy("batch_month").agg(F.sum("rows").alias("input_rows"))
+    structured = read_structured(spark, cfg).filter(F.col("batch_month").isin(list(months)))
+    clean_rows = F.coalesce("total_trips", F.lit(0))
+    removed = F.col("input_rows") - clean_rows
+    return taken_in.join(batch_stats(structured, "batch_month"), "batch_month", "left").withColumns(
+        {
+            "clean_rows": clean_rows,
+            "outliers_removed": removed,
+            "outlier_pct": percentage(removed, F.col("input_rows")),
+        }
     )
-    removed = F.col("input_rows") - F.col("clean_rows")
-    return counts.withColumns(
-        {"outliers_removed": removed, "outlier_pct": percentage(removed, F.col("input_rows"))}
+
+
+def outliers_over_time(
+    spark: SparkSession, cfg: SourceConfig, months: Sequence[str]
+) -> DataFrame:
+    return structured_over_time(spark, cfg, months).select(
+        "batch_month", "input_rows", "clean_rows", "outliers_removed", "outlier_pct"
     )
 
 

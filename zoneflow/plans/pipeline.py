@@ -57,6 +57,10 @@ class BatchReport:
         """Rows before and after outlier removal per month."""
         return monitoring.outliers_over_time(self.spark, self.cfg, self.months)
 
+    def structured(self) -> DataFrame:
+        """Outliers and statistics per month, in one scan."""
+        return monitoring.structured_over_time(self.spark, self.cfg, self.months)
+
     def statistics(self) -> DataFrame:
         """Statistics of the structured rows per month."""
         return monitoring.statistics_over_time(self.spark, self.cfg, self.months)
@@ -76,7 +80,8 @@ def _split_landing(
     for group in batches_by_schema(spark, cfg, LANDING, months):
         landed = with_trace(read_batches(spark, cfg, LANDING, group), run_ts)
         landed = canonical_names(landed, cfg.columns)
-        storage.delete(spark, [cfg.batch_path(z, m) for z in (PROMOTED, UNRESOLVED) for m in group])
+        for zone in (PROMOTED, UNRESOLVED):
+            storage.delete_batches(spark, cfg, zone, group)
         if missing := missing_columns(landed, cfg.required):
             quarantine_batches(landed, cfg, group)
             lacking.update(dict.fromkeys(group, missing))
@@ -119,7 +124,7 @@ def landing_to_raw(
 
 def quarantine_batches(df: DataFrame, cfg: SourceConfig, months: Sequence[str]) -> None:
     """Send whole months to quarantine because columns are missing."""
-    storage.delete(df.sparkSession, [cfg.batch_path(RAW, month) for month in months])
+    storage.delete_batches(df.sparkSession, cfg, RAW, months)
     flagged = df.withColumn("quarantine_reason", F.lit(MISSING_COLUMNS))
     write_batches(flagged, cfg, QUARANTINE, months, gather=False)
 

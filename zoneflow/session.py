@@ -12,8 +12,6 @@ SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
     # A task that writes many small directories is bound by files, not bytes.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
-    # Keep some directories open instead of sorting every task's rows by directory.
-    "spark.sql.maxConcurrentOutputFileWriters": "64",
     "spark.sql.parquet.compression.codec": "snappy",
 }
 

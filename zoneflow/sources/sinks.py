@@ -49,8 +49,7 @@ def write_batches(
         single = df.drop(*BATCH_KEYS).write.mode("overwrite")
         single.option("maxRecordsPerFile", cfg.rows_per_file).parquet(cfg.batch_path(zone, *months))
         return
-    paths = [cfg.batch_path(zone, month) for month in months]
-    storage.delete(spark, paths)
+    storage.delete_batches(spark, cfg, zone, months)
     if gather:
         df = size_for_write(df, *BATCH_KEYS, directories=len(months))
     (
@@ -61,7 +60,8 @@ def write_batches(
         .parquet(cfg.zone_root(zone))
     )
     no_rows = df.drop(*BATCH_KEYS).schema
-    bare = [path for path in paths if not storage.exists(spark, path)]
+    written = set(storage.batch_months(spark, cfg, zone))
+    bare = [cfg.batch_path(zone, month) for month in months if month not in written]
     with ThreadPoolExecutor(storage.THREADS) as pool:
         list(pool.map(lambda path: spark.createDataFrame([], no_rows).write.parquet(path), bare))
 

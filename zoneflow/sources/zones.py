@@ -60,6 +60,20 @@ def _landing_reader(spark: SparkSession, cfg: SourceConfig, merge_schema: bool):
     return spark.read.format("parquet").option("mergeSchema", merge_schema)
 
 
+def batch_paths(
+    spark: SparkSession, cfg: SourceConfig, zone: str, months: Sequence[str] | None
+) -> list[str]:
+    """What to read for months of a zone: their directories, or the zone as a whole.
+
+    Listing the zone once is quicker than listing each of its directories.
+    """
+    if months is None or (
+        len(months) > 1 and set(months) == set(storage.batch_months(spark, cfg, zone))
+    ):
+        return [cfg.zone_root(zone)]
+    return [cfg.batch_path(zone, month) for month in months]
+
+
 def read_batches(
     spark: SparkSession,
     cfg: SourceConfig,
@@ -76,9 +90,7 @@ def read_batches(
     reader = _landing_reader(spark, cfg, merge_schema)
     if zone != LANDING:
         reader = spark.read.format("parquet").option("mergeSchema", merge_schema)
-    root = cfg.zone_root(zone)
-    paths = [root] if months is None else [cfg.batch_path(zone, m) for m in months]
-    return reader.option("basePath", root).load(paths)
+    return reader.option("basePath", cfg.zone_root(zone)).load(batch_paths(spark, cfg, zone, months))
 
 
 def _with_batch_month(df: DataFrame) -> DataFrame:

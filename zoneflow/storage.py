@@ -55,6 +55,14 @@ def batch_months(spark: SparkSession, cfg: SourceConfig, zone: str) -> list[str]
     return sorted(name for name in names if MONTH.fullmatch(name))
 
 
+def delete_batches(
+    spark: SparkSession, cfg: SourceConfig, zone: str, months: Iterable[str]
+) -> None:
+    """Delete months of a ``year=/month=`` zone, as far as they exist."""
+    known = set(batch_months(spark, cfg, zone))
+    delete(spark, [cfg.batch_path(zone, month) for month in months if month in known])
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh directory every executor can reach, removed when the session ends.
 

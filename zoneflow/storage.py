@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -66,14 +65,12 @@ def delete_batches(
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh directory every executor can reach, removed when the session ends.
 
-    It lies in the folder the cluster names in ``spark.checkpoint.dir``. Only a
-    local session, whose executors share the driver's disk, may do without one.
+    It lies in the folder the session names in ``spark.checkpoint.dir``, else beneath
+    the warehouse, which executors share too.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="zoneflow-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or (
+        f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    )
     path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
     fs, hadoop_path = _open(spark, path)
     fs.mkdirs(hadoop_path)

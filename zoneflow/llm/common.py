@@ -82,3 +82,34 @@ def slices(texts: pd.Series, limit: int = 1 << 21) -> Iterator[list[str]]:
         size += len(text)
     if run:
         yield run
+
+
+MEMBERSHIP_WORDS = 1 << 17
+
+
+def membership_bits(keys: DataFrame, key: str) -> DataFrame:
+    """A bit set of the keys' hashes, at most ``MEMBERSHIP_WORDS`` rows of 64 bits.
+
+    It is safe to broadcast, however many keys there are: the more there are, the
+    less it rules out.
+    """
+    code = F.xxhash64(key)
+    return keys.groupBy(F.pmod(code, F.lit(MEMBERSHIP_WORDS)).cast("int").alias("_word")).agg(
+        F.bit_or(_bit(key)).alias("_bits")
+    )
+
+
+def _bit(key: str) -> Column:
+    place = F.pmod(F.shiftright(F.xxhash64(key), 32), F.lit(64)).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def might_be_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """The rows whose key is in the set, and few others."""
+    word = F.pmod(F.xxhash64(key), F.lit(MEMBERSHIP_WORDS)).cast("int")
+    return (
+        df.withColumn("_word", word)
+        .join(F.broadcast(bits), "_word")
+        .where(F.col("_bits").bitwiseAND(_bit(key)) != 0)
+        .drop("_word", "_bits")
+    )

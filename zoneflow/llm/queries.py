@@ -5,10 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from zoneflow.llm import packing
-from zoneflow.llm.common import read_table
+from zoneflow.llm import packing, quality, secrets, toxicity
+from zoneflow.llm.common import read_table, remainder
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; learned from labels outside the held-out third."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 3) == 1
+    model = toxicity.train(docs, labels.where(~held_out))
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "matches")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents; counts and digest of the base kinds."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs)
+    spans = F.col("spans")
+    base = [r.kind for r in secrets.BASE_RULES]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in base]
+    of_base = F.filter(spans, lambda s: s["kind"].isin(base))
+    digest = F.sha2(secrets.span_list(of_base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secrets.span_list(spans).alias("spans"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents; learned from labels outside the held-out fifth."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 5) == 0
+    model = quality.train(docs, labels.where(~held_out))
+    scored = quality.score_documents(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +53,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op10_best_fit_packing,)
+    f.__name__: f for f in (
+        op1_toxicity,
+        op2_secret_scan,
+        op4_quality_classifier,
+        op10_best_fit_packing,
+    )
 }
 ORACLE: dict[str, str] = {}

@@ -127,8 +127,8 @@ class Matcher:
         if not found:
             return 0.0, 0.0, 0
         times = Counter((folded[a:b], weight) for a, b, weight in found)
-        total = sum(weight * np.log2(1 + n) for (_, weight), n in times.items())
-        return float(total), float(100 * total / (len(folded.split()) + 20)), len(found)
+        total = sum(weight * damped(n) for (_, weight), n in times.items())
+        return total, float(100 * total / (len(folded.split()) + 20)), len(found)
 
     def scores(self, texts: list[str]) -> list[tuple[float, int]]:
         out = []
@@ -148,19 +148,30 @@ def entries_of(words: Iterable[str]) -> Iterator[str]:
                 yield f" {word[:k]}"
 
 
+def damped(times: int) -> float:
+    """What ``times`` matches of one entry in one text count for."""
+    return float(np.log2(1 + times))
+
+
 def choose_lexicon(
-    counts: Mapping[str, tuple[int, int, int]], toxic_words: int, clean_words: int, least: int = 5
+    counts: Mapping[str, tuple[int, float, int, float]],
+    toxic: tuple[int, int],
+    clean: tuple[int, int],
+    least: int = 5,
 ) -> dict[str, float]:
     """Weights of entries far commoner in toxic texts: log ratio of their rates.
 
-    ``counts``: toxic documents, occurrences in toxic and in clean ones.
+    ``counts``: documents and damped occurrences in toxic texts, then in clean ones.
+    ``toxic``, ``clean``: how many texts and words there are.
     """
     chosen = []
-    for entry, (docs, toxic, clean) in counts.items():
-        expected = (clean + 0.5) * toxic_words / max(clean_words, 1)
-        weight = np.log((toxic + 0.5) / expected)
-        sure = (toxic - expected) / np.sqrt(expected + 1)
-        if docs >= least and weight >= 2 and sure >= 6:
+    for entry, (docs, times, clean_docs, clean_times) in counts.items():
+        expected_docs = (clean_docs + 0.5) * toxic[0] / clean[0]
+        expected = (clean_times + 0.5) * toxic[1] / clean[1]
+        weight = np.log((times + 0.5) / expected)
+        sure_docs = (docs - expected_docs) / np.sqrt(expected_docs + 1)
+        sure = (times - expected) / np.sqrt(expected + 1)
+        if docs >= least and weight >= 1.5 and min(sure, sure_docs) >= 4:
             chosen.append((sure, entry, float(weight)))
     return {entry: weight for _, entry, weight in sorted(chosen, reverse=True)[:ENTRIES]}
 
@@ -238,57 +249,43 @@ def train(
     """
     sample = stored(labelled_sample(docs, labels, label, sample_rows, id_col, text_col), "sample")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen: Counter[str] = Counter()
-            total: Counter[str] = Counter()
-            for text in batch["text"]:
-                words = fold(text or "").split()
-                own = Counter(entries_of(words))
-                seen.update(own.keys())
-                total.update(own)
-            yield pd.DataFrame(
-                {"entry": list(total), "docs": [seen[e] for e in total], "times": list(total.values())}
-            )
+    def counter(wanted: frozenset[str] | None):
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                seen: Counter[str] = Counter()
+                total: Counter[str] = Counter()
+                for text in batch["text"]:
+                    own = Counter(entries_of(fold(text or "").split()))
+                    own = {e: n for e, n in own.items() if wanted is None or e in wanted}
+                    seen.update(own.keys())
+                    for entry, n in own.items():
+                        total[entry] += damped(n)
+                rows = [(e, n, total[e]) for e, n in seen.items()]
+                yield pd.DataFrame(rows, columns=["entry", "docs", "times"])
+
+        return count
+
+    def counted(label: int, wanted: frozenset[str] | None = None) -> DataFrame:
+        return (
+            sample.where(F.col("label") == label)
+            .mapInPandas(counter(wanted), "entry string, docs long, times double")
+            .groupBy("entry")
+            .agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
+        )
 
     toxic = (
-        sample.where("label = 1")
-        .mapInPandas(count, "entry string, docs long, times long")
-        .groupBy("entry")
-        .agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
-        .where("docs >= 5")
-        .orderBy(F.desc("docs"), "entry")
-        .limit(CANDIDATES)
-        .toPandas()
-    )
-    wanted = frozenset(toxic["entry"])
-
-    def count_wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            total: Counter[str] = Counter()
-            for text in batch["text"]:
-                total.update(e for e in entries_of(fold(text or "").split()) if e in wanted)
-            yield pd.DataFrame({"entry": list(total), "times": list(total.values())})
-
-    clean = (
-        sample.where("label = 0")
-        .mapInPandas(count_wanted, "entry string, times long")
-        .groupBy("entry")
-        .agg(F.sum("times").alias("times"))
-        .toPandas()
+        counted(1).where("docs >= 5").orderBy(F.desc("docs"), "entry").limit(CANDIDATES).toPandas()
     )
-    in_clean = dict(zip(clean["entry"], clean["times"], strict=True))
-    words = dict.fromkeys((0, 1), 0)
+    clean = counted(0, frozenset(toxic["entry"])).toPandas().set_index("entry")
+    sizes = {0: (0, 0), 1: (0, 0)}
     for row in (
         sample.select("label", F.size(F.split(F.trim("text"), r"\s+")).alias("n"))
         .groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).collect()
     ):
-        words[row["label"]] = row["n"]
-    counts = {
-        e: (int(d), int(t), int(in_clean.get(e, 0)))
-        for e, d, t in zip(toxic["entry"], toxic["docs"], toxic["times"], strict=True)
-    }
-    lexicon = choose_lexicon(counts, words[1], words[0]) if words[0] and words[1] else {}
+        sizes[row["label"]] = (row["docs"], row["n"])
+    both = toxic.set_index("entry").join(clean, rsuffix="_clean").fillna(0)
+    counts = dict(zip(both.index, both.itertuples(index=False, name=None), strict=True))
+    lexicon = choose_lexicon(counts, sizes[1], sizes[0]) if sizes[0][1] and sizes[1][1] else {}
     return _calibrated(sample, lexicon)
 
 

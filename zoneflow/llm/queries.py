@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zoneflow.llm import packing, quality, secrets, toxicity
+from zoneflow.llm import ngram_join, packing, quality, secrets, toxicity
 from zoneflow.llm.common import read_table, remainder
 
 
@@ -46,18 +47,28 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: five words, Jaccard 0.8 or more."""
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     docs = read_table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+OPERATORS = (
+    op1_toxicity,
+    op2_secret_scan,
+    op4_quality_classifier,
+    op6_ngram_jaccard_join,
+    op10_best_fit_packing,
+)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (
-        op1_toxicity,
-        op2_secret_scan,
-        op4_quality_classifier,
-        op10_best_fit_packing,
-    )
+    **{f.__name__: f for f in OPERATORS},
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zoneflow.llm import ngram_join, packing, quality, secrets, toxicity
+from zoneflow.llm import ngram_join, packing, quality, secret_scan, toxicity
 from zoneflow.llm.common import read_table, remainder, stored
 
 
@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the kind of a secret in its place; ``n_chars`` follows."""
-    cleaned = secrets.redact(secrets.find_secrets(docs)).select(docs.columns)
+    cleaned = secret_scan.redact(secret_scan.find_secrets(docs)).select(docs.columns)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned

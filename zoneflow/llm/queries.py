@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zoneflow.llm import ngram_join, packing, quality, secrets, toxicity
+from zoneflow.llm import ngram_join, packing, quality, secret_scan, toxicity, winnowing
 from zoneflow.llm.common import read_table, remainder
 
 
@@ -25,17 +25,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in all documents; counts and digest of the base kinds."""
     docs = read_table(spark, sf_dir, "documents")
-    found = secrets.find_secrets(docs)
+    found = secret_scan.find_secrets(docs)
     spans = F.col("spans")
-    base = [r.kind for r in secrets.BASE_RULES]
+    base = [r.kind for r in secret_scan.BASE_RULES]
 
     def count(kind: str) -> Column:
         return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(kind) for kind in base]
     of_base = F.filter(spans, lambda s: s["kind"].isin(base))
-    digest = F.sha2(secrets.span_list(of_base).cast("binary"), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, digest, secrets.span_list(spans).alias("spans"))
+    digest = F.sha2(secret_scan.span_list(of_base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secret_scan.span_list(spans).alias("spans"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, compared."""
+    return winnowing.compare_with_edited(read_table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: five words, Jaccard 0.8 or more."""
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ OPERATORS = (
     op1_toxicity,
     op2_secret_scan,
     op4_quality_classifier,
+    op5_winnowing,
     op6_ngram_jaccard_join,
     op10_best_fit_packing,
 )

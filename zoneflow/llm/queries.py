@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zoneflow.llm import ngram_join, packing, quality, secret_scan, toxicity, winnowing
+from zoneflow.llm import nearest, ngram_join, packing, quality, secret_scan, toxicity, winnowing
 from zoneflow.llm.common import read_table, remainder
 
 
@@ -57,6 +57,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector among all others."""
+    return nearest.search(read_table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     docs = read_table(spark, sf_dir, "documents")
@@ -69,6 +74,7 @@ OPERATORS = (
     op4_quality_classifier,
     op5_winnowing,
     op6_ngram_jaccard_join,
+    op7_nearest_neighbours,
     op10_best_fit_packing,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -9,7 +9,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zoneflow.llm import nearest, ngram_join, packing, quality, secret_scan, toxicity, winnowing
+from zoneflow.llm import (
+    chat,
+    nearest,
+    ngram_join,
+    packing,
+    quality,
+    secret_scan,
+    toxicity,
+    url_filter,
+    winnowing,
+)
 from zoneflow.llm.common import read_table, remainder
 
 
@@ -62,6 +72,17 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(read_table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5)
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of all pages' urls."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations but those that another begins with, rendered."""
+    return chat.render(read_table(spark, sf_dir, "conversations"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     docs = read_table(spark, sf_dir, "documents")
@@ -75,12 +96,14 @@ OPERATORS = (
     op5_winnowing,
     op6_ngram_jaccard_join,
     op7_nearest_neighbours,
+    op8_url_filter,
+    op9_chat_formatting,
     op10_best_fit_packing,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f.__name__: f for f in OPERATORS},
     "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_chat_formatting": chat.SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

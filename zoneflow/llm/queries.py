@@ -16,6 +16,7 @@ from zoneflow.llm import (
     packing,
     quality,
     secret_scan,
+    sentence_pieces,
     toxicity,
     url_filter,
     winnowing,
@@ -48,6 +49,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest, secret_scan.span_list(spans).alias("spans"))
 
 
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again: size, score and digest of the ids."""
+    docs = read_table(spark, sf_dir, "documents")
+    return sentence_pieces.encoding_summary(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents; learned from labels outside the held-out fifth."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
@@ -92,6 +99,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (
     op1_toxicity,
     op2_secret_scan,
+    op3_sentence_pieces,
     op4_quality_classifier,
     op5_winnowing,
     op6_ngram_jaccard_join,

@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 
 from checks.trips import derive_trips
 from zoneflow import storage
-from zoneflow.config import LANDING, SourceConfig
+from zoneflow.config import LANDING, SourceConfig, months_between
 from zoneflow.plans.pipeline import run_range
 from zoneflow.sources.sinks import size_for_write
 from zoneflow.sources.zones import read_landing
 
 SOURCE = "yellow-trips"
-FIRST, LAST = "1994-12", "2002-01"
 RUN_TS = datetime(2002, 2, 1, tzinfo=UTC)
 
 _built: dict[tuple[str, str, str], SourceConfig] = {}
@@ -64,11 +63,21 @@ def fresh_lake(spark: SparkSession, sf_dir: str, label: str) -> SourceConfig:
     return replace(empty_lake(spark, label), landing_root=landed(spark, sf_dir).root)
 
 
+def span(spark: SparkSession, cfg: SourceConfig) -> list[str]:
+    """The landed months, those between them and one on either side."""
+    landed_months = storage.batch_months(spark, cfg, LANDING)
+    (y0, m0), (y1, m1) = (map(int, m.split("-")) for m in (landed_months[0], landed_months[-1]))
+    before, after = y0 * 12 + m0 - 2, y1 * 12 + m1
+    ends = [f"{n // 12:04d}-{n % 12 + 1:02d}" for n in (before, after)]
+    return months_between(*ends)
+
+
 def full_lake(spark: SparkSession, sf_dir: str) -> SourceConfig:
     """A lake in which all months were processed; built once per session, only read."""
     key = ("full", spark.sparkContext.applicationId, sf_dir)
     if key not in _built or not storage.exists(spark, _built[key].root):
         cfg = fresh_lake(spark, sf_dir, "full")
-        run_range(spark, cfg, FIRST, LAST, RUN_TS)
+        months = span(spark, cfg)
+        run_range(spark, cfg, months[0], months[-1], RUN_TS)
         _built[key] = cfg
     return _built[key]

@@ -146,18 +146,18 @@ def _with(body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
-def _units(column: str) -> str:
-    return f"CAST(sum(CAST(floor({column} * 10000 + 0.5::DOUBLE) AS BIGINT)) AS DOUBLE) / 10000"
+def _total(column: str) -> str:
+    return f"round(CAST(sum(CAST({column} AS DECIMAL(28,10))) AS DOUBLE), 6)"
 
 
 def _mean(column: str) -> str:
-    return f"{_units(column)} / count({column})"
+    return f"round(CAST(sum(CAST({column} AS DECIMAL(28,10))) AS DOUBLE) / count({column}), 6)"
 
 
 def _statistics(table: str, keys: str = "") -> str:
     grouped = f" GROUP BY {keys}" if keys else ""
     return f"""SELECT {keys + ',' if keys else ''} count(*) AS total_trips,
-  {_units("fare_amount")} AS total_fare, {_mean("trip_distance")} AS avg_distance,
+  {_total("fare_amount")} AS total_fare, {_mean("trip_distance")} AS avg_distance,
   {_mean("trip_duration_minutes")} AS avg_duration, {_mean("avg_speed_mph")} AS avg_speed,
   {_mean("fare_per_mile")} AS avg_fare_per_mile FROM {table}{grouped}"""
 
@@ -208,12 +208,23 @@ _BODIES: dict[str, str] = {
     "raw_read": f"SELECT {TRIP_COLUMNS} FROM valid",
     "landing_trace": """SELECT batch_month, count(*) AS rows, count(*) AS traced_rows,
   CAST(1 AS BIGINT) AS run_times FROM trips GROUP BY batch_month""",
-    "landing_manifest": """SELECT DISTINCT batch_month AS date_param, TRUE AS has_files,
-  TRUE AS has_bytes FROM trips""",
+    "landing_manifest": """SELECT batch_month AS date_param, count(*) AS rows,
+  TRUE AS has_bytes FROM trips GROUP BY batch_month""",
+    "landing_mixed_files": """SELECT batch_month, count(*) AS rows,
+  count(airport_fee) FILTER (WHERE coalesce(payment_type % 2 <> 0, TRUE)) AS fees,
+  count(*) FILTER (WHERE coalesce(payment_type % 2 <> 0, TRUE)) AS notes
+  FROM trips GROUP BY batch_month""",
+    "landing_csv_reordered": f"SELECT {TRIP_COLUMNS} FROM ({_retyped('trips')})",
+    "landing_json_broken": """SELECT batch_month, count(*) + 1 AS rows, count(*) AS notes,
+  '{"VendorID": ' || batch_month AS line, 'multiple_issues' AS reason
+  FROM trips GROUP BY batch_month""",
     "batch_status": """SELECT strftime(m, '%Y-%m') AS batch_month,
-  CASE WHEN rows IS NULL THEN 'skip' ELSE 'ready' END AS status, coalesce(rows, 0) AS rows
-  FROM (SELECT unnest(generate_series(TIMESTAMP '1994-12-01', TIMESTAMP '2002-01-01',
-                                      INTERVAL 1 MONTH)) AS m)
+  CASE WHEN m = last THEN 'failed' WHEN rows IS NULL THEN 'skip' ELSE 'ready' END AS status,
+  coalesce(rows, 0) AS rows
+  FROM (SELECT unnest(generate_series(first, last, INTERVAL 1 MONTH)) AS m, last
+        FROM (SELECT CAST(min(batch_month) || '-01' AS TIMESTAMP) - INTERVAL 1 MONTH AS first,
+                     CAST(max(batch_month) || '-01' AS TIMESTAMP) + INTERVAL 1 MONTH AS last
+              FROM trips))
   LEFT JOIN (SELECT batch_month, count(*) AS rows FROM trips GROUP BY batch_month)
     ON strftime(m, '%Y-%m') = batch_month""",
     "arrival_once": """SELECT batch_month, input_rows, valid_rows,
@@ -224,12 +235,18 @@ _BODIES: dict[str, str] = {
     "raw_zone_roundtrip": f"SELECT {TRIP_COLUMNS} FROM valid",
     "quarantine_zone_roundtrip": f"{_REJECTED_ROWS.replace('FROM', ', strftime(tpep_pickup_datetime, $$%Y-%m-%d$$) AS ds FROM')}",
     "quarantine_missing_columns": """SELECT 'missing_columns' AS quarantine_reason, batch_month,
-  count(*) AS rows, CAST(0 AS BIGINT) AS raw_rows FROM trips GROUP BY batch_month""",
+  count(*) AS rows, CAST(0 AS BIGINT) AS raw_rows, TRUE AS raised FROM trips
+  GROUP BY batch_month""",
+    "quarantine_table": """SELECT quarantine_reason, count(*) AS count FROM rejected_once
+  GROUP BY quarantine_reason""",
+    "structured_added_column": """SELECT batch_month, count(*) AS rows,
+  CASE WHEN batch_month >= '1998-07' THEN count(*) ELSE 0 END AS fees FROM clean
+  GROUP BY batch_month""",
     "structured_append": "SELECT ds, 2 * count(*) AS trip_count FROM clean GROUP BY ds",
     "structured_replace": """SELECT batch_month, ds, count(*) AS trip_count FROM clean
   GROUP BY batch_month, ds""",
-    "sized_write": """SELECT batch_month, count(*) AS rows, TRUE AS within_size FROM clean
-  GROUP BY batch_month""",
+    "sized_write": """SELECT batch_month, count(*) AS rows, TRUE AS within_size,
+  count(*) > 100 AS was_split FROM clean GROUP BY batch_month""",
     "catalog_repair": """SELECT 'before' AS moment, count(*) FILTER (WHERE batch_month < '1998-07')
   AS trips FROM clean UNION ALL SELECT 'after', count(*) FROM clean""",
     "schema_drift": """SELECT 'cbd_congestion_fee' AS column_name, 'added' AS kind,
@@ -302,7 +319,7 @@ _BODIES: dict[str, str] = {
     "total_trips": "SELECT count(*) AS total_trips FROM clean",
     "trips_by_ds": "SELECT ds, count(*) AS trip_count FROM clean GROUP BY ds",
     "trips_by_month": f"""SELECT pickup_year, pickup_month, count(*) AS trip_count,
-  round({_units("fare_amount")}, 2) AS total_fare, round({_mean("trip_distance")}, 2) AS avg_distance
+  round({_total("fare_amount")}, 2) AS total_fare, round({_mean("trip_distance")}, 2) AS avg_distance
   FROM clean GROUP BY pickup_year, pickup_month""",
     "trips_by_hour": f"""SELECT pickup_hour, count(*) AS trips, {_mean("fare_amount")} AS avg_fare
   FROM clean GROUP BY pickup_hour""",
@@ -320,6 +337,7 @@ _BODIES: dict[str, str] = {
     "out_of_batch_rows": """SELECT batch_month, ds[1:7] AS ds_month, count(*) AS trip_count
   FROM clean WHERE batch_month <> ds[1:7] GROUP BY 1, 2""",
     "quality_over_time": "SELECT * FROM quality",
+    "quality_after_late_file": "SELECT * FROM quality",
     "quality_alerts": _alerts(95, 5),
     "quality_alerts_tight": _alerts(98, 2.5),
     # jobs
@@ -334,9 +352,10 @@ _BODIES: dict[str, str] = {
   JOIN (SELECT batch_month, count(*) AS clean_rows FROM clean GROUP BY 1) USING (batch_month)""",
     "second_source": _CLEAN_ROWS,
     # remediation
-    "remediate_types": f"""SELECT VendorID::DOUBLE AS VendorID, tpep_pickup_datetime,
-  tpep_dropoff_datetime, passenger_count, trip_distance, PULocationID::DOUBLE AS PULocationID,
-  DOLocationID::DOUBLE AS DOLocationID, fare_amount, batch_month,
+    "remediate_types": f"""SELECT CAST(VendorID AS INTEGER) AS VendorID, tpep_pickup_datetime,
+  tpep_dropoff_datetime, CAST(trunc(passenger_count) AS INTEGER) AS passenger_count, trip_distance,
+  CAST(PULocationID AS INTEGER) AS PULocationID, CAST(DOLocationID AS INTEGER) AS DOLocationID,
+  fare_amount, batch_month,
   CASE WHEN DOLocationID % 3 <> 0 THEN ''
        WHEN fare_amount IS NULL THEN
          CASE WHEN coalesce(tpep_pickup_datetime, tpep_dropoff_datetime) IS NULL THEN ''
@@ -360,7 +379,7 @@ _BODIES: dict[str, str] = {
 
 # Queries with whole rows, where the numbers a rejected row may lack go as doubles.
 _WHOLE_ROWS = (
-    "landing_read landing_read_csv landing_read_json raw_read raw_zone_roundtrip "
+    "landing_read landing_read_csv landing_csv_reordered landing_read_json raw_read raw_zone_roundtrip "
     "quarantine_zone_roundtrip typed_trips valid_trips invalid_trips invalid_trips_except "
     "quarantine_reason clean_trips second_source remediate_types remediate_values"
 ).split()

@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.lake import (
-    FIRST,
-    LAST,
     RUN_TS,
     empty_lake,
     fresh_lake,
     full_lake,
     land,
     landed,
+    span,
     trips,
 )
 from checks.trips import derive_trips, text_trips
@@ -25,13 +25,14 @@ from zoneflow import storage
 from zoneflow.config import (
     DROPOFF,
     LANDING,
+    MALFORMED,
     PICKUP,
     PROMOTED,
+    QUARANTINE,
     RAW,
     STRUCTURED,
     UNRESOLVED,
     QualityTargets,
-    months_between,
 )
 from zoneflow.operators import casts, contract, enrich, quality, remediation
 from zoneflow.plans import monitoring, pipeline, reports
@@ -43,8 +44,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 HALFWAY = "1998-07"
-MONTHS = months_between(FIRST, LAST)
-ROWS_PER_FILE = 1000
+ROWS_PER_FILE = 100
+LATER = RUN_TS + timedelta(days=1)
 
 
 def query(run: Query) -> Query:
@@ -76,6 +77,13 @@ def untraced(df: DataFrame) -> DataFrame:
     return df.drop("ingestion_timestamp", "source_file", "failed_rules")
 
 
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Averages and sums to a stated precision, so that any engine's result compares."""
+    return df.withColumns(
+        {f.name: F.round(f.name, digits) for f in df.schema if f.dataType == T.DoubleType()}
+    )
+
+
 def rows_by(df: DataFrame, *keys: str, name: str = "rows") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
@@ -104,14 +112,14 @@ def landing_read(spark, sf_dir):
 def landing_read_csv(spark, sf_dir):
     cfg = empty_lake(spark, "csv", "csv")
     land(derive_trips(spark, sf_dir), cfg)
-    return comparable(casts.cast_trips(zones.read_landing(spark, cfg)))
+    return comparable(casts.cast_trips(zones.read_landing(spark, cfg).drop(MALFORMED)))
 
 
 @query
 def landing_read_json(spark, sf_dir):
     cfg = empty_lake(spark, "json", "json")
     land(derive_trips(spark, sf_dir), cfg)
-    return comparable(casts.cast_trips(zones.read_landing(spark, cfg)))
+    return comparable(casts.cast_trips(zones.read_landing(spark, cfg).drop(MALFORMED)))
 
 
 @query
@@ -134,16 +142,74 @@ def landing_trace(spark, sf_dir):
 
 @query
 def landing_manifest(spark, sf_dir):
-    files = manifest.landing_manifest(spark, landed(spark, sf_dir))
-    return files.groupBy("date_param").agg(
-        (F.count("source_file") > 0).alias("has_files"),
-        (F.min("file_size_bytes") > 0).alias("has_bytes"),
+    """Rows of the listed files, by month; a file left out would be missed here."""
+    cfg = landed(spark, sf_dir)
+    files = manifest.landing_manifest(spark, cfg)
+    traced = rows_by(zones.read_landing(spark, cfg, run_ts=RUN_TS), "source_file")
+    return (
+        files.join(traced, "source_file", "left")
+        .groupBy("date_param")
+        .agg(F.sum("rows").alias("rows"), (F.min("file_size_bytes") > 0).alias("has_bytes"))
     )
 
 
 @query
 def batch_status(spark, sf_dir):
-    return manifest.batch_status(spark, landed(spark, sf_dir), MONTHS).drop("files")
+    """All landed months, one before them, and one after with a file that is none."""
+    cfg = empty_lake(spark, "status")
+    land(trips(spark, sf_dir), cfg)
+    months = span(spark, cfg)
+    rubbish = spark.createDataFrame([("rubbish rubbish PAR1",)], "value string")
+    rubbish.write.text(cfg.batch_path(LANDING, months[-1]))
+    return manifest.batch_status(spark, cfg, months).drop("files")
+
+
+@query
+def landing_mixed_files(spark, sf_dir):
+    """Files of one month that each lack a column of the other."""
+    cfg = empty_lake(spark, "mixed")
+    all_trips = trips(spark, sf_dir)
+    even = F.coalesce(F.col("payment_type") % 2 == 0, F.lit(False))
+    land(all_trips.filter(even).drop("airport_fee"), cfg)
+    land(all_trips.filter(~even).withColumn("note", F.lit("odd")), cfg)
+    return zones.read_landing(spark, cfg).groupBy("batch_month").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("airport_fee").alias("fees"),
+        F.count("note").alias("notes"),
+    )
+
+
+@query
+def landing_csv_reordered(spark, sf_dir):
+    """CSV files of one month with their columns in another order."""
+    cfg = empty_lake(spark, "reordered", "csv")
+    all_trips = derive_trips(spark, sf_dir)
+    even = F.coalesce(F.col("payment_type") % 2 == 0, F.lit(False))
+    land(all_trips.filter(even), cfg)
+    land(all_trips.filter(~even).select(*reversed(all_trips.columns)), cfg)
+    typed = casts.cast_trips(zones.read_landing(spark, cfg).drop(MALFORMED))
+    return comparable(typed.select(*trips(spark, sf_dir).columns))
+
+
+@query
+def landing_json_broken(spark, sf_dir):
+    """JSON with a key outside the contract, and a broken line for every month."""
+    cfg = empty_lake(spark, "broken", "json")
+    all_trips = derive_trips(spark, sf_dir)
+    land(all_trips.withColumn("note", F.lit("kept")), cfg)
+    broken = all_trips.select("batch_month").distinct()
+    lines = broken.select("batch_month", F.concat(F.lit('{"VendorID": '), "batch_month").alias("value"))
+    month = F.split("batch_month", "-")
+    parts = lines.select("value", month[0].alias("year"), month[1].alias("month"))
+    parts.write.mode("append").partitionBy("year", "month").text(cfg.zone_root(LANDING))
+    tagged = quality.tag_quality(zones.read_landing(spark, cfg))
+    unreadable = F.array_contains("failed_rules", "readable")
+    return tagged.groupBy("batch_month").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("note").alias("notes"),
+        F.max(F.when(unreadable, F.col(MALFORMED))).alias("line"),
+        F.max(F.when(unreadable, F.col("quarantine_reason"))).alias("reason"),
+    )
 
 
 @query
@@ -153,12 +219,16 @@ def arrival_once(spark, sf_dir):
     checkpoint = storage.scratch_dir(spark, "arrivals-checkpoint")
     all_trips = trips(spark, sf_dir)
     early = F.col("batch_month") < HALFWAY
-    for delivery in (all_trips.filter(early), all_trips.filter(~early)):
+    for delivery, moment in ((all_trips.filter(early), RUN_TS), (all_trips.filter(~early), LATER)):
         land(delivery, cfg)
-        ingest_stream(spark, cfg, checkpoint, RUN_TS).awaitTermination()
-    arrival = F.when(early, 1).otherwise(2).alias("arrival")
-    processed = monitoring.quality_over_time(spark, cfg)
-    return processed.select("batch_month", "input_rows", "valid_rows", arrival)
+        ingest_stream(spark, cfg, checkpoint, moment).awaitTermination()
+    processed = monitoring.quality_over_time(spark, cfg).select("batch_month", "input_rows", "valid_rows")
+    runs = zones.read_raw(spark, cfg).groupBy("batch_month").agg(
+        F.when(F.max("ingestion_timestamp") == F.lit(RUN_TS), 1)
+        .when(F.min("ingestion_timestamp") == F.lit(LATER), 2)
+        .alias("arrival")
+    )
+    return processed.join(runs, "batch_month", "left")
 
 
 @query
@@ -201,14 +271,16 @@ def quarantine_missing_columns(spark, sf_dir):
     cfg = empty_lake(spark, "missing")
     land(trips(spark, sf_dir).drop("fare_amount"), cfg)
     months = storage.batch_months(spark, cfg, LANDING)
+    raised: list[str] = []
     try:
         pipeline.landing_to_raw(spark, cfg, months, RUN_TS)
     except contract.SchemaContractError as error:
-        if error.batches != months:
-            raise
+        raised = error.batches
     counts = rows_by(zones.read_quarantine(spark, cfg), "quarantine_reason", "batch_month")
     raw_rows = len(storage.batch_months(spark, cfg, RAW))
-    return counts.withColumn("raw_rows", F.lit(raw_rows).cast("bigint"))
+    return counts.withColumns(
+        {"raw_rows": F.lit(raw_rows).cast("bigint"), "raised": F.col("batch_month").isin(raised)}
+    )
 
 
 @query
@@ -245,6 +317,7 @@ def sized_write(spark, sf_dir):
         .agg(
             F.sum("file_rows").alias("rows"),
             (F.max("file_rows") <= ROWS_PER_FILE).alias("within_size"),
+            (F.count("file_rows") > 1).alias("was_split"),
         )
     )
 
@@ -266,6 +339,32 @@ def catalog_repair(spark, sf_dir):
     return spark.createDataFrame([("before", unseen)], "moment string, trips bigint").union(after)
 
 
+@query
+def quarantine_table(spark, sf_dir):
+    """The quarantine by reason, through the catalog."""
+    cfg = full_lake(spark, sf_dir)
+    table = f"quarantine_{cfg.table}_{cfg.root[-12:]}"
+    sinks.register_zone(spark, table, cfg.zone_root(QUARANTINE), sinks.BATCH_KEYS)
+    return spark.sql(f"SELECT quarantine_reason, count(*) AS count FROM `{table}` GROUP BY quarantine_reason")
+
+
+@query
+def structured_added_column(spark, sf_dir):
+    """From one month on a source brings a new column; structured has it from then on."""
+    cfg = empty_lake(spark, "added")
+    all_trips = trips(spark, sf_dir)
+    early = F.col("batch_month") < HALFWAY
+    land(all_trips.filter(early), cfg)
+    land(all_trips.filter(~early).withColumn("cbd_congestion_fee", F.lit(0.75)), cfg)
+    months = storage.batch_months(spark, cfg, LANDING)
+    for part in ([m for m in months if m < HALFWAY], [m for m in months if m >= HALFWAY]):
+        pipeline.landing_to_raw(spark, cfg, part, RUN_TS)
+        pipeline.raw_to_structured(spark, cfg, part)
+    return zones.read_structured(spark, cfg).groupBy("batch_month").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("cbd_congestion_fee").alias("fees")
+    )
+
+
 @query
 def schema_drift(spark, sf_dir):
     """From one month on a source brings a new column; it never brought one of ours."""
@@ -274,9 +373,8 @@ def schema_drift(spark, sf_dir):
     early = F.col("batch_month") < HALFWAY
     land(all_trips.filter(early), cfg)
     land(all_trips.filter(~early).withColumn("cbd_congestion_fee", F.lit(0.75)), cfg)
-    merged = zones.read_batches(spark, cfg, LANDING, merge_schema=True).drop("year", "month")
-    drift = contract.schema_drift(merged)
-    return drift.filter("kind <> 'retyped'")
+    merged = zones.read_landing(spark, cfg).drop("batch_month")
+    return contract.schema_drift(merged)
 
 
 # --- projections ---------------------------------------------------------------------
@@ -413,14 +511,14 @@ def outlier_metrics(spark, sf_dir):
 
 @query
 def batch_stats(spark, sf_dir):
-    return enrich.batch_stats(clean(spark, sf_dir))
+    return rounded(enrich.batch_stats(clean(spark, sf_dir)))
 
 
 # --- reports -------------------------------------------------------------------------
 
 
 def _trip_report(name: str) -> Query:
-    return lambda spark, sf_dir: reports.trip_report(name, clean(spark, sf_dir))
+    return lambda spark, sf_dir: rounded(reports.trip_report(name, clean(spark, sf_dir)))
 
 
 for _name in reports.TRIP_REPORTS:
@@ -440,6 +538,17 @@ def quality_over_time(spark, sf_dir):
     return monitoring.quality_over_time(spark, full_lake(spark, sf_dir))
 
 
+@query
+def quality_after_late_file(spark, sf_dir):
+    """Figures of a run stay as they were when more files land after it."""
+    cfg = empty_lake(spark, "late")
+    land(trips(spark, sf_dir), cfg)
+    months = storage.batch_months(spark, cfg, LANDING)
+    report = pipeline.landing_to_raw(spark, cfg, months, RUN_TS)
+    land(trips(spark, sf_dir), cfg)
+    return report.quality()
+
+
 @query
 def quality_alerts(spark, sf_dir):
     return monitoring.quality_alerts(quality_over_time(spark, sf_dir))
@@ -467,7 +576,7 @@ def job_raw_to_structured(spark, sf_dir):
     cfg = fresh_lake(spark, sf_dir, "to-structured")
     months = storage.batch_months(spark, cfg, LANDING)
     pipeline.landing_to_raw(spark, cfg, months, RUN_TS)
-    return pipeline.raw_to_structured(spark, cfg, months).statistics()
+    return rounded(pipeline.raw_to_structured(spark, cfg, months).statistics())
 
 
 @query
@@ -482,7 +591,8 @@ def run_month(spark, sf_dir):
 @query
 def run_range(spark, sf_dir):
     """The backfill that also built the lake other queries read."""
-    return pipeline.BatchReport(spark, full_lake(spark, sf_dir), tuple(MONTHS)).outliers()
+    cfg = full_lake(spark, sf_dir)
+    return pipeline.BatchReport(spark, cfg, tuple(span(spark, cfg))).outliers()
 
 
 @query
@@ -494,7 +604,8 @@ def second_source(spark, sf_dir):
         {**{new: old for old, new in own_names.items()}, "VendorID": "vendorid"}
     )
     land(other, cfg)
-    pipeline.run_range(spark, cfg, FIRST, LAST, RUN_TS)
+    months = span(spark, cfg)
+    pipeline.run_range(spark, cfg, months[0], months[-1], RUN_TS)
     return comparable(untraced(zones.read_structured(spark, cfg)))
 
 
@@ -508,7 +619,7 @@ def _repairs_as_text(df: DataFrame) -> DataFrame:
 @query
 def remediate_types(spark, sf_dir):
     required = trips(spark, sf_dir).select(*contract.REQUIRED_COLUMNS, "batch_month")
-    return _repairs_as_text(remediation.repair_types(text_trips(required)))
+    return comparable(_repairs_as_text(remediation.repair_types(text_trips(required))))
 
 
 @query
@@ -524,7 +635,7 @@ def remediate_promote(spark, sf_dir):
     pipeline.landing_to_raw(spark, cfg, months, RUN_TS)
     for _ in range(2):
         promote(spark, cfg, months)
-    pipeline.raw_to_structured(spark, cfg, months)
+    pipeline.run_range(spark, cfg, months[0], months[-1], RUN_TS)
     return monitoring.rows_by_zone(
         spark, cfg, months, promoted_rows=PROMOTED, remaining_rows=UNRESOLVED, clean_rows=STRUCTURED
     )

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from zoneflow.__main__ import parse, run
@@ -6,7 +8,7 @@ from zoneflow.sources import zones
 
 
 def call(spark, cfg, *args):
-    run(spark, parse([*args, "--root", cfg.root, "--source", cfg.source]))
+    return run(spark, parse([*args, "--root", cfg.root, "--source", cfg.source]))
 
 
 def test_commands(spark, cfg, make, deliver, capsys):
@@ -20,14 +22,37 @@ def test_commands(spark, cfg, make, deliver, capsys):
     call(spark, cfg, "report")
     call(spark, cfg, "alerts")
     call(spark, cfg, "watch")
-    call(spark, cfg, "register")
-    assert spark.table(cfg.table).count() == 1
-    spark.sql(f"DROP TABLE {cfg.table}")
+    with pytest.raises(SystemExit, match="lasting catalog"):
+        call(spark, cfg, "register")
     printed = capsys.readouterr().out
     assert "skip" in printed and "quarantine_rate" in printed and "recovered" in printed
     assert "skipped: ('2024-02', '2024-03')" in printed
 
 
+def test_failed_months_are_the_callers_business(spark, cfg, make, deliver):
+    deliver(make({}), "2024-01")
+    deliver(make({}).drop("fare_amount"), "2024-02")
+    assert call(spark, cfg, "run", "--month", "2024-01") == 0
+    assert call(spark, cfg, "backfill", "--month", "2024-01", "--last", "2024-02") == 1
+
+
+def test_source_from_a_file(spark, cfg, make, deliver, tmp_path, capsys):
+    params = {
+        "root": cfg.root,
+        "source": cfg.source,
+        "columns": {"vendor": "VendorID"},
+        "targets": {"min_quality": 10.0, "max_quarantine": 90.0},
+    }
+    path = tmp_path / "source.json"
+    path.write_text(json.dumps(params))
+    deliver(make({}, {"passenger_count": 0.0}).withColumnRenamed("VendorID", "vendor"), "2024-01")
+    assert run(spark, parse(["run", "--config", str(path), "--month", "2024-01"])) == 0
+    capsys.readouterr()
+    run(spark, parse(["alerts", "--config", str(path), "--output", str(tmp_path / "out")]))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "alerts")).count() == 0
+    assert zones.read_structured(spark, cfg).first().VendorID == 1
+
+
 def test_month_is_needed(spark, cfg):
     with pytest.raises(SystemExit, match="needs --month"):
         call(spark, cfg, "run")

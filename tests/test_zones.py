@@ -1,3 +1,5 @@
+import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import datetime
 
@@ -5,12 +7,23 @@ import pytest
 from pyspark.sql import functions as F
 
 from zoneflow import storage
-from zoneflow.config import LANDING, PROMOTED, QUARANTINE, RAW, STRUCTURED, UNRESOLVED, SourceConfig
+from zoneflow.config import (
+    LANDING,
+    MALFORMED,
+    PROMOTED,
+    QUARANTINE,
+    RAW,
+    REQUIRED_COLUMNS,
+    STRUCTURED,
+    UNRESOLVED,
+    SourceConfig,
+)
 from zoneflow.operators.contract import SchemaContractError, schema_check, schema_drift
 from zoneflow.plans import monitoring, pipeline
 from zoneflow.plans.remediation import promote
 from zoneflow.plans.reports import quarantine_report, trip_report
 from zoneflow.sources import manifest, sinks, zones
+from zoneflow.sources.manifest import batch_status
 from zoneflow.streaming.arrivals import ingest_stream
 
 PICKUP, DROPOFF = "tpep_pickup_datetime", "tpep_dropoff_datetime"
@@ -23,7 +36,7 @@ def counts(spark, cfg, month):
     """Rows of a month in raw, quarantine and structured."""
     structured = zones.read_structured(spark, cfg).filter(F.col("batch_month") == month)
     return (
-        zones.read_raw(spark, cfg, [month]).count(),
+        zones.read_batches(spark, cfg, RAW, [month]).count(),
         zones.read_quarantine(spark, cfg, [month]).count(),
         structured.count(),
     )
@@ -109,7 +122,7 @@ def test_empty_and_all_rejected_batches(spark, cfg, make, deliver):
     report = pipeline.landing_to_raw(spark, cfg, ["2024-01"])
     pipeline.raw_to_structured(spark, cfg, ["2024-01"])
     assert counts(spark, cfg, "2024-01") == (0, 0, 0)
-    assert report.quality().collect() == []
+    assert [r.input_rows for r in report.quality().collect()] == [0]
     deliver(make(BAD), "2024-02")
     assert pipeline.run_month(spark, cfg, "2024-02").outliers().collect() == []
     assert counts(spark, cfg, "2024-02") == (0, 1, 0)
@@ -158,7 +171,7 @@ def test_months_with_different_schemas(spark, cfg, make, deliver):
         (2, 1, 2),
         (1, 0, 1),
     ]
-    fees = zones.read_structured(spark, cfg, merge_schema=True)
+    fees = zones.read_structured(spark, cfg)
     assert fees.filter("airport_fee IS NOT NULL").count() == 3
     assert fees.filter("note = 'new'").count() == 1
 
@@ -288,11 +301,12 @@ def test_promotion(spark, cfg, make, deliver):
         assert rows == {PROMOTED: 2, UNRESOLVED: 1}
         pipeline.raw_to_structured(spark, cfg, ["2024-01"])
         assert counts(spark, cfg, "2024-01") == (1, 3, 3)
-    kept = zones.read_structured(spark, cfg, merge_schema=True)
+    kept = zones.read_structured(spark, cfg)
     assert kept.filter("origin = 'remediated'").count() == 2
-    # Landing the month again starts over.
+    assert zones.read_raw(spark, cfg).filter("origin = 'remediated'").count() == 2
+    # Running the month again judges what was promoted anew and keeps it.
     pipeline.run_month(spark, cfg, "2024-01")
-    assert counts(spark, cfg, "2024-01") == (1, 3, 1)
+    assert counts(spark, cfg, "2024-01") == (1, 3, 3)
 
 
 def test_promotion_leaves_whole_batches_alone(spark, cfg, make, deliver):
@@ -322,8 +336,107 @@ def test_arrivals(spark, cfg, make, deliver, tmp_path):
     assert counts(spark, cfg, "2024-02") == (1, 0, 1)
 
 
-def test_scratch_lies_in_the_shared_folder(spark):
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+def test_scratch_lies_in_a_folder_the_session_names(spark):
     path = storage.scratch_dir(spark, "label")
     assert storage.exists(spark, path)
-    assert path.startswith(shared) if shared else "zoneflow-" in path
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    assert path.startswith(shared)
+
+
+def put(path, name, content):
+    os.makedirs(path, exist_ok=True)
+    with open(f"{path}/{name}", "wb") as file:
+        file.write(content)
+
+
+def test_status_opens_every_file(spark, cfg, make, deliver):
+    """Size and name say nothing: rubbish fails, an empty file of any size is sound."""
+    deliver(make({}), "2024-01")
+    put(cfg.batch_path(LANDING, "2024-02"), "a.parquet", b"rubbish rubbish PAR1")
+    deliver(make({}).limit(0).withColumns({f"c{i}": F.lit(i) for i in range(900)}).coalesce(1), "2024-03")
+    status = batch_status(spark, cfg, ["2024-01", "2024-02", "2024-03", "2024-04"]).collect()
+    assert [(r.status, r.rows) for r in sorted(status)] == [
+        ("ready", 1), ("failed", 0), ("ready", 0), ("skip", 0)
+    ]
+    report = pipeline.run_range(spark, cfg, "2024-01", "2024-04")
+    assert report.months == ("2024-01", "2024-03") and report.failed == ("2024-02",)
+    assert counts(spark, cfg, "2024-01") == (1, 0, 1)
+    csv = replace(cfg, fmt="csv", source="text")
+    put(csv.batch_path(LANDING, "2024-01"), "a.csv.gz", b"this is no gzip")
+    assert batch_status(spark, csv, ["2024-01"]).first().status == "failed"
+
+
+def test_unpadded_months_are_refused(spark, cfg, make, deliver):
+    deliver(make({}), "2024-01")
+    make({}).write.parquet(f"{cfg.zone_root(LANDING)}/year=2024/month=2")
+    with pytest.raises(ValueError, match="month=MM"):
+        pipeline.run_month(spark, cfg, "2024-01")
+
+
+def test_three_months_at_once(spark, cfg, make, deliver):
+    months = ["2024-01", "2024-02", "2024-03"]
+    for month in months:
+        deliver(make({}, BAD), month)
+    with ThreadPoolExecutor(3) as pool:
+        reports = list(pool.map(lambda m: pipeline.run_month(spark, cfg, m), months))
+    assert [r.months for r in reports] == [(m,) for m in months]
+    assert [counts(spark, cfg, m) for m in months] == [(1, 1, 1)] * 3
+
+
+def test_a_write_that_fails_leaves_the_old_batch(spark, cfg, make, deliver):
+    deliver(make({}, {}), "2024-01")
+    pipeline.run_month(spark, cfg, "2024-01")
+    bad = zones.read_batches(spark, cfg, RAW).withColumn("VendorID", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_batches(bad, cfg, RAW, ["2024-01"], gather=False)
+    structured = zones.read_structured(spark, cfg)
+    worse = structured.withColumn("fare_amount", F.raise_error(F.lit("no")).cast("double"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_structured(worse, cfg, ["2024-01"])
+    assert counts(spark, cfg, "2024-01") == (2, 0, 2)
+
+
+def test_figures_are_those_of_the_run(spark, cfg, make, deliver):
+    deliver(make({}, {}, {}, {}).coalesce(1), "2024-01")
+    report = pipeline.landing_to_raw(spark, cfg, ["2024-01"], dedup=True)
+    wanted = [(4, 1, 0, 100.0, "SUCCESS")]
+
+    def figures():
+        names = ("input_rows", "valid_rows", "rejected_rows", "quality_rate", "status")
+        return [tuple(r) for r in report.quality().select(*names).collect()]
+
+    assert figures() == wanted
+    deliver(make(BAD, BAD), "2024-01")
+    assert figures() == wanted
+    storage.delete(spark, [cfg.batch_path(LANDING, "2024-01")])
+    assert figures() == wanted
+
+
+def test_stream_stops_at_a_failed_month_and_tries_again(spark, cfg, make, deliver, tmp_path):
+    deliver(make({}).drop("fare_amount"), "2024-01")
+    deliver(make(FEBRUARY), "2024-02")
+    for _ in range(2):
+        with pytest.raises(Exception, match="2024-01"):
+            ingest_stream(spark, cfg, str(tmp_path / "c"), RUN_TS).awaitTermination()
+    assert counts(spark, cfg, "2024-02") == (1, 0, 1)
+
+
+def test_one_group_without_columns_stops_no_other(spark, cfg, make, deliver):
+    deliver(make({}).drop("tip_amount"), "2024-01")
+    deliver(make(FEBRUARY), "2024-02")
+    report = pipeline.run_range(spark, cfg, "2024-01", "2024-02")
+    assert report.months == ("2024-02",) and report.failed == ("2024-01",)
+    assert zones.read_structured(spark, cfg).count() == 1
+
+
+def test_a_csv_line_with_a_surplus_field_is_kept_as_text(spark, cfg):
+    source = replace(cfg, fmt="csv")
+    names = ",".join(REQUIRED_COLUMNS)
+    good = "1,2024-01-06 10:30:00,2024-01-06 10:50:00,2,5.0,20.0,100,200"
+    put(source.batch_path(LANDING, "2024-01"), "a.csv", f"{names}\n{good}\n{good},more\n".encode())
+    pipeline.landing_to_raw(spark, source, ["2024-01"])
+    assert MALFORMED not in zones.read_raw(spark, source).columns
+    assert zones.read_raw(spark, source).count() == 1
+    row = zones.read_quarantine(spark, source).first()
+    assert (row[MALFORMED], row.quarantine_reason) == (f"{good},more", "multiple_issues")
+    assert row.failed_rules == ["readable"]

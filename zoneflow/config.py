@@ -12,6 +12,9 @@ QUARANTINE = "quarantine"
 STRUCTURED = "structured"
 PROMOTED = "promoted"
 UNRESOLVED = "unresolved"
+METRICS = "metrics"
+
+MALFORMED = "_malformed"  # the text of a landed line that could not be read as a row
 
 PICKUP = "tpep_pickup_datetime"
 DROPOFF = "tpep_dropoff_datetime"

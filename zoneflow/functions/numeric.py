@@ -1,9 +1,9 @@
 """Sums that do not depend on the order in which tasks deliver their rows.
 
 Adding doubles gives another last digit for every partitioning, and over 10^12
-rows the error reaches whole cents. Amounts are therefore added as whole numbers
-of 1/10000: exact, associative and as cheap as adding longs. A sum that leaves
-the range of a long raises an error instead of wrapping.
+rows the error reaches whole cents. Amounts are therefore added as decimals of ten
+places: exact and associative, and finer than what a ratio is known to. A NaN among
+the values makes the sum NaN, as it does for doubles.
 """
 
 from __future__ import annotations
@@ -11,15 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNITS = 10_000
-
-
-def in_units(column: str) -> Column:
-    return F.floor(F.col(column) * UNITS + F.lit(0.5))
+AMOUNT = "decimal(28,10)"
 
 
 def exact_sum(column: str) -> Column:
-    return F.sum(in_units(column)).cast("double") / UNITS
+    value = F.col(column).cast("double")
+    total = F.sum(F.when(~F.isnan(value), value).cast(AMOUNT)).cast("double")
+    return F.when(F.count_if(F.isnan(value)) > 0, F.lit(float("nan"))).otherwise(total)
 
 
 def exact_avg(column: str) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zoneflow.config import DROPOFF, PICKUP, TRIP_TYPES
+from zoneflow.config import DROPOFF, MALFORMED, PICKUP, TRIP_TYPES
 
 # Bounds and labels.
 MAX_PASSENGERS = 8
@@ -51,7 +51,16 @@ def typed(schema: T.StructType, name: str) -> Column:
 
 
 def trip_rules(schema: T.StructType) -> tuple[Rule, ...]:
-    """All rules, in the order in which they name the quarantine reason."""
+    """All rules, in the order in which they name the quarantine reason.
+
+    Rows of a text format may carry their line if it is malformed; such a row breaks
+    ``readable`` before anything else.
+    """
+    readable = (
+        (Rule("readable", "format", F.col(MALFORMED).isNull(), OTHER_REASON),)
+        if MALFORMED in schema.names
+        else ()
+    )
     pickup, dropoff, passengers, distance, fare, pickup_zone, dropoff_zone = (
         typed(schema, name)
         for name in (
@@ -65,6 +74,7 @@ def trip_rules(schema: T.StructType) -> tuple[Rule, ...]:
         )
     )
     return (
+        *readable,
         Rule("pickup_present", "nulls", pickup.isNotNull(), "null_pickup_datetime"),
         Rule("dropoff_present", "nulls", dropoff.isNotNull(), "null_dropoff_datetime"),
         Rule("fare_present", "nulls", fare.isNotNull(), "null_fare"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zoneflow.config import QualityTargets
+from zoneflow.config import MALFORMED, QualityTargets
 from zoneflow.functions.numeric import percentage
 from zoneflow.functions.rules import all_hold, failed_rules, is_valid, reason, trip_rules
 
@@ -22,7 +22,8 @@ def tag_quality(df: DataFrame) -> DataFrame:
 
 
 def valid_rows(df: DataFrame) -> DataFrame:
-    return df.filter(all_hold(trip_rules(df.schema)))
+    """Rows that hold every rule; none of them is malformed."""
+    return df.filter(all_hold(trip_rules(df.schema))).drop(MALFORMED)
 
 
 def rejected_rows(df: DataFrame, distinct: bool = True) -> DataFrame:
@@ -36,7 +37,8 @@ def rejected_rows(df: DataFrame, distinct: bool = True) -> DataFrame:
 
 def rejected_by_set_operation(df: DataFrame) -> DataFrame:
     """The same distinct rejected rows, stated as ``df EXCEPT valid rows``."""
-    return df.subtract(valid_rows(df))
+    valid = valid_rows(df)
+    return df.select(valid.columns).subtract(valid)
 
 
 def split_quality(df: DataFrame, distinct: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -73,17 +75,8 @@ def failed_rule_rows(df: DataFrame, *keys: str) -> DataFrame:
     return tagged.select(*keys, "quarantine_reason", F.explode("failed_rules").alias("rule"))
 
 
-def by_reason(rejected: DataFrame) -> DataFrame:
-    """Rejected rows per reason, most frequent first."""
-    return (
-        rejected.groupBy("quarantine_reason")
-        .agg(F.count(F.lit(1)).alias("count"))
-        .orderBy(F.desc("count"), "quarantine_reason")
-    )
-
-
 def reason_share(rejected: DataFrame) -> DataFrame:
-    """``by_reason`` with each reason's share; the window sees one row per reason."""
+    """Rejected rows per reason and its share; the window sees one row per reason."""
     counts = rejected.groupBy("quarantine_reason").agg(F.count(F.lit(1)).alias("count"))
     total = F.sum("count").over(Window.partitionBy())
     return counts.withColumn("share_pct", percentage(F.col("count"), total))

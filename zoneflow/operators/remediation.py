@@ -3,7 +3,8 @@
 The repairs are business rules of this package, not of the data's publisher:
 
 * ``number_format`` / ``time_format``: text that only reads as its type once
-  blanks, currency signs and thousands separators are gone, or as a US date;
+  blanks, currency signs and commas between groups of three digits are gone, or as
+  a US date; any other comma leaves the text unrepaired;
 * ``default_passengers``: no or zero passengers become 1;
 * ``unknown_payment``: a payment code outside 1 to 6 becomes 5 (unknown);
 * ``swapped_times``: a dropoff before the pickup trades places with it.
@@ -24,7 +25,8 @@ from zoneflow.functions.rules import is_valid, reason, trip_rules
 DEFAULT_PASSENGERS = 1
 FIRST_PAYMENT, LAST_PAYMENT, UNKNOWN_PAYMENT = 1, 6, 5
 US_TIME = "MM/dd/yyyy HH:mm:ss"
-NOISE = r"[\s$,]"
+NOISE = r"[\s$]"
+THOUSANDS = r"^[-+]?\d{1,3}(,\d{3})+(\.\d*)?$"
 
 
 def _note(changed: Column, name: str) -> Column:
@@ -54,10 +56,12 @@ def repair_types(df: DataFrame) -> DataFrame:
             kind = "time_format"
         else:
             strict = column.try_cast("double")
-            lenient = F.regexp_replace(column, NOISE, "").try_cast("double")
+            bare = F.regexp_replace(column, NOISE, "")
+            grouped = F.when(bare.rlike(THOUSANDS), F.replace(bare, F.lit(","), F.lit("")))
+            lenient = F.coalesce(grouped, bare).try_cast("double")
             kind = "number_format"
         changed[kind].append(strict.isNull() & lenient.isNotNull())
-        parsed[name] = F.coalesce(strict, lenient)
+        parsed[name] = F.coalesce(strict, lenient).try_cast(wanted)
     notes = [
         _note(F.greatest(*flags) if len(flags) > 1 else flags[0], kind)
         for kind, flags in changed.items()

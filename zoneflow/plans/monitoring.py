@@ -1,7 +1,9 @@
-"""Quality of the batches over time, read back from the zones.
+"""Quality of the batches over time.
 
-Row counts of a zone come from Parquet footers and path columns, so they cost no
-data and stay exact however often a task of the writing job was retried.
+What a run read and kept is written down beside the zones when it happens, so that
+files that land later, or are cleared, change nothing. Row counts of a zone come from
+Parquet footers and path columns: they cost no data and stay exact however often a
+task of the writing job was retried.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from zoneflow import storage
 from zoneflow.config import (
     LANDING,
+    METRICS,
     PROMOTED,
     QUARANTINE,
     RAW,
@@ -25,7 +28,8 @@ from zoneflow.config import (
 from zoneflow.functions.numeric import percentage
 from zoneflow.operators.enrich import batch_stats
 from zoneflow.operators.quality import rates
-from zoneflow.sources.zones import batch_month, batch_paths, read_structured
+from zoneflow.sources.sinks import write_batches
+from zoneflow.sources.zones import batch_month, batch_paths, read_batches, read_structured
 
 MONTHLY = "batch_month string, rows bigint"
 
@@ -75,29 +79,68 @@ def rows_by_zone(
     return _side_by_side({n: _zone_rows(spark, cfg, zone, months) for n, zone in zones.items()})
 
 
+def write_metrics(judged: DataFrame, cfg: SourceConfig, months: Sequence[str]) -> None:
+    """Write down a run's figures, one row per month: the one place they come from.
+
+    ``judged`` are the rows the run read, by the file list it read them by, with
+    ``_holds``. What was kept is counted in the zones just written.
+    """
+    spark = judged.sparkSession
+    read = {
+        row["m"]: row
+        for row in judged.groupBy(batch_month().alias("m"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("_holds").alias("held"))
+        .collect()
+    }
+    kept = {
+        row["batch_month"]: row
+        for row in rows_by_zone(spark, cfg, months, raw=RAW, rejected=QUARANTINE).collect()
+    }
+    rows = [
+        (
+            *map(int, month.split("-")),
+            read[month]["n"] if month in read else 0,
+            read[month]["held"] if month in read else 0,
+            kept[month]["raw"] if month in kept else 0,
+            kept[month]["rejected"] if month in kept else 0,
+        )
+        for month in months
+    ]
+    names = "year int, month int, input_rows bigint, passed_rows bigint, valid_rows bigint, invalid_rows bigint"
+    write_batches(spark.createDataFrame(rows, names).coalesce(1), cfg, METRICS, months, gather=False)
+
+
 def quality_over_time(
     spark: SparkSession, cfg: SourceConfig, months: Sequence[str] | None = None
 ) -> DataFrame:
     """Per batch month: rows in, valid, rejected (distinct too), rates and status.
 
-    The quarantine rate counts rejected rows before equal ones were dropped.
+    All of it as the month's last run had it. Valid rows are those kept; rates count
+    what held the rules before equal valid rows were dropped, and rejected rows before
+    equal ones were.
     """
-    months = storage.batch_months(spark, cfg, QUARANTINE) if months is None else months
-    counts = rows_by_zone(
-        spark, cfg, months, input_rows=LANDING, valid_rows=RAW, invalid_rows=QUARANTINE
+    known = storage.batch_months(spark, cfg, METRICS)
+    wanted = [m for m in known if months is None or m in set(months)]
+    if wanted:
+        figures = read_batches(spark, cfg, METRICS, wanted)
+    else:
+        names = "year int, month int, input_rows bigint, passed_rows bigint, valid_rows bigint, invalid_rows bigint"
+        figures = spark.createDataFrame([], names)
+    counts = figures.select(
+        batch_month().alias("batch_month"), "input_rows", "passed_rows", "valid_rows", "invalid_rows"
     )
     return _with_rates(counts, cfg.targets)
 
 
 def _with_rates(counts: DataFrame, targets: QualityTargets) -> DataFrame:
-    rejected = F.col("input_rows") - F.col("valid_rows")
+    rejected = F.col("input_rows") - F.col("passed_rows")
     return counts.withColumns(
         {
             "rejected_rows": rejected,
             "quarantine_rate": percentage(rejected, F.col("input_rows")),
-            **rates(F.col("input_rows"), F.col("valid_rows"), targets),
+            **rates(F.col("input_rows"), F.col("passed_rows"), targets),
         }
-    )
+    ).drop("passed_rows")
 
 
 def quality_alerts(quality: DataFrame, targets: QualityTargets = QualityTargets()) -> DataFrame:

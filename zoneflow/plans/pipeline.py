@@ -23,11 +23,12 @@ from zoneflow.config import (
     SourceConfig,
     months_between,
 )
-from zoneflow.functions.rules import MISSING_COLUMNS
+from zoneflow.functions.rules import MISSING_COLUMNS, is_valid, trip_rules
 from zoneflow.operators.contract import SchemaContractError, canonical_names, missing_columns
 from zoneflow.operators.enrich import structure
 from zoneflow.operators.quality import split_quality
 from zoneflow.plans import monitoring
+from zoneflow.plans.remediation import promote
 from zoneflow.sources.manifest import FAILED, READY, SKIP, batch_status
 from zoneflow.sources.sinks import write_batches, write_structured
 from zoneflow.sources.zones import (
@@ -35,13 +36,12 @@ from zoneflow.sources.zones import (
     batches_by_schema,
     promoted_months,
     read_batches,
-    with_trace,
 )
 
 
 @dataclass(frozen=True)
 class BatchReport:
-    """What a run did. The figures are read from the zones when asked for."""
+    """What a run did; its figures are kept beside the zones and read when asked for."""
 
     spark: SparkSession = field(repr=False)
     cfg: SourceConfig
@@ -66,25 +66,42 @@ class BatchReport:
         return monitoring.statistics_over_time(self.spark, self.cfg, self.months)
 
 
+@dataclass
+class _Split:
+    """What became of the months of a run: groups done, and why others were not."""
+
+    done: list[list[str]] = field(default_factory=list)
+    lacking: dict[str, list[str]] = field(default_factory=dict)
+    broken: dict[str, str] = field(default_factory=dict)
+
+    def raise_failures(self) -> None:
+        if self.broken:
+            raise ValueError("; ".join(self.broken[m] for m in sorted(self.broken)))
+        if self.lacking:
+            names = sorted({name for missing in self.lacking.values() for name in missing})
+            raise SchemaContractError(names, sorted(self.lacking))
+
+
 def _split_landing(
     spark: SparkSession,
     cfg: SourceConfig,
     months: Sequence[str],
     run_ts: datetime | None,
     dedup: bool = False,
-) -> tuple[list[list[str]], dict[str, list[str]]]:
-    """Write raw and quarantine; groups of months of one schema, and months with gaps."""
+) -> _Split:
+    """Write raw, quarantine and the run's figures, one group of one schema at a time."""
     run_ts = run_ts or datetime.now(UTC)
-    done: list[list[str]] = []
-    lacking: dict[str, list[str]] = {}
-    for group in batches_by_schema(spark, cfg, LANDING, months):
-        landed = with_trace(read_batches(spark, cfg, LANDING, group), run_ts)
+    split = _Split()
+    for group in batches_by_schema(spark, cfg, LANDING, months, split.broken):
+        landed = read_batches(spark, cfg, LANDING, group, run_ts)
         landed = canonical_names(landed, cfg.columns)
+        repaired = promoted_months(spark, cfg, group)
         for zone in (PROMOTED, UNRESOLVED):
             storage.delete_batches(spark, cfg, zone, group)
         if missing := missing_columns(landed, cfg.required):
             quarantine_batches(landed, cfg, group)
-            lacking.update(dict.fromkeys(group, missing))
+            monitoring.write_metrics(landed.withColumn("_holds", F.lit(False)), cfg, group)
+            split.lacking.update(dict.fromkeys(group, missing))
             continue
         valid, rejected = split_quality(landed)
         if dedup:
@@ -97,8 +114,12 @@ def _split_landing(
             ]
         for write in writes:
             write.result()
-        done.append(group)
-    return done, lacking
+        holds = is_valid(trip_rules(landed.schema))
+        monitoring.write_metrics(landed.withColumn("_holds", holds), cfg, group)
+        if repaired:  # what was promoted before is judged again, not lost
+            promote(spark, cfg, repaired)
+        split.done.append(group)
+    return split
 
 
 def landing_to_raw(
@@ -111,14 +132,11 @@ def landing_to_raw(
     """Split landed months into raw (valid rows) and quarantine (distinct rejected rows).
 
     Raw is written straight off the scan, without a shuffle; only rejected rows are
-    shuffled. A month that lacks required columns goes to quarantine as a whole, and
-    the error is raised after the other months are done. ``dedup`` also keeps equal
-    valid rows only once.
+    shuffled. A month that lacks required columns goes to quarantine as a whole; the
+    error for it, or for files that cannot be read together, is raised after the other
+    months are done. ``dedup`` also keeps equal valid rows only once.
     """
-    _, lacking = _split_landing(spark, cfg, months, run_ts, dedup)
-    if lacking:
-        names = sorted({name for missing in lacking.values() for name in missing})
-        raise SchemaContractError(names, sorted(lacking))
+    _split_landing(spark, cfg, months, run_ts, dedup).raise_failures()
     return BatchReport(spark, cfg, tuple(months))
 
 
@@ -135,28 +153,41 @@ def _structure_raw(
     months: Sequence[str],
     groups: Sequence[Sequence[str]],
     mode: str,
-) -> None:
-    """Write structured from raw months, each group of which has one schema."""
-    promoted = promoted_months(spark, cfg, months)
+) -> dict[str, list[str]]:
+    """Write structured from raw months, each group of which has one schema.
+
+    Returns the months that lack columns, which are left as they were, and the columns.
+    """
+    lacking: dict[str, list[str]] = {}
+    parts: list[DataFrame] = []
     scans = [(RAW, group) for group in groups]
+    promoted = promoted_months(spark, cfg, months)
     scans += [(PROMOTED, group) for group in batches_by_schema(spark, cfg, PROMOTED, promoted)]
-    parts: list[DataFrame] = []
     for zone, group in scans:
         raw = read_batches(spark, cfg, zone, group)
         if missing := missing_columns(raw, STRUCTURED_COLUMNS):
-            raise SchemaContractError(missing, group)
+            lacking.update(dict.fromkeys(group, missing))
+            continue
         raw = raw.withColumn("batch_month", batch_month()).drop("year", "month")
         parts.append(structure(raw, cfg.limits))
-    if parts:
+    whole = [month for month in months if month not in lacking]
+    if parts and whole:
         clean = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        write_structured(clean, cfg, months, mode)
+        if lacking:
+            clean = clean.filter(F.col("batch_month").isin(whole))
+        write_structured(clean, cfg, whole, mode)
+    return lacking
 
 
 def raw_to_structured(
     spark: SparkSession, cfg: SourceConfig, months: Sequence[str], mode: str = "replace"
 ) -> BatchReport:
-    """Cast, enrich and clean raw months (with their promoted rows) into structured."""
-    _structure_raw(spark, cfg, months, batches_by_schema(spark, cfg, RAW, months), mode)
+    """Cast, enrich and clean raw months (with their promoted rows) into structured.
+
+    Months that lack columns raise after the others are done.
+    """
+    groups = batches_by_schema(spark, cfg, RAW, months)
+    _Split(lacking=_structure_raw(spark, cfg, months, groups, mode)).raise_failures()
     return BatchReport(spark, cfg, tuple(months))
 
 
@@ -169,15 +200,18 @@ def run_months(
     """Both jobs for the months that are ready; the others are reported, not run.
 
     A month that lacks required columns counts as failed; its rows are in quarantine.
+    So does one whose files cannot be read, alone or together.
     """
     status = {row.batch_month: row.status for row in batch_status(spark, cfg, months).collect()}
     ready = [m for m in months if status[m] == READY]
-    groups, lacking = _split_landing(spark, cfg, ready, run_ts)
-    storage.delete(spark, [cfg.batch_path(STRUCTURED, month) for month in lacking])
-    done = [month for month in ready if month not in lacking]
-    _structure_raw(spark, cfg, done, groups, "replace")
-    failed = [m for m in months if status[m] == FAILED or m in lacking]
+    split = _split_landing(spark, cfg, ready, run_ts)
+    storage.delete(spark, [cfg.batch_path(STRUCTURED, month) for month in split.lacking])
+    stopped = {*split.lacking, *split.broken}
+    taken = [month for month in ready if month not in stopped]
+    stopped |= set(_structure_raw(spark, cfg, taken, split.done, "replace"))
+    failed = [m for m in months if status[m] == FAILED or m in stopped]
     skipped = [m for m in months if status[m] == SKIP]
+    done = [m for m in taken if m not in stopped]
     return BatchReport(spark, cfg, tuple(done), tuple(skipped), tuple(failed))
 
 

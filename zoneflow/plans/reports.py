@@ -1,7 +1,7 @@
 """The reports on the structured trips and on the quarantine, as SQL.
 
 ``{trips}`` and ``{quarantine}`` stand for a DataFrame with the columns of the
-structured or the quarantine zone. Amounts are added in whole 1/10000, as
+structured or the quarantine zone. Amounts are added as decimals, as
 ``functions.numeric`` explains.
 """
 
@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneflow.functions.numeric import UNITS
+from zoneflow.functions.numeric import AMOUNT
 
 
 def _sum(column: str) -> str:
-    return f"CAST(sum(floor({column} * {UNITS} + CAST(0.5 AS DOUBLE))) AS DOUBLE) / {UNITS}"
+    value = f"CAST({column} AS DOUBLE)"
+    total = f"CAST(sum(CASE WHEN NOT isnan({value}) THEN CAST({value} AS {AMOUNT}) END) AS DOUBLE)"
+    return f"CASE WHEN count_if(isnan({value})) > 0 THEN DOUBLE('NaN') ELSE {total} END"
 
 
 def _avg(column: str) -> str:

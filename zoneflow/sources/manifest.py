@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zoneflow import storage
 from zoneflow.config import LANDING, SourceConfig, split_month
+from zoneflow.sources.zones import batch_month
 
 READY, SKIP, FAILED = "ready", "skip", "failed"
-PARQUET_MARK = b"PAR1"
-EMPTY_FILE_BYTES = 256 * 1024
+_UNREADABLE = (PySparkException, Py4JError)
 MANIFEST = (
     "date_param string, source_file string, file_size_bytes bigint, ingestion_timestamp timestamp"
 )
@@ -51,74 +54,64 @@ def landing_manifest(
     )
 
 
-def _readable_rows(spark: SparkSession, cfg: SourceConfig, months: Sequence[str]) -> DataFrame:
-    """Rows per landed file, for those files Spark can open.
+def _rows(spark: SparkSession, cfg: SourceConfig, months: Sequence[str]) -> dict[str, int]:
+    """Rows per month. Every file is opened, and one that cannot be is an error.
 
     No data column is asked for, so a Parquet file costs its footer alone.
     """
-    paths = _landed_paths(spark, cfg, months)
-    if not paths:
-        return spark.createDataFrame([], "source_file string, rows bigint")
     rows = (
         spark.read.format(cfg.fmt)
-        .schema("_none string")
-        .option("ignoreCorruptFiles", True)
+        .schema("_none string, year int, month int")
+        .option("ignoreCorruptFiles", False)
         .option("header", cfg.fmt == "csv")
-        .option("recursiveFileLookup", True)
-        .load(paths)
-        .select(F.col("_metadata.file_path").alias("source_file"))
+        .option("basePath", cfg.zone_root(LANDING))
+        .load([cfg.batch_path(LANDING, month) for month in months])
     )
-    return rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
+    counted = rows.groupBy(batch_month().alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return dict.fromkeys(months, 0) | {row["m"]: row["n"] for row in counted}
 
 
-def _sound_empty_files(
-    spark: SparkSession, cfg: SourceConfig, months: Sequence[str]
-) -> DataFrame:
-    """Small landed files that may well hold no row; larger ones never should.
+def _sound_rows(spark: SparkSession, cfg: SourceConfig, months: Sequence[str]) -> dict[str, int | None]:
+    """Rows per month, None where a file cannot be read: one pass, by month if it fails."""
+    if not months:
+        return {}
+    try:
+        return dict(_rows(spark, cfg, months))
+    except _UNREADABLE:
+        pass
 
-    An empty Parquet file still ends in the format's mark, a broken one does not.
-    Only small files are opened for it.
-    """
-    paths = _landed_paths(spark, cfg, months)
-    if not paths:
-        return spark.createDataFrame([], "source_file string")
-    small = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(paths)
-        .filter(F.col("length") <= EMPTY_FILE_BYTES)
-    )
-    if cfg.fmt == "parquet":
-        small = small.filter(F.substring("content", -len(PARQUET_MARK), len(PARQUET_MARK)) == F.lit(PARQUET_MARK))
-    return small.select(F.col("_metadata.file_path").alias("source_file"))
+    def alone(month: str) -> int | None:
+        try:
+            return _rows(spark, cfg, [month])[month]
+        except _UNREADABLE:
+            return None
+
+    with ThreadPoolExecutor(storage.THREADS) as pool:
+        return dict(zip(months, pool.map(alone, months), strict=True))
 
 
 def batch_status(spark: SparkSession, cfg: SourceConfig, months: Sequence[str]) -> DataFrame:
     """``ready``, ``skip`` or ``failed`` for every wanted month.
 
     A month nothing has landed for is skipped. A month with a file that cannot be
-    opened has failed: that is not a month without data.
+    opened has failed: that is not a month without data. An empty file is sound.
     """
     for month in months:
         split_month(month)
-    wanted = spark.createDataFrame([(month,) for month in months], "batch_month string")
-    sound = _sound_empty_files(spark, cfg, months).withColumn("sound", F.lit(True))
-    files = (
-        landing_manifest(spark, cfg, months)
-        .join(_readable_rows(spark, cfg, months), "source_file", "left")
-        .join(sound, "source_file", "left")
-    )
-    landed = files.groupBy(F.col("date_param").alias("batch_month")).agg(
-        F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-        F.count_if(F.col("rows").isNull() & F.col("sound").isNull()).alias("unreadable"),
-    )
-    return wanted.join(landed, "batch_month", "left").select(
-        "batch_month",
-        F.when(F.col("files").isNull(), SKIP)
-        .when(F.col("unreadable") > 0, FAILED)
-        .otherwise(READY)
-        .alias("status"),
-        F.coalesce("files", F.lit(0)).alias("files"),
-        F.coalesce("rows", F.lit(0)).alias("rows"),
-    )
+    known = set(storage.batch_months(spark, cfg, LANDING))
+    found = {}
+    for month in months:
+        paths = list(storage.files(spark, cfg.batch_path(LANDING, month))) if month in known else []
+        if paths:
+            found[month] = len(paths)
+    rows = _sound_rows(spark, cfg, list(found))
+    status = [
+        (
+            month,
+            SKIP if month not in found else FAILED if rows[month] is None else READY,
+            found.get(month, 0),
+            rows.get(month) or 0,
+        )
+        for month in months
+    ]
+    return spark.createDataFrame(status, "batch_month string, status string, files bigint, rows bigint")

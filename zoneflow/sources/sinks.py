@@ -1,9 +1,9 @@
 """Writers of the zones.
 
-``replace`` makes a batch idempotent: the batch's own directories are deleted and
-written again by one job, as a static overwrite does, but for many batches at
-once. Directories are not swapped atomically; a reader may see a batch missing
-while it is being replaced, and a job that dies is repaired by running it again.
+Every write goes to a directory of its own beneath the zone and is renamed into place
+batch by batch when all rows are there, so writers of a zone do not meet, and a write
+that fails leaves the batches as they were. Between the two renames of a batch a reader
+may miss it for a moment. Running a job again replaces its batches.
 """
 
 from __future__ import annotations
@@ -43,27 +43,39 @@ def write_batches(
     and every reader finds its batch. ``gather`` shuffles rows to their month
     first; leave it out where the scan already delivers month by month.
     """
-    spark = df.sparkSession
-    if len(months) == 1:
-        # One directory: no path columns, hence neither a shuffle nor a sort by them.
-        single = df.drop(*BATCH_KEYS).write.mode("overwrite")
-        single.option("maxRecordsPerFile", cfg.rows_per_file).parquet(cfg.batch_path(zone, *months))
-        return
-    storage.delete_batches(spark, cfg, zone, months)
-    if gather:
-        df = size_for_write(df, *BATCH_KEYS, directories=len(months))
-    (
-        df.withColumns({"year": path_part("year", 4), "month": path_part("month", 2)})
-        .write.mode("append")
-        .option("maxRecordsPerFile", cfg.rows_per_file)
-        .partitionBy(*BATCH_KEYS)
-        .parquet(cfg.zone_root(zone))
-    )
-    no_rows = df.drop(*BATCH_KEYS).schema
-    written = set(storage.batch_months(spark, cfg, zone))
-    bare = [cfg.batch_path(zone, month) for month in months if month not in written]
-    with ThreadPoolExecutor(storage.THREADS) as pool:
-        list(pool.map(lambda path: spark.createDataFrame([], no_rows).write.parquet(path), bare))
+    spark, root = df.sparkSession, cfg.zone_root(zone)
+
+    def path(beneath: str, month: str) -> str:
+        return cfg.batch_path(zone, month).replace(root, beneath, 1)
+
+    with storage.staging(spark, root) as staged:
+        if len(months) == 1:
+            # One directory: no path columns, hence neither a shuffle nor a sort by them.
+            single = df.drop(*BATCH_KEYS).write.option("maxRecordsPerFile", cfg.rows_per_file)
+            single.parquet(path(f"{staged}/new", *months))
+        else:
+            if gather:
+                df = size_for_write(df, *BATCH_KEYS, directories=len(months))
+            (
+                df.withColumns({"year": path_part("year", 4), "month": path_part("month", 2)})
+                .write.option("maxRecordsPerFile", cfg.rows_per_file)
+                .partitionBy(*BATCH_KEYS)
+                .parquet(f"{staged}/new")
+            )
+        written = {
+            "-".join(part.split("=")[1] for part in found.rsplit("/", 2)[1:])
+            for found in storage.directories(spark, f"{staged}/new/year=*/month=*")
+        }
+        no_rows = df.drop(*BATCH_KEYS).schema
+
+        def bare(month: str) -> None:
+            spark.createDataFrame([], no_rows).write.parquet(path(f"{staged}/new", month))
+
+        with ThreadPoolExecutor(storage.THREADS) as pool:
+            list(pool.map(bare, sorted(set(months) - written)))
+        every = sorted(written | set(months))
+        moves = [(path(f"{staged}/new", m), cfg.batch_path(zone, m)) for m in every]
+        storage.put_in_place(spark, moves, f"{staged}/old")
 
 
 def write_structured(
@@ -83,14 +95,23 @@ def write_structured(
     if mode == "replace":
         if "batch_month" not in keys:
             raise ValueError("replace works on whole batches: partition by batch_month")
-        storage.delete(df.sparkSession, [cfg.batch_path(STRUCTURED, m) for m in months])
-    (
-        size_for_write(df, *keys, directories=DAYS_PER_MONTH * len(months))
-        .write.mode("append")
-        .option("maxRecordsPerFile", cfg.rows_per_file)
-        .partitionBy(*keys)
-        .parquet(cfg.zone_root(STRUCTURED))
-    )
+    spark, root = df.sparkSession, cfg.zone_root(STRUCTURED)
+    with storage.staging(spark, root) as staged:
+        (
+            size_for_write(df, *keys, directories=DAYS_PER_MONTH * len(months))
+            .write.option("maxRecordsPerFile", cfg.rows_per_file)
+            .partitionBy(*keys)
+            .parquet(f"{staged}/new")
+        )
+        if mode == "append":
+            storage.add_files(spark, f"{staged}/new", root)
+            return
+        found = storage.directories(spark, f"{staged}/new/batch_month=*")
+        new = {path.rsplit("batch_month=", 1)[1]: path for path in found}
+        moves = [
+            (new.get(m), cfg.batch_path(STRUCTURED, m)) for m in sorted({*months, *new})
+        ]
+        storage.put_in_place(spark, moves, f"{staged}/old")
 
 
 def register_zone(

@@ -8,6 +8,8 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 from zoneflow import storage
 from zoneflow.config import (
     LANDING,
+    MALFORMED,
     PICKUP,
     PROMOTED,
     QUARANTINE,
@@ -49,29 +52,54 @@ def with_trace(df: DataFrame, run_ts: datetime) -> DataFrame:
     )
 
 
-def _landing_reader(spark: SparkSession, cfg: SourceConfig, merge_schema: bool):
-    if cfg.fmt == "csv":
-        # Header names, all text: the rules and casts decide what each value is worth.
-        return spark.read.format("csv").option("header", True)
-    if cfg.fmt == "json":
-        own_names = {new: old for old, new in cfg.columns.items()}
-        text = T.StructType([T.StructField(own_names.get(n, n), T.StringType()) for n in TRIP_TYPES])
-        return spark.read.format("json").schema(text)
-    return spark.read.format("parquet").option("mergeSchema", merge_schema)
+def _months(spark: SparkSession, cfg: SourceConfig, zone: str, months: Sequence[str] | None) -> list[str]:
+    months = storage.batch_months(spark, cfg, zone) if months is None else list(months)
+    if not months:
+        raise ValueError(f"{zone} of {cfg.source} holds none of the batches asked for")
+    return months
 
 
 def batch_paths(
     spark: SparkSession, cfg: SourceConfig, zone: str, months: Sequence[str] | None
 ) -> list[str]:
-    """What to read for months of a zone: their directories, or the zone as a whole.
+    """The directories of the months asked for, or of all there are."""
+    return [cfg.batch_path(zone, month) for month in _months(spark, cfg, zone, months)]
 
-    Listing the zone once is quicker than listing each of its directories.
-    """
-    if months is None or (
-        len(months) > 1 and set(months) == set(storage.batch_months(spark, cfg, zone))
-    ):
-        return [cfg.zone_root(zone)]
-    return [cfg.batch_path(zone, month) for month in months]
+
+def _text(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in (*names, MALFORMED)])
+
+
+def _csv_scans(spark: SparkSession, cfg: SourceConfig, paths: Sequence[str]) -> list[DataFrame]:
+    """One scan per header, all columns text, since files may order theirs differently."""
+
+    def header(file: str) -> tuple[str, ...]:
+        return tuple(spark.read.option("header", True).csv(file).columns)
+
+    found = [file for path in paths for file in storage.files(spark, path)]
+    with ThreadPoolExecutor(storage.THREADS) as pool:
+        headers = list(pool.map(header, found))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for names, file in zip(headers, found, strict=True):
+        groups.setdefault(names, []).append(file)
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    reader = reader.option("columnNameOfCorruptRecord", MALFORMED)
+    reader = reader.option("basePath", cfg.zone_root(LANDING))
+    if not groups:
+        return [reader.schema(_text(tuple(TRIP_TYPES))).csv(list(paths))]
+    return [reader.schema(_text(names)).csv(group) for names, group in groups.items()]
+
+
+def _json_scan(spark: SparkSession, cfg: SourceConfig, paths: Sequence[str]) -> DataFrame:
+    """All keys the files have, as text; one pass over the data finds them."""
+    reader = spark.read.option("columnNameOfCorruptRecord", MALFORMED).option("primitivesAsString", True)
+    reader = reader.option("basePath", cfg.zone_root(LANDING))
+    found = reader.json(list(paths)).drop("year", "month").schema
+    fields = [f for f in found if f.name != MALFORMED]
+    schema = T.StructType([*fields, T.StructField(MALFORMED, T.StringType())])
+    df = reader.schema(schema).json(list(paths))
+    nested = {f.name: F.to_json(f"`{f.name}`") for f in fields if not isinstance(f.dataType, T.StringType)}
+    return df.withColumns(nested) if nested else df
 
 
 def read_batches(
@@ -79,24 +107,46 @@ def read_batches(
     cfg: SourceConfig,
     zone: str,
     months: Sequence[str] | None = None,
-    merge_schema: bool = False,
+    run_ts: datetime | None = None,
 ) -> DataFrame:
     """Rows of a ``year=/month=`` zone, with the path columns ``year`` and ``month``.
 
-    Named months list only their own directories; without names the whole zone is
-    listed. A JSON landing is read with the contract as its schema, so that no pass
-    over the data is spent on inferring one.
+    Files of one batch may differ in columns: all columns of all files are there. CSV
+    and JSON come as text, with the line in ``MALFORMED`` where it cannot be read.
+    ``run_ts`` adds the trace columns.
     """
-    reader = _landing_reader(spark, cfg, merge_schema)
-    if zone != LANDING:
-        reader = spark.read.format("parquet").option("mergeSchema", merge_schema)
-    return reader.option("basePath", cfg.zone_root(zone)).load(batch_paths(spark, cfg, zone, months))
+    paths = batch_paths(spark, cfg, zone, months)
+    if zone == LANDING and cfg.fmt == "csv":
+        scans = _csv_scans(spark, cfg, paths)
+    elif zone == LANDING and cfg.fmt == "json":
+        scans = [_json_scan(spark, cfg, paths)]
+    else:
+        reader = spark.read.option("mergeSchema", True).option("basePath", cfg.zone_root(zone))
+        scans = [reader.parquet(*paths)]
+    if run_ts is not None:
+        scans = [with_trace(scan, run_ts) for scan in scans]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
 def _with_batch_month(df: DataFrame) -> DataFrame:
     return df.withColumn("batch_month", batch_month()).drop("year", "month")
 
 
+def _all_batches(
+    spark: SparkSession,
+    cfg: SourceConfig,
+    zone: str,
+    months: Sequence[str] | None,
+    run_ts: datetime | None = None,
+) -> DataFrame:
+    """Batches brought together by name, also those that lack columns of others."""
+    groups = batches_by_schema(spark, cfg, zone, _months(spark, cfg, zone, months))
+    parts = [
+        canonical_names(read_batches(spark, cfg, zone, group, run_ts), cfg.columns) for group in groups
+    ]
+    return _with_batch_month(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+
+
 def read_landing(
     spark: SparkSession,
     cfg: SourceConfig,
@@ -104,16 +154,18 @@ def read_landing(
     run_ts: datetime | None = None,
 ) -> DataFrame:
     """Landed rows in contract spelling; ``run_ts`` adds the trace columns."""
-    df = read_batches(spark, cfg, LANDING, months)
-    if run_ts is not None:
-        df = with_trace(df, run_ts)
-    return _with_batch_month(canonical_names(df, cfg.columns))
+    return _all_batches(spark, cfg, LANDING, months, run_ts)
 
 
 def read_raw(
     spark: SparkSession, cfg: SourceConfig, months: Sequence[str] | None = None
 ) -> DataFrame:
-    return _with_batch_month(read_batches(spark, cfg, RAW, months))
+    """Valid rows, and promoted ones: those have an ``origin``."""
+    raw = _all_batches(spark, cfg, RAW, months)
+    repaired = promoted_months(spark, cfg, _months(spark, cfg, RAW, months))
+    if not repaired:
+        return raw
+    return raw.unionByName(_all_batches(spark, cfg, PROMOTED, repaired), allowMissingColumns=True)
 
 
 def read_quarantine(
@@ -123,15 +175,7 @@ def read_quarantine(
 
     Batches that lack columns, or hold them in other types, are brought together.
     """
-    months = storage.batch_months(spark, cfg, QUARANTINE) if months is None else months
-    parts = [
-        read_batches(spark, cfg, QUARANTINE, group)
-        for group in batches_by_schema(spark, cfg, QUARANTINE, months)
-    ]
-    if not parts:
-        raise ValueError(f"quarantine of {cfg.source} holds none of the batches asked for")
-    df = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), parts)
-    df = _with_batch_month(df)
+    df = _all_batches(spark, cfg, QUARANTINE, months)
     if PICKUP not in df.columns:
         return df.withColumn("ds", F.lit(None).cast("string"))
     return df.withColumn("ds", F.date_format(F.col(PICKUP).try_cast("timestamp"), "yyyy-MM-dd"))
@@ -146,14 +190,23 @@ def structured_schema() -> T.StructType:
     return derived.withColumn("batch_month", F.lit("")).schema
 
 
-def read_structured(
-    spark: SparkSession, cfg: SourceConfig, merge_schema: bool = False
-) -> DataFrame:
-    """The structured table; ``ds`` and ``batch_month`` stay text and still prune."""
+def read_structured(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
+    """The structured table; ``ds`` and ``batch_month`` stay text and still prune.
+
+    All files of a batch come from one write and have one schema, so the columns of
+    the table are those of one file per batch.
+    """
     root = cfg.zone_root(STRUCTURED)
     if not storage.has_partitions(spark, root):
         return spark.createDataFrame([], structured_schema())
-    df = spark.read.option("mergeSchema", merge_schema).parquet(root)
+    reader = spark.read.option("basePath", root).option("mergeSchema", True)
+    batches = storage.directories(spark, f"{root}/batch_month=*")
+    with ThreadPoolExecutor(storage.THREADS) as pool:
+        firsts = list(pool.map(lambda path: next(storage.files(spark, path), None), batches))
+    if batches and all(firsts):
+        df = spark.read.schema(reader.parquet(*firsts).schema).parquet(root)
+    else:
+        df = reader.parquet(root)
     partitions = {"ds": F.col("ds").cast("string"), "batch_month": F.col("batch_month").cast("string")}
     return df.withColumns({n: c for n, c in partitions.items() if n in df.columns})
 
@@ -164,25 +217,37 @@ def trips_between(spark: SparkSession, cfg: SourceConfig, first: str, last: str)
 
 
 def batches_by_schema(
-    spark: SparkSession, cfg: SourceConfig, zone: str, months: Sequence[str]
+    spark: SparkSession,
+    cfg: SourceConfig,
+    zone: str,
+    months: Sequence[str],
+    broken: dict[str, str] | None = None,
 ) -> list[list[str]]:
     """Group months whose files have one schema, so that each group is one scan.
 
     Monthly deliveries change spelling, types and columns over the years, and one
-    scan cannot mix them. Only a footer (or header line) per month is read.
+    scan cannot mix them. A month whose own files cannot be brought together is an
+    error, or goes to ``broken`` with its message.
     """
-    if len(months) < 2 or (cfg.fmt == "json" and zone == LANDING):
-        return [list(months)] if months else []
 
-    def schema_of(month: str) -> str:
-        schema = read_batches(spark, cfg, zone, [month]).schema
+    def schema_of(month: str) -> str | Exception:
+        try:
+            schema = read_batches(spark, cfg, zone, [month]).schema
+        except (PySparkException, Py4JError) as error:
+            return error
         return json.dumps([[f.name, f.dataType.simpleString()] for f in schema])
 
     with ThreadPoolExecutor(storage.THREADS) as pool:
         schemas = list(pool.map(schema_of, months))
     groups: dict[str, list[str]] = {}
     for schema, month in zip(schemas, months, strict=True):
-        groups.setdefault(schema, []).append(month)
+        if not isinstance(schema, Exception):
+            groups.setdefault(schema, []).append(month)
+            continue
+        message = f"files of {cfg.batch_path(zone, month)} cannot be read together: {schema}"
+        if broken is None:
+            raise ValueError(message) from schema
+        broken[month] = message
     return list(groups.values())
 
 

@@ -32,15 +32,19 @@ def ingest_stream(
     """Run both jobs for every month with new files, then stop.
 
     Each month that got a file is processed again as a whole and replaced, so a
-    micro-batch that is repeated after a failure does no harm. A later run with
-    the same ``checkpoint`` sees only files that arrived since.
+    micro-batch that is repeated after a failure does no harm. A month that fails
+    stops the stream after the others are done, and the next run with the same
+    ``checkpoint`` tries its files again; otherwise it sees only files that arrived
+    since.
     """
 
     def process(batch: DataFrame, _: int) -> None:
         new = batch.distinct().select(batch_month().alias("batch_month"))
         months = sorted(row.batch_month for row in new.collect())
         if months:
-            run_months(batch.sparkSession, cfg, months, run_ts)
+            report = run_months(batch.sparkSession, cfg, months, run_ts)
+            if report.failed:
+                raise RuntimeError(f"months that failed: {', '.join(report.failed)}")
 
     return (
         arrivals(spark, cfg)

@@ -12,9 +12,9 @@ of fixed size. The product is made in blocks:
 
 Overlap counts below the bound that follows from the two sizes are discarded; what is
 left is checked on the whole sets. Documents with equal sets are one class throughout.
-Before that, each class is compared with its neighbour in every list, which costs a
-row per entry, and pairs that these links already join are left out of the product:
-a large group of copies of one text never becomes all of its pairs.
+Before the product over common shingles gives all its pairs, it gives a few partners
+of each class, drawn by hash, and pairs that the links found so already join are left
+out afterwards: a large group of near copies never becomes all of its pairs.
 
 A class is known by the sum of its shingles' 64-bit hashes and its size.
 """
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zoneflow.llm.common import membership_bits, might_be_in, stored
@@ -37,6 +37,9 @@ from zoneflow.llm.shingles import chunks, mix, shingle_sets
 
 SKETCH_BITS = 20
 SKETCH_ROWS = 64
+PARTNERS = 4
+DRAWS = 2
+STRIP = 256
 
 
 @dataclass(frozen=True)
@@ -217,34 +220,16 @@ def lists(classes: DataFrame, rule: Threshold) -> DataFrame:
     """The product over shingles of at most ``rule.common`` documents, and the other lists.
 
     Rows with ``shared`` are pairs and part of their overlap. The others, with a
-    ``token``, are entries ``a`` of a common shingle's list, with the entry before as
-    ``b``. Entries are range-partitioned by shingle and size, so that one list may
-    span many tasks; shingles at a task's edges count as common.
+    ``token``, are entries ``a`` of a common shingle's list. Entries are
+    range-partitioned by shingle and size, so that one list may span many tasks;
+    shingles at a task's edges count as common.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64))
-        held, long_run, before = empty, None, None
+        held, long_run = empty, None
         first = True
 
-        def common(token, n, set_id, mask) -> pa.RecordBatch:
-            """Entries under ``mask``, each with the entry before if of the same list."""
-            nonlocal before
-            at = np.flatnonzero(mask)
-            t, s, k = token[at], set_id[at], n[at]
-            pt = np.concatenate([[before[0] if before else 0], t[:-1]])
-            ps = np.concatenate([[before[1] if before else 0], s[:-1]])
-            pn = np.concatenate([[before[2] if before else 0], k[:-1]])
-            same = pt == t
-            if before is None:
-                same[:1] = False
-            before = (t[-1], s[-1], k[-1])
-            out = _listed(token=t, a=s, na=k)
-            b, nb = pa.array(ps, pa.int64(), mask=~same), pa.array(pn, pa.int32(), mask=~same)
-            return pa.RecordBatch.from_arrays(
-                [out.column(0), out.column(1), out.column(2), b, nb, out.column(5)], schema=_LISTED_ARROW
-            )
-
         def done(rows, last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, long_run, first
             token, n, set_id = rows
@@ -266,7 +251,7 @@ def lists(classes: DataFrame, rule: Threshold) -> DataFrame:
             if not last:
                 long_run = token[-1] if many[-1] else None
             if many.any():
-                yield common(token, n, set_id, many)
+                yield _listed(token=token[many], a=set_id[many], na=n[many])
             few = ~many & ~wait & (whole > 1)
             if few.any():
                 yield _pairs_of_runs(run[few], set_id[few], n[few], rule)
@@ -340,50 +325,82 @@ def blocks(entries: DataFrame, parts: DataFrame, rule: Threshold) -> DataFrame:
     return dealt
 
 
-def _product(table: pa.Table, rule: Threshold) -> pa.Table:
-    """One block: overlaps of all its prefixes at once, and the pairs that have enough."""
-    node, n = table["node"].to_numpy(), table["n"].to_numpy().astype(np.int64)
-    part = table["component"].to_numpy()
-    low, high = table["is_low"].to_numpy(), table["is_high"].to_numpy()
-    lists_ = table["prefix"].combine_chunks()
-    if isinstance(lists_, pa.ChunkedArray):
-        lists_ = pa.concat_arrays(lists_.chunks)
-    value = lists_.flatten().to_numpy()
-    owner = np.repeat(np.arange(len(node)), np.asarray(lists_.value_lengths()))
+def _overlaps(lists_: pa.ChunkedArray, below: int | None = None) -> np.ndarray:
+    """How many values each two rows' lists share, counting only those ``below``."""
+    made = lists_.combine_chunks()
+    if isinstance(made, pa.ChunkedArray):
+        made = pa.concat_arrays(made.chunks)
+    value = made.flatten().to_numpy()
+    owner = np.repeat(np.arange(len(made)), np.asarray(made.value_lengths()))
+    if below is not None:
+        value, owner = value[value < below], owner[value < below]
     _, code, times = np.unique(value, return_inverse=True, return_counts=True)
     useful = times[code] > 1
-    code, owner = code[useful], owner[useful]
-    _, code = np.unique(code, return_inverse=True)
-    shared = np.zeros((len(node), len(node)), dtype=np.float32)
-    width = 4096
+    _, code = np.unique(code[useful], return_inverse=True)
+    owner = owner[useful]
+    shared = np.zeros((len(made), len(made)), dtype=np.float32)
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
-    for start in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+    columns, width = int(code[-1]) + 1 if len(code) else 0, 512
+    for start in range(0, columns, width):
         a, b = np.searchsorted(code, [start, start + width])
-        block = np.zeros((len(node), min(width, int(code[-1]) + 1 - start)), dtype=np.float32)
+        block = np.zeros((len(made), min(width, columns - start)), dtype=np.float32)
         block[owner[a:b], code[a:b] - start] = 1
-        shared += block @ block.T
-    i, j = np.nonzero(shared >= 1)
-    ahead = (n[i] < n[j]) | ((n[i] == n[j]) & (node[i] < node[j]))
-    met = (low[i] & high[j]) | (high[i] & low[j])
-    keep = ahead & met & (part[i] != part[j]) & (n[i] >= rule.least_size(n[j]))
-    i, j = i[keep], j[keep]
-    keep = shared[i, j] >= rule.prefix_overlap(n[i], n[j])
-    i, j = i[keep], j[keep]
+        for row in range(0, len(made), STRIP):
+            shared[row : row + STRIP] += block[row : row + STRIP] @ block.T
+    return shared
+
+
+def _product(table: pa.Table, rule: Threshold, partners: int | None) -> pa.Table:
+    """One block: overlaps of all its prefixes at once, and the pairs that have enough.
+
+    A pair counts in the block of its first common shingle only. With ``partners``
+    each class keeps so many of its pairs, by hash.
+    """
+    node, n = table["node"].to_numpy(), table["n"].to_numpy().astype(np.int64)
+    part = table["component"].to_numpy()
+    low, high = table["is_low"].to_numpy(), table["is_high"].to_numpy()
+    shared = _overlaps(table["prefix"])
+    # Pairs that met before are another block's.
+    np.putmask(shared, _overlaps(table["lists"], below=table["token"][0].as_py()) > 0, 0)
+    left, right = [], []
+    for row in range(0, len(node), STRIP):
+        i, j = np.nonzero(shared[row : row + STRIP] >= 1)
+        i += row
+        ahead = (n[i] < n[j]) | ((n[i] == n[j]) & (node[i] < node[j]))
+        met = (low[i] & high[j]) | (high[i] & low[j])
+        keep = ahead & met & (part[i] != part[j]) & (n[i] >= rule.least_size(n[j]))
+        i, j = i[keep], j[keep]
+        keep = shared[i, j] >= rule.prefix_overlap(n[i], n[j])
+        left.append(i[keep])
+        right.append(j[keep])
+    i, j = np.concatenate(left), np.concatenate(right)
+    if partners is not None:
+        drawn = mix(mix(node[i].view(np.uint64)) ^ node[j].view(np.uint64))
+        chosen = np.zeros(len(i), dtype=bool)
+        for side in (i, j):
+            order = np.lexsort((drawn, side))
+            start = np.flatnonzero(np.diff(side[order], prepend=-1))
+            nth = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+            chosen[order[nth < partners]] = True
+        i, j = i[chosen], j[chosen]
     return pa.table(
         {"a": node[i], "na": n[i].astype(np.int32), "b": node[j], "nb": n[j].astype(np.int32)}
     )
 
 
-def _common_pairs(common: DataFrame, classes: DataFrame, parts: DataFrame, rule: Threshold) -> DataFrame:
+def _common_pairs(
+    common: DataFrame, classes: DataFrame, parts: DataFrame, rule: Threshold, partners: int | None = None
+) -> DataFrame:
+    """The product over common shingles: all pairs of different parts, or a few of each class."""
     dealt = stored(blocks(common, parts, rule), "blocks")
-    wanted = might_be_in(
-        classes.select("set_id", "prefix"), "set_id", membership_bits(dealt.select(F.col("node").alias("set_id")), "set_id")
-    )
-    full = dealt.join(wanted.withColumnRenamed("set_id", "node"), "node")
+    own = dealt.groupBy("node").agg(F.collect_set("token").alias("lists"))
+    bits = membership_bits(dealt.select(F.col("node").alias("set_id")), "set_id")
+    wanted = might_be_in(classes.select("set_id", "prefix"), "set_id", bits)
+    full = dealt.join(own, "node").join(wanted.withColumnRenamed("set_id", "node"), "node")
 
     def product(table: pa.Table) -> pa.Table:
-        return _product(table, rule)
+        return _product(table, rule, partners)
 
     return full.groupBy("token", "low", "high").applyInArrow(product, "a long, na int, b long, nb int")
 
@@ -463,17 +480,19 @@ def near_duplicates(
     classes = full.groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     listed = stored(lists(classes, rule), "lists")
     common = listed.where("shared is null")
-    near = common.where((F.col("b").isNotNull()) & (F.col("nb") >= _least(F.col("na"), rule)))
-    chained = _enough(near.groupBy("b", "nb", "a", "na").agg(F.count("*").alias("shared")).select(
-        F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb"),
-        (2 * F.col("shared")).alias("shared"),
-    ), rule)
-    first_links = stored(_linked(stored(chained, "chained"), docs, ids, words, rule), "links")
-    parts = stored(components(first_links, rounds=2), "parts")
+    few_links = None
+    parts = docs.sparkSession.createDataFrame([], "node long, component long")
+    for _ in range(DRAWS if not common.isEmpty() else 0):
+        drawn = stored(_common_pairs(common, classes, parts, rule, PARTNERS), "drawn")
+        found = _linked(drawn, docs, ids, words, rule)
+        few_links = stored(found if few_links is None else found.union(few_links), "links")
+        parts = stored(components(few_links), "parts")
     few = listed.where("shared is not null").groupBy("a", "na", "b", "nb").agg(F.sum("shared").alias("shared"))
     pairs = _enough(few, rule).select("a", "na", "b", "nb")
     pairs = stored(pairs.union(_common_pairs(common, classes, parts, rule)).distinct(), "pairs")
-    links = _linked(pairs, docs, ids, words, rule).union(first_links)
+    links = _linked(pairs, docs, ids, words, rule)
+    if few_links is not None:
+        links = links.union(few_links)
     roots = components(links).withColumnRenamed("node", "set_id")
     named = stored(ids.select("set_id", "first_id").join(roots, "set_id"), "named")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -490,10 +509,6 @@ def near_duplicates(
     )
 
 
-def _least(n: Column, rule: Threshold) -> Column:
-    return F.ceil(n * rule.percent / 100)
-
-
 def _enough(pairs: DataFrame, rule: Threshold) -> DataFrame:
     """Pairs (a, na, b, nb, shared) whose prefixes share what the sizes demand."""
     na, nb = F.col("na").cast("long"), F.col("nb").cast("long")
@@ -513,3 +528,33 @@ def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> Data
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
     return one.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ \\t\\n\\x0B\\x0C\\r]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
+        FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+  FROM s a JOIN s b ON a.g = b.g WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), e AS (
+  SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id
+  WHERE 100 * k >= 80 * (nx.n + ny.n - k)
+), r AS (
+  SELECT doc_id, doc_id AS root FROM d
+  UNION
+  SELECT e.y AS doc_id, r.root FROM r JOIN e ON r.doc_id = e.x
+), c AS (
+  SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN c ON d.doc_id = c.doc_id
+"""

@@ -1,5 +1,7 @@
 """The pipeline stage by stage over a small table; and the chat answer in SQL."""
 
+import pytest
+
 import corpus_pipeline
 from checks.compare import connect, difference
 from tests.conftest import TESTDATA
@@ -38,7 +40,7 @@ def test_stages(spark):
     assert sorted(map(key, whole)) == sorted(map(key, packed))
 
 
-def test_chat_answer(spark):
+@pytest.mark.parametrize("name", queries.ORACLE)
+def test_answers_in_sql(spark, name):
     con = connect(SF)
-    result = queries.QUERIES["op9_chat_formatting"](spark, SF)
-    assert difference(result, con, queries.ORACLE["op9_chat_formatting"]) is None
+    assert difference(queries.QUERIES[name](spark, SF), con, queries.ORACLE[name]) is None

@@ -112,6 +112,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f.__name__: f for f in OPERATORS},
     "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {"op9_chat_formatting": chat.SQL}
+ORACLE: dict[str, str] = {
+    "op2_secret_scan": secret_scan.SQL,
+    "op6_ngram_jaccard_join": ngram_join.SQL,
+    "op9_chat_formatting": chat.SQL,
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

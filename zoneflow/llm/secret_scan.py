@@ -377,3 +377,31 @@ def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") ->
 
     cleaned = F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, finish)).otherwise(text)
     return docs.withColumn(text_col, cleaned)
+
+
+def _rule_sql(rule: Rule, order: int) -> str:
+    pattern = _regex(rule).replace("'", "''")
+    return f"""SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, a, a + length(m[i]) AS b, g[i] AS g
+  FROM (SELECT *, coalesce(list_sum([length(x) FOR x IN gap[1:i]]), 0)
+                + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS a
+    FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i
+      FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS m,
+              regexp_extract_all(t, '{pattern}', {rule.group}) AS g,
+              string_split_regex(t, '{pattern}') AS gap
+            FROM docs)))
+  WHERE length(g[i]) >= {rule.least}"""
+
+
+def _list_sql(where: str = "TRUE") -> str:
+    return f"""coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o)
+    FILTER (WHERE kind IS NOT NULL AND {where}), '')"""
+
+
+SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(_rule_sql(rule, n) for n, rule in enumerate(RULES))})
+SELECT docs.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign,
+  count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  sha256({_list_sql("kind IN ('assign', 'access', 'hex')")}) AS base_sha256, {_list_sql()} AS spans
+FROM docs LEFT JOIN spans ON docs.doc_id = spans.doc_id GROUP BY docs.doc_id
+"""

@@ -69,7 +69,7 @@ def labelled_sample(
     )
 
 
-def slices(texts: pd.Series, limit: int = 1 << 21) -> Iterator[list[str]]:
+def slices(texts: pd.Series, limit: int = 1 << 20) -> Iterator[list[str]]:
     """The texts in runs of about ``limit`` characters; NULL counts as empty."""
     run: list[str] = []
     size = 0

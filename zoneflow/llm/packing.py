@@ -59,7 +59,7 @@ class WordEncoder:
     table of words is emptied when it has ``capacity`` entries.
     """
 
-    def __init__(self, path: str, capacity: int = 600_000) -> None:
+    def __init__(self, path: str, capacity: int = 250_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores are Spark's
         from tokenizers import Tokenizer
 

@@ -123,7 +123,7 @@ class Trie:
 class Encoder:
     """Segments texts with one vocabulary; known words are kept, up to ``capacity``."""
 
-    def __init__(self, pieces: Pieces, capacity: int = 400_000) -> None:
+    def __init__(self, pieces: Pieces, capacity: int = 250_000) -> None:
         self.pieces = pieces
         self.trie = Trie(pieces.pieces, tuple(range(len(pieces.pieces))))
         self.scores = np.array(pieces.scores, dtype=np.float64)

@@ -251,7 +251,12 @@ _BODIES: dict[str, str] = {
   AS trips FROM clean UNION ALL SELECT 'after', count(*) FROM clean""",
     "schema_drift": """SELECT 'cbd_congestion_fee' AS column_name, 'added' AS kind,
   count(*) FILTER (WHERE batch_month >= '1998-07') AS filled_rows FROM trips
-  UNION ALL SELECT 'airport_fee', 'missing', 0""",
+  UNION ALL SELECT 'airport_fee', 'missing', 0 UNION ALL """
+    + " UNION ALL ".join(
+        f"SELECT '{name}', 'retyped', count({name}) FROM trips"
+        for name in "passenger_count RatecodeID PULocationID DOLocationID payment_type "
+        "tpep_pickup_datetime tpep_dropoff_datetime".split()
+    ),
     # projections
     "typed_trips": f"""SELECT * EXCLUDE (congestion_surcharge, airport_fee)
   FROM ({_retyped('trips')})""",

@@ -202,3 +202,27 @@ def test_recall(spark):
         best = set(ids[np.argsort(-s)[:5]].tolist())
         hits.append(len(best & got[int(ids[n])]) / 5)
     assert len(hits) == len(got) and np.mean(hits) >= 0.9
+
+
+def test_recall_beside_near_copies(spark):
+    """Most vectors have near copies; the others' neighbours are far and found all the same."""
+    rng = np.random.default_rng(5)
+    copies = np.repeat(rng.normal(size=(150, 24)), 12, axis=0)
+    copies += 1e-3 * rng.normal(size=copies.shape)
+    x = np.concatenate([rng.normal(size=(1_200, 24)), copies])
+    rng.shuffle(x)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(df, "id % 10 = 0").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    lone, all_ = [], []
+    for n in range(0, len(x), 10):
+        s = x @ x[n]
+        s[n] = -2
+        best = np.argsort(-s)[:5]
+        hit = len(set(best.tolist()) & got[n]) / 5
+        all_.append(hit)
+        if s[best[0]] < 0.99:
+            lone.append(hit)
+    assert len(lone) > 100 and np.mean(lone) >= 0.9 and np.mean(all_) >= 0.9

@@ -440,3 +440,17 @@ def test_a_csv_line_with_a_surplus_field_is_kept_as_text(spark, cfg):
     row = zones.read_quarantine(spark, source).first()
     assert (row[MALFORMED], row.quarantine_reason) == (f"{good},more", "multiple_issues")
     assert row.failed_rules == ["readable"]
+
+
+def test_a_column_appended_to_a_batch_is_read(spark, cfg, make, deliver):
+    """Whichever file of the batch comes first, the columns of the others are there."""
+    deliver(make({}), "2024-01")
+    pipeline.run_month(spark, cfg, "2024-01")
+    structured = zones.read_structured(spark, cfg)
+    later = structured.withColumn("ds", F.lit("2024-01-31")).withColumn("late_fee", F.lit(1.5))
+    sinks.write_structured(later, cfg, mode="append")
+    earlier = structured.withColumn("ds", F.lit("2024-01-01")).withColumn("early_fee", F.lit(2.5))
+    sinks.write_structured(earlier, cfg, mode="append")
+    rows = zones.read_structured(spark, cfg).orderBy("ds").collect()
+    assert [(r.ds, r.batch_month) for r in rows] == [(f"2024-01-{d}", "2024-01") for d in ("01", "06", "31")]
+    assert [(r.early_fee, r.late_fee) for r in rows] == [(2.5, None), (None, None), (None, 1.5)]

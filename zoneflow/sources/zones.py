@@ -193,20 +193,13 @@ def structured_schema() -> T.StructType:
 def read_structured(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
     """The structured table; ``ds`` and ``batch_month`` stay text and still prune.
 
-    All files of a batch come from one write and have one schema, so the columns of
-    the table are those of one file per batch.
+    ``append`` brings files of several writes together in a batch, so the columns of
+    the table are those of all files.
     """
     root = cfg.zone_root(STRUCTURED)
     if not storage.has_partitions(spark, root):
         return spark.createDataFrame([], structured_schema())
-    reader = spark.read.option("basePath", root).option("mergeSchema", True)
-    batches = storage.directories(spark, f"{root}/batch_month=*")
-    with ThreadPoolExecutor(storage.THREADS) as pool:
-        firsts = list(pool.map(lambda path: next(storage.files(spark, path), None), batches))
-    if batches and all(firsts):
-        df = spark.read.schema(reader.parquet(*firsts).schema).parquet(root)
-    else:
-        df = reader.parquet(root)
+    df = spark.read.option("basePath", root).option("mergeSchema", True).parquet(root)
     partitions = {"ds": F.col("ds").cast("string"), "batch_month": F.col("batch_month").cast("string")}
     return df.withColumns({n: c for n, c in partitions.items() if n in df.columns})
 

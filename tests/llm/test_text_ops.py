@@ -226,3 +226,14 @@ def test_recall_beside_near_copies(spark):
         if s[best[0]] < 0.99:
             lone.append(hit)
     assert len(lone) > 100 and np.mean(lone) >= 0.9 and np.mean(all_) >= 0.9
+
+
+def test_scaled_copies_go_by_id(spark):
+    """Exactly equal cosines of unequal vectors: the smallest ids win."""
+    rng = np.random.default_rng(7)
+    one = rng.normal(size=6)
+    rows = [(i, (one * 2.0 ** ((i * 7) % 40)).tolist()) for i in range(40)]
+    rows += [(100 + i, rng.normal(size=6).tolist()) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in nearest.search(df, "id = 3").orderBy("rank").collect()]
+    assert got == [0, 1, 2, 4, 5]

@@ -14,11 +14,14 @@ from zoneflow.llm import (
     nearest,
     ngram_join,
     packing,
+    prefix_trie,
     quality,
     secret_scan,
     sentence_pieces,
+    substrings,
     toxicity,
     url_filter,
+    whitening,
     winnowing,
 )
 from zoneflow.llm.common import read_table, remainder
@@ -96,6 +99,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of windows that occur more than once."""
+    cut = substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("kept_text").cast("binary"), 256)
+    return cut.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every beginning of the rebuilt conversations, with members, leaves and savings."""
+    lists = prefix_trie.sequences(read_table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.spliced(lists))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sound vectors, whitened along their eight leading components."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=8)
+
+
 OPERATORS = (
     op1_toxicity,
     op2_secret_scan,
@@ -107,6 +128,9 @@ OPERATORS = (
     op8_url_filter,
     op9_chat_formatting,
     op10_best_fit_packing,
+    op11_substring_dedup,
+    op12_prefix_trie,
+    op13_whitening,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f.__name__: f for f in OPERATORS},
@@ -116,6 +140,8 @@ ORACLE: dict[str, str] = {
     "op2_secret_scan": secret_scan.SQL,
     "op6_ngram_jaccard_join": ngram_join.SQL,
     "op9_chat_formatting": chat.SQL,
+    "op11_substring_dedup": substrings.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

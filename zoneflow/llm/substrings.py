@@ -6,8 +6,8 @@ window is sent where its equals must be: to the shard of its anchor, the rarest
 anchor, and they travel as one stretch of text. A stretch whose anchor no other shares
 cannot hold a repeat and stays behind; equal stretches are one, with a weight.
 
-A shard builds one compressed FM-index over its stretches (wavelet matrix of packed
-bits over the Burrows-Wheeler transform) and streams them through it, all side by side:
+A shard builds one compressed FM-index over its stretches (a wavelet tree of eight
+branches, kept level by level as packed bits, over the Burrows-Wheeler transform) and streams them through it, all side by side:
 backward search extends each match to the left while it still has a weight of two, which
 gives the matching statistics that decide its windows. Shards hold a bounded number of
 words and the whole costs one pass over them, since no text meets a foreign shard.
@@ -34,7 +34,8 @@ WINDOW = 35
 GRAM = 12
 SKETCH_BITS = 22
 SKETCH_PARTS = 64
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 400_000
+MANY = 1 << 14
 LONG_TEXT = 1 << 22  # bytes hashed at once
 STRETCH = 1 << 19  # windows looked at at once
 
@@ -216,36 +217,39 @@ def stretches(
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else none
 
 
-_KEPT = "struct<start:int,size:int,anchor:bigint,words:bigint>"
+_KEPT = "struct<anchor:bigint,words:bigint,size:int,starts:array<int>>"
+
+
+def _gathered(owner: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, words: np.ndarray):
+    """Equal stretches of one text as one, with all their places, ascending."""
+    order = np.lexsort((start, words, anchor, owner))
+    owner, start, size, anchor, words = (x[order] for x in (owner, start, size, anchor, words))
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (anchor[1:] != anchor[:-1]) | (words[1:] != words[:-1])
+    cut = np.flatnonzero(new)
+    places = pa.ListArray.from_arrays(
+        pa.array(np.append(cut, len(owner)), pa.int32()), pa.array(start, pa.int32())
+    )
+    columns = [pa.array(x[cut].view(np.int64)) for x in (anchor, words)]
+    made = pa.StructArray.from_arrays(
+        [*columns, pa.array(size[cut], pa.int32()), places], ["anchor", "words", "size", "starts"]
+    )
+    return owner[cut], made
 
 
 def _described(texts: DataFrame, magnitude: np.ndarray, window: int) -> DataFrame:
     """Per text (``text_id``) its ``stretches``; texts without a window are left out."""
     shared = texts.sparkSession.sparkContext.broadcast(magnitude)
-    kind = pa.list_(
-        pa.struct(
-            [("start", pa.int32()), ("size", pa.int32()), ("anchor", pa.int64()), ("words", pa.int64())]
-        )
-    )
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             for run in chunks(batch.column(1).to_pylist()):
-                codes, bounds = word_codes(run)
-                owner, start, size, anchor, words = stretches(codes, bounds, shared.value, window)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(owner, np.arange(len(run) + 1)), pa.int32()),
-                    pa.StructArray.from_arrays(
-                        [
-                            pa.array(start, pa.int32()), pa.array(size, pa.int32()),
-                            pa.array(anchor.view(np.int64)), pa.array(words.view(np.int64)),
-                        ],
-                        fields=list(kind.value_type),
-                    ),
-                )
+                owner, made = _gathered(*stretches(*word_codes(run), shared.value, window))
+                bounds = pa.array(np.searchsorted(owner, np.arange(len(run) + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(done, len(run)), lists], ["text_id", "stretches"]
+                    [batch.column(0).slice(done, len(run)), pa.ListArray.from_arrays(bounds, made)],
+                    ["text_id", "stretches"],
                 )
                 done += len(run)
 
@@ -257,22 +261,30 @@ def _described(texts: DataFrame, magnitude: np.ndarray, window: int) -> DataFram
 # -- the index of one shard
 
 
-class BitVector:
-    """Packed bits with the number of ones before any place."""
+class Branches:
+    """One level of a wavelet matrix: where each of its ``2 ** BITS`` branches goes on.
 
-    def __init__(self, bits: np.ndarray) -> None:
-        packed = np.packbits(bits, bitorder="little")
-        self.words = np.zeros(len(bits) // 64 + 1, dtype=np.uint64)
-        self.words.view(np.uint8)[: len(packed)] = packed
-        ones = np.bitwise_count(self.words)
-        self.before = np.zeros(len(self.words), dtype=np.int32)
+    Per branch packed bits tell which places take it, and a count per 64 places how many
+    before them do, from where the branch begins in the level below.
+    """
+
+    BITS = 3
+    BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+    def __init__(self, branch: np.ndarray) -> None:
+        self.width = np.int32(len(branch) // 64 + 1)
+        planes = np.zeros((1 << self.BITS, self.width), dtype=np.uint64)
+        for k in range(1 << self.BITS):
+            packed = np.packbits(branch == k, bitorder="little")
+            planes[k].view(np.uint8)[: len(packed)] = packed
+        self.planes = planes.reshape(-1)
+        ones = np.bitwise_count(self.planes)
+        self.before = np.zeros(len(ones), dtype=np.int32)
         np.cumsum(ones[:-1], out=self.before[1:])
-        self.zeros = len(bits) - int(ones.sum())
 
-    def ones(self, at: np.ndarray) -> np.ndarray:
-        word = at >> 6
-        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & below)
+    def follow(self, branch: np.ndarray, at: np.ndarray) -> np.ndarray:
+        word = branch * self.width + (at >> 6)
+        return self.before[word] + np.bitwise_count(self.planes[word] & self.BELOW[at & 63])
 
 
 class FMIndex:
@@ -289,14 +301,16 @@ class FMIndex:
         self.heavier = np.zeros(len(text) + 1, dtype=np.int64)
         np.cumsum(weight[order], out=self.heavier[1:])
         sigma = int(text.max(initial=0)) + 1
-        self.smaller = np.zeros(sigma + 1, dtype=np.int64)
+        self.smaller = np.zeros(sigma + 1, dtype=np.int32)
         np.cumsum(np.bincount(text, minlength=sigma), out=self.smaller[1:])
-        self.levels: list[tuple[int, BitVector]] = []
-        for shift in reversed(range(max(1, (sigma - 1).bit_length()))):
-            bit = (last >> shift) & 1 == 1
-            self.levels.append((shift, BitVector(bit)))
-            last = np.concatenate([last[~bit], last[bit]])
-        self.base = self._place(np.arange(sigma), np.zeros(sigma, dtype=np.int64))
+        self.levels: list[tuple[int, Branches]] = []
+        bits, mask = Branches.BITS, (1 << Branches.BITS) - 1
+        for shift in reversed(range(0, max(1, (sigma - 1).bit_length()), bits)):
+            branch = (last >> shift) & mask
+            self.levels.append((shift, Branches(branch)))
+            last = np.concatenate([last[branch == k] for k in range(mask + 1)])
+        everyone = np.arange(sigma, dtype=np.int32)
+        self.smaller = self.smaller[:-1] - self._place(everyone, np.zeros_like(everyone))
 
     @staticmethod
     def _sorted(text: np.ndarray, depth: int) -> np.ndarray:
@@ -311,14 +325,13 @@ class FMIndex:
         return np.argsort(rank, kind="stable")
 
     def _place(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for shift, bits in self.levels:
-            ones = bits.ones(at)
-            at = np.where((symbol >> shift) & 1 == 1, bits.zeros + ones, at - ones)
+        for shift, branches in self.levels:
+            at = branches.follow((symbol >> shift) & ((1 << Branches.BITS) - 1), at)
         return at
 
     def extend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Interval bounds of ``symbol`` before what the bounds ``at`` stand for."""
-        return self.smaller[symbol] + self._place(symbol, at) - self.base[symbol]
+        return self.smaller[symbol] + self._place(symbol, at)
 
     def weight(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return self.heavier[high] - self.heavier[low]
@@ -328,8 +341,9 @@ def repeats(lists: list[np.ndarray], weight: np.ndarray, window: int) -> tuple[n
     """Windows of the word lists that occur more than once among all: list, first, last.
 
     A list of weight w counts w times. All lists are searched side by side, each from
-    its end. Where a match cannot go on, the windows to its right are decided and the
-    search starts again with the last window that is not.
+    its end, for as long as the match has a weight of two. Where it cannot go on, the
+    windows to its right are decided, and that list's search starts again with the last
+    window that is not.
     """
     length = np.array([len(x) for x in lists])
     first = np.cumsum(length + 1) - length - 1
@@ -337,36 +351,35 @@ def repeats(lists: list[np.ndarray], weight: np.ndarray, window: int) -> tuple[n
     inside = np.ones(len(flat), dtype=bool)
     inside[first + length] = False
     flat[inside] = np.concatenate(lists)
-    text = np.zeros(len(flat), dtype=np.int64)
+    text = np.zeros(len(flat), dtype=np.int32)
     text[inside] = np.unique(flat[inside], return_inverse=True)[1] + 1
     index = FMIndex(text, np.repeat(weight, length + 1), int(length.max()) + 1)
-    lane, end = np.arange(len(lists)), length - 1
-    found = []
+    whole = np.int32(len(text))
+    lane, end, at = np.arange(len(lists)), length - 1, length - 1
+    low, high = np.zeros(len(lane), np.int32), np.full(len(lane), whole)
+    found = [(np.empty(0, np.int64),) * 3]
     while len(lane):
-        stop = _match(index, text, first[lane], end)
-        hit = stop + window <= end
-        found.append((lane[hit], stop[hit] + 1, end[hit] - window + 1))
-        end = np.minimum(stop + window - 1, end - 1)
-        on = (stop >= 0) & (end >= window - 1)
-        lane, end = lane[on], end[on]
+        symbol = text[first[lane] + at]
+        both = index.extend(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        low, high = both[: len(lane)], both[len(lane) :]
+        longer = index.weight(low, high) >= 2
+        at = at - longer
+        stuck = np.flatnonzero(~longer | (at < 0))
+        if not len(stuck):
+            continue
+        stop = at[stuck]
+        hit = stop + window <= end[stuck]
+        found.append((lane[stuck][hit], stop[hit] + 1, end[stuck][hit] - window + 1))
+        # The windows that begin where the match stopped or before are still open.
+        end[stuck] = at[stuck] = np.minimum(stop + window - 1, end[stuck] - 1)
+        low[stuck], high[stuck] = 0, whole
+        on = np.ones(len(lane), dtype=bool)
+        on[stuck] = (stop >= 0) & (end[stuck] >= window - 1)
+        if not on.all():
+            lane, end, at, low, high = lane[on], end[on], at[on], low[on], high[on]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _match(index: FMIndex, text: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Where the matches that end at ``end`` cease to have a weight of two; -1: nowhere."""
-    stop = end.copy()
-    going = np.arange(len(end))
-    low, high = np.zeros(len(end), np.int64), np.full(len(end), len(text), np.int64)
-    while len(going):
-        symbol = text[first[going] + stop[going]]
-        low, high = index.extend(symbol, low), index.extend(symbol, high)
-        still = index.weight(low, high) >= 2
-        stop[going[still]] -= 1
-        still &= stop[going] >= 0
-        going, low, high = going[still], low[still], high[still]
-    return stop
-
-
 # -- all texts
 
 
@@ -378,25 +391,31 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, shard_words: int = SH
     """
     magnitude = gram_magnitudes(texts.select("text"))
     described = stored(_described(texts.select("text_id", "text"), magnitude, window), "stretches")
-    anchors = described.select(F.explode("stretches.anchor").alias("anchor"))
-    shared = stored(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     every = described.select("text_id", F.inline("stretches"))
+    counted = every.groupBy("anchor").agg(F.sum(F.size("starts")).alias("n"), F.count(F.lit(1)).alias("rows"))
+    shared = stored(counted.where("n > 1").select("anchor", "rows"), "anchors")
     near = might_be_in(every, "anchor", membership_bits(shared, "anchor"))
+    many = _many(shared)
     # Copies of a text have the same stretches: one row for them, with their number.
     kept = stored(
-        near.join(shared, "anchor", "left_semi")
-        .groupBy("anchor", "words", "text_id", "start", "size")
-        .agg(F.count(F.lit(1)).alias("n")),
+        _by_key(near, shared.select("anchor"), many.select("anchor"), ["anchor"], "left_semi")
+        .groupBy("anchor", "words", "text_id", "size")
+        .agg(F.count(F.lit(1)).alias("copies"), F.first("starts").alias("starts")),
         "candidates",
     )
     groups = kept.groupBy("anchor", "words").agg(
-        F.sum("n").alias("n"), F.min(F.struct("text_id", "start", "size")).alias("at")
+        F.sum(F.col("copies") * F.size("starts")).alias("n"),
+        F.count(F.lit(1)).alias("rows"),
+        F.min(F.struct("text_id", F.col("starts")[0].alias("start"), "size")).alias("at"),
     )
-    chosen = stored(groups.select("anchor", "words", "n", "at.*"), "representatives")
+    chosen = stored(groups.select("anchor", "words", "n", "rows", "at.*"), "representatives")
     total = chosen.agg(F.sum(F.col("size") + window).alias("words")).first()["words"] or 0
     shards = int(-(-total // shard_words)) or 1
     hits = stored(_search(texts, chosen, shards, window), "hits")
-    spans = kept.join(hits, ["anchor", "words"]).select(
+    many = _many(chosen).select("anchor", "words")
+    found = _by_key(kept, hits, many, ["anchor", "words"], "inner")
+    start = F.explode("starts").alias("start")
+    spans = found.select("text_id", "first", "last", start).select(
         "text_id",
         (F.col("start") + F.col("first")).alias("begin"),
         (F.col("start") + F.col("last") + window).alias("end"),
@@ -404,6 +423,23 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, shard_words: int = SH
     return spans.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
 
+def _many(counted: DataFrame) -> DataFrame:
+    """Keys with more ``rows`` than one in ``MANY`` of all, so there are at most ``MANY``."""
+    total = counted.agg(F.sum("rows").alias("rows")).first()["rows"] or 0
+    return counted.where(F.col("rows") > max(total // MANY, 64))
+
+
+def _by_key(rows: DataFrame, side: DataFrame, many: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join ``rows`` to ``side``; rows of the few keys that have ``many`` are not shuffled.
+
+    ``side`` has a bounded number of rows per key, so its rows of those keys can be sent
+    to all tasks. The other keys have few enough rows for any task.
+    """
+    many = F.broadcast(many)
+    hot = rows.join(many, keys, "left_semi").join(F.broadcast(side.join(many, keys, "left_semi")), keys, how)
+    return hot.unionByName(rows.join(many, keys, "left_anti").join(side, keys, how))
+
+
 def _search(texts: DataFrame, chosen: DataFrame, shards: int, window: int) -> DataFrame:
     """The repeated windows (``first`` to ``last``) of each different stretch."""
     bits = membership_bits(chosen.select("text_id"), "text_id")

@@ -86,7 +86,7 @@ def plain_landing_to_raw(spark: SparkSession, cfg: SourceConfig) -> None:
 
 def plain_raw_to_structured(spark: SparkSession, cfg: SourceConfig) -> None:
     """Four actions over the raw zone, output coalesced by its row count."""
-    raw = read_batches(spark, cfg, RAW).withColumn("batch_month", batch_month())
+    raw = spark.read.parquet(cfg.zone_root(RAW)).withColumn("batch_month", batch_month())
     raw.count()
     clean = remove_outliers(enrich(raw.drop("year", "month")))
     files = max(1, clean.count() // 100_000)

@@ -17,6 +17,7 @@ from zoneflow.sources.sinks import size_for_write
 from zoneflow.sources.zones import read_landing
 
 SOURCE = "yellow-trips"
+RETYPED = "1998-07"
 RUN_TS = datetime(2002, 2, 1, tzinfo=UTC)
 
 _built: dict[tuple[str, str, str], SourceConfig] = {}
@@ -81,3 +82,20 @@ def full_lake(spark: SparkSession, sf_dir: str) -> SourceConfig:
         run_range(spark, cfg, months[0], months[-1], RUN_TS)
         _built[key] = cfg
     return _built[key]
+
+
+def retyped_lake(spark: SparkSession, sf_dir: str) -> SourceConfig:
+    """A lake whose source writes a column of its own as a number first, then as text."""
+    key = ("retyped", spark.sparkContext.applicationId, sf_dir)
+    if key not in _built or not storage.exists(spark, _built[key].root):
+        cfg = empty_lake(spark, "retyped")
+        all_trips = trips(spark, sf_dir)
+        early = F.col("batch_month") < RETYPED
+        zone = F.col("PULocationID")
+        land(all_trips.filter(early).withColumn("zone_code", zone), cfg)
+        text = F.concat(F.lit("Z"), F.lpad(zone.cast("string"), 4, "0"))
+        land(all_trips.filter(~early).withColumn("zone_code", text), cfg)
+        months = span(spark, cfg)
+        run_range(spark, cfg, months[0], months[-1], RUN_TS)
+        _built[key] = cfg
+    return _built[key]

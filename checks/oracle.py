@@ -147,11 +147,11 @@ def _with(body: str) -> str:
 
 
 def _total(column: str) -> str:
-    return f"round(CAST(sum(CAST({column} AS DECIMAL(28,10))) AS DOUBLE), 6)"
+    return f"round(fsum({column}), 6)"
 
 
 def _mean(column: str) -> str:
-    return f"round(CAST(sum(CAST({column} AS DECIMAL(28,10))) AS DOUBLE) / count({column}), 6)"
+    return f"round(fsum({column}) / count({column}), 6)"
 
 
 def _statistics(table: str, keys: str = "") -> str:
@@ -242,6 +242,18 @@ _BODIES: dict[str, str] = {
     "structured_added_column": """SELECT batch_month, count(*) AS rows,
   CASE WHEN batch_month >= '1998-07' THEN count(*) ELSE 0 END AS fees FROM clean
   GROUP BY batch_month""",
+    "structured_retyped_column": """SELECT batch_month, count(*) AS rows, count(*) AS codes,
+  min(code) AS first_code, max(code) AS last_code FROM (SELECT batch_month,
+    CASE WHEN batch_month < '1998-07' THEN CAST(PULocationID AS VARCHAR)
+         ELSE 'Z' || lpad(CAST(PULocationID AS VARCHAR), 4, '0') END AS code FROM clean)
+  GROUP BY batch_month""",
+    "structured_drift": """SELECT 'zone_code' AS column_name, 'retyped' AS kind,
+  count(*) AS filled_rows, 'bigint,string' AS types FROM clean""",
+    "raw_retyped_column": """SELECT CAST(CASE WHEN batch_month < '1998-07'
+      THEN length(CAST(PULocationID AS VARCHAR)) ELSE 5 END AS INTEGER) AS digits, count(*) AS rows
+  FROM valid GROUP BY 1""",
+    "structured_append_batches": """SELECT batch_month, ds, 2 * count(*) AS trip_count FROM clean
+  GROUP BY batch_month, ds""",
     "structured_append": "SELECT ds, 2 * count(*) AS trip_count FROM clean GROUP BY ds",
     "structured_replace": """SELECT batch_month, ds, count(*) AS trip_count FROM clean
   GROUP BY batch_month, ds""",

@@ -17,6 +17,7 @@ from checks.lake import (
     full_lake,
     land,
     landed,
+    retyped_lake,
     span,
     trips,
 )
@@ -161,7 +162,7 @@ def batch_status(spark, sf_dir):
     months = span(spark, cfg)
     rubbish = spark.createDataFrame([("rubbish rubbish PAR1",)], "value string")
     rubbish.write.text(cfg.batch_path(LANDING, months[-1]))
-    return manifest.batch_status(spark, cfg, months).drop("files")
+    return manifest.batch_status(spark, cfg, months).drop("files", "broken")
 
 
 @query
@@ -365,6 +366,39 @@ def structured_added_column(spark, sf_dir):
     )
 
 
+@query
+def structured_retyped_column(spark, sf_dir):
+    """A column beyond the contract that is a number in early months and text later."""
+    return zones.read_structured(spark, retyped_lake(spark, sf_dir)).groupBy("batch_month").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("zone_code").alias("codes"),
+        F.min("zone_code").alias("first_code"),
+        F.max("zone_code").alias("last_code"),
+    )
+
+
+@query
+def structured_drift(spark, sf_dir):
+    """What the zone's own record says of that column, with the types it was written in."""
+    return zones.structured_drift(spark, retyped_lake(spark, sf_dir))
+
+
+@query
+def raw_retyped_column(spark, sf_dir):
+    """The same column in raw, where both kinds of month are read together."""
+    raw = zones.read_raw(spark, retyped_lake(spark, sf_dir))
+    return rows_by(raw, F.length("zone_code").alias("digits"), name="rows")
+
+
+@query
+def structured_append_batches(spark, sf_dir):
+    """Two appends in the layout the jobs write, by month and day."""
+    cfg = empty_lake(spark, "append-batches")
+    for _ in range(2):
+        sinks.write_structured(clean(spark, sf_dir), cfg, mode="append")
+    return rows_by(zones.read_structured(spark, cfg), "batch_month", "ds", name="trip_count")
+
+
 @query
 def schema_drift(spark, sf_dir):
     """From one month on a source brings a new column; it never brought one of ours."""

@@ -1,11 +1,12 @@
 import math
+import random
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from zoneflow.config import OutlierLimits
-from zoneflow.functions.numeric import exact_avg, exact_sum
+from zoneflow.functions.numeric import exact_sums
 from zoneflow.operators.casts import cast_trips, split_datetimes
 from zoneflow.operators.contract import canonical_names
 from zoneflow.operators.enrich import (
@@ -119,10 +120,43 @@ def test_statistics(make):
 
 def test_sums_do_not_depend_on_order(spark):
     df = spark.range(20_000).select((F.col("id") % 977 / 100).alias("x"))
-    sums = {df.repartition(n).agg(exact_sum("x"), exact_avg("x")).first() for n in (1, 3, 7)}
+    sums = {exact_sums(df.repartition(n), (), ("x",)).first() for n in (1, 3, 7)}
     assert len(sums) == 1
     total = sum(i % 977 for i in range(20_000))
-    assert sums.pop()[0] == total / 100
+    assert sums.pop()["sum_x"] == total / 100
+
+
+def test_sums_of_any_size(spark):
+    """Against the exactly rounded sum, whatever the exponents."""
+    rng = random.Random(7)
+    groups = {
+        "tiny": [1e-18, 1e-16, 3e-17],
+        "huge": [1.7e308, -1.6e308, 1e300, 5.0],
+        "mixed": [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randint(-30, 30) for _ in range(500)],
+        "close": [rng.random() * 2.0 ** rng.randint(-3, 34) for _ in range(500)] + [2.0**32, 2.0**32 - 2**-21],
+        "cancel": [1e16, 1.0, -1e16],
+        "zero": [0.0, -0.0],
+    }
+    rows = [(k, x) for k, values in groups.items() for x in [*values, None]]
+    rows += [("nan", float("nan")), ("nan", 1.0), ("inf", float("inf")), ("inf", 2.0), ("none", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    got = {r.k: r for r in exact_sums(df, ("k",), ("x",)).collect()}
+    for k, values in groups.items():
+        assert got[k].sum_x == pytest.approx(math.fsum(values), rel=1e-15, abs=0)
+        assert (got[k].count_x, got[k].rows) == (len(values), len(values) + 1)
+        assert got[k].avg_x == got[k].sum_x / len(values)
+    assert math.isnan(got["nan"].sum_x) and got["inf"].sum_x == float("inf")
+    assert (got["none"].sum_x, got["none"].avg_x, got["none"].count_x) == (None, None, 0)
+    empty = exact_sums(df.limit(0), (), ("x",)).first()
+    assert (empty.rows, empty.sum_x) == (0, None)
+
+
+def test_statistics_of_tiny_distances(make):
+    tiny = [make({"trip_distance": d}) for d in (1e-18, 1e-16)]
+    for frame, distance in zip(tiny, (1e-18, 1e-16), strict=True):
+        row = batch_stats(structure(frame)).first()
+        assert row.avg_distance == distance and row.avg_fare_per_mile == 20.0 / distance
 
 
 def test_reports_run_on_any_trips(make):

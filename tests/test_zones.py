@@ -1,4 +1,5 @@
 import os
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import datetime
@@ -6,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from zoneflow import storage
+from zoneflow import paths, storage, versions
 from zoneflow.config import (
     LANDING,
     MALFORMED,
@@ -454,3 +455,201 @@ def test_a_column_appended_to_a_batch_is_read(spark, cfg, make, deliver):
     rows = zones.read_structured(spark, cfg).orderBy("ds").collect()
     assert [(r.ds, r.batch_month) for r in rows] == [(f"2024-01-{d}", "2024-01") for d in ("01", "06", "31")]
     assert [(r.early_fee, r.late_fee) for r in rows] == [(2.5, None), (None, None), (None, 1.5)]
+
+
+# -- batch versions
+
+
+class Killed(BaseException):
+    """Stands for a driver that is gone: nothing of ours handles it."""
+
+
+def kill_at(monkeypatch, module, name, calls=1):
+    """The process ends when ``name`` is called for the n-th time, before it does anything."""
+    left = [calls]
+    original = getattr(module, name)
+
+    def call(*args, **kwargs):
+        left[0] -= 1
+        if not left[0]:
+            raise Killed
+        return original(*args, **kwargs)
+
+    monkeypatch.setattr(module, name, call)
+
+
+def half_written(spark, path, text):
+    """A note whose writer was killed in the middle: its part file is there, its name is not."""
+    fs, part = paths.open_path(spark, f"{path.rsplit('/', 1)[0]}/.killed")
+    stream = fs.create(part, True)
+    stream.write(bytearray(text[:20].encode()))
+    stream.close()
+    raise Killed
+
+
+@pytest.mark.parametrize("step", ["before the note", "in the note"])
+@pytest.mark.parametrize("mode", ["replace", "append"])
+def test_a_writer_killed_at_any_step(spark, cfg, make, deliver, monkeypatch, mode, step):
+    for month, row in (("2024-01", {}), ("2024-02", FEBRUARY)):
+        deliver(make(row, row), month)
+    pipeline.run_range(spark, cfg, "2024-01", "2024-02")
+    trips = zones.read_structured(spark, cfg)
+    with monkeypatch.context() as m:
+        if step == "in the note":
+            m.setattr(paths, "write_note", half_written)
+        else:
+            kill_at(m, versions, "commit")
+        with pytest.raises(Killed):
+            sinks.write_structured(trips.limit(1), cfg, ["2024-01", "2024-02"], mode)
+        with pytest.raises(Killed):
+            kill_at(m, versions, "commit")
+            sinks.write_batches(zones.read_batches(spark, cfg, RAW).limit(0), cfg, RAW, ["2024-01"], True)
+    assert [counts(spark, cfg, m) for m in ("2024-01", "2024-02")] == [(2, 0, 2)] * 2
+    sinks.write_structured(trips, cfg, ["2024-01", "2024-02"], mode)
+    whole = 2 if mode == "replace" else 4
+    assert [counts(spark, cfg, m)[2] for m in ("2024-01", "2024-02")] == [whole] * 2
+
+
+def test_notes_are_summed_up_and_versions_swept(spark, cfg, make, monkeypatch):
+    monkeypatch.setattr(versions, "FOLD_AFTER", 3)
+    root = cfg.zone_root(RAW)
+    raw = make({}).withColumns({"year": F.lit("2024"), "month": F.lit("01")})
+    for n in range(6):
+        sinks.write_batches(raw.withColumn("n", F.lit(n)), cfg, RAW, [f"2024-0{n % 2 + 1}"], False)
+    reader = zones.read_batches(spark, cfg, RAW)
+    assert storage.batch_months(spark, cfg, RAW) == ["2024-01", "2024-02"]
+    assert sorted(r.n for r in reader.collect()) == [4, 5]
+    assert versions.sweep(spark, root) == []  # all are young: someone may still read them
+    assert len(versions.sweep(spark, root, keep_hours=0)) == 4
+    assert versions.sweep(spark, root, keep_hours=0) == []
+    assert sorted(r.n for r in zones.read_batches(spark, cfg, RAW).collect()) == [4, 5]
+    assert len(versions._note_names(spark, root)) <= 3
+    versions.remove(spark, root, ["2024-01", "1999-01"])
+    assert storage.batch_months(spark, cfg, RAW) == ["2024-02"]
+
+
+def test_a_note_that_a_sum_missed_still_counts(spark, cfg, make):
+    """A writer at the same time as a sweep: its note is older by name than the sum."""
+    root = cfg.zone_root(RAW)
+    part = versions.Part(None, "{}")
+    versions.commit(spark, root, {"2024-01": [part]})
+    names = versions._note_names(spark, root)
+    versions.commit(spark, root, {"2024-02": [part]})
+    late = versions._note_names(spark, root)[-1]
+    versions._write(spark, root, [f"{9:012d}-x"], versions.SUM, versions._body({"2024-01": [part]}, mode="replace", seen=names))
+    assert late not in names and list(versions.batches(spark, root)) == ["2024-01", "2024-02"]
+
+
+def test_a_zone_of_other_make_is_not_hidden(spark, cfg, make):
+    make({}).write.parquet(cfg.batch_path(RAW, "2024-01"))
+    assert zones.read_batches(spark, cfg, RAW).count() == 1
+    raw = make({}).withColumns({"year": F.lit("2024"), "month": F.lit("02")})
+    with pytest.raises(ValueError, match="without versions"):
+        sinks.write_batches(raw, cfg, RAW, ["2024-02"], False)
+
+
+# -- columns that change
+
+
+def test_a_column_that_changes_its_type(spark, cfg, make, deliver):
+    """Number in March, text in April: raw, structured, reports and the backfill go on."""
+    march, april = "2024-03", "2024-04"
+    deliver(make({}, BAD).withColumn("zone_code", F.lit(7)), march)
+    deliver(make({}, {}).withColumn("zone_code", F.lit("Z7")), april)
+    report = pipeline.run_range(spark, cfg, march, april)
+    assert report.months == (march, april) and report.failed == ()
+    raw = zones.read_raw(spark, cfg)
+    assert sorted(r.zone_code for r in raw.collect()) == ["7", "Z7", "Z7"]
+    for month, codes in ((march, ["7"]), (april, ["Z7", "Z7"])):
+        pipeline.run_month(spark, cfg, month)
+        found = zones.read_structured(spark, cfg).filter(F.col("batch_month") == month).collect()
+        assert [r.zone_code for r in found] == codes
+    assert zones.trips_between(spark, cfg, "2024-01-06", "2024-01-06").count() == 3
+    assert trip_report("total_trips", zones.read_structured(spark, cfg)).first().total_trips == 3
+    drift = {r.column_name: r for r in zones.structured_drift(spark, cfg).collect()}
+    assert (drift["zone_code"].kind, drift["zone_code"].types) == ("retyped", "int,string")
+
+
+def test_no_footer_is_opened_to_plan_a_read(spark, cfg, make, deliver):
+    deliver(make({}), "2024-01")
+    deliver(make(FEBRUARY).withColumn("note", F.lit(1)), "2024-02")
+    pipeline.run_range(spark, cfg, "2024-01", "2024-02")
+    file = next(f for f in storage.files(spark, cfg.zone_root(STRUCTURED)) if "ds=2024-02" in f)
+    with open(file.removeprefix("file:"), "wb") as broken:
+        broken.write(b"rubbish")
+    assert zones.trips_between(spark, cfg, "2024-01-01", "2024-01-31").count() == 1
+
+
+def jobs_of(spark, run):
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    run()
+    found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext._jsc.clearJobGroup()
+    return found
+
+
+def test_planning_takes_two_jobs_for_any_number_of_months(spark, cfg, make, deliver):
+    for month in range(1, 10):
+        deliver(make({}), f"2024-0{month}")
+    assert jobs_of(spark, lambda: zones.read_landing(spark, cfg)) <= 2
+    months = [f"2024-0{m}" for m in range(1, 10)]
+    assert jobs_of(spark, lambda: batch_status(spark, cfg, months)) <= 1
+    pipeline.run_range(spark, cfg, "2024-01", "2024-09")
+    assert jobs_of(spark, lambda: zones.read_raw(spark, cfg)) == 0
+    assert jobs_of(spark, lambda: zones.read_structured(spark, cfg)) == 0
+
+
+def test_status_names_the_broken_file(spark, cfg, make, deliver):
+    deliver(make({}), "2024-01")
+    put(cfg.batch_path(LANDING, "2024-01"), "broken.parquet", b"rubbish rubbish PAR1")
+    row = batch_status(spark, cfg, ["2024-01"]).first()
+    assert row.status == "failed" and [p.rsplit("/", 1)[1] for p in row.broken] == ["broken.parquet"]
+
+
+# -- promotion and the catalog over failures
+
+
+def test_promoted_rows_come_back_after_a_failed_run(spark, cfg, make, deliver, monkeypatch):
+    deliver(make({}, {"passenger_count": 0.0}), "2024-01")
+    pipeline.run_month(spark, cfg, "2024-01")
+    promote(spark, cfg, ["2024-01"])
+    pipeline.raw_to_structured(spark, cfg, ["2024-01"])
+    assert zones.read_structured(spark, cfg).count() == 2
+    for broken in ("write_batches", "promote"):
+        with monkeypatch.context() as m:
+            m.setattr(pipeline, broken, lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                pipeline.run_month(spark, cfg, "2024-01")
+        pipeline.run_month(spark, cfg, "2024-01")
+        assert zones.read_structured(spark, cfg).count() == 2
+
+
+def test_the_table_grows_in_place(spark, cfg, make, deliver):
+    name, root = "growing_trips", cfg.zone_root(STRUCTURED)
+    deliver(make({}), "2024-01")
+    pipeline.run_month(spark, cfg, "2024-01")
+    sinks.register_zone(spark, name, root)
+    deliver(make(FEBRUARY).withColumn("late_fee", F.lit(2.5)), "2024-02")
+    pipeline.run_range(spark, cfg, "2024-01", "2024-02")
+    spark.sql(f"SELECT count(*) FROM {name}").collect()
+    sinks.repair_table(spark, name)
+    rows = spark.sql(f"SELECT batch_month, late_fee FROM {name} ORDER BY 1").collect()
+    assert [tuple(r) for r in rows] == [("2024-01", None), ("2024-02", 2.5)]
+    pipeline.raw_to_structured(spark, cfg, ["2024-02"], mode="append")
+    sinks.repair_table(spark, name)
+    assert spark.table(name).count() == zones.read_structured(spark, cfg).count() == 3
+    versions.remove(spark, root, ["2024-02"])
+    sinks.repair_table(spark, name)
+    assert spark.table(name).count() == 1 and "late_fee" in spark.table(name).columns
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_figures_with_copies_and_dedup(spark, cfg, make, deliver):
+    deliver(make({}, {}, BAD, BAD, BAD).coalesce(1), "2024-01")
+    for dedup, valid in ((False, 2), (True, 1)):
+        report = pipeline.landing_to_raw(spark, cfg, ["2024-01"], dedup=dedup)
+        row = report.quality().first()
+        assert (row.input_rows, row.valid_rows, row.rejected_rows, row.invalid_rows) == (5, valid, 3, 1)
+        assert row.quality_rate == 40.0
+    assert "_copies" not in zones.read_quarantine(spark, cfg).columns

@@ -16,6 +16,8 @@ METRICS = "metrics"
 
 MALFORMED = "_malformed"  # the text of a landed line that could not be read as a row
 
+COPIES = "_copies"  # how many equal rejected rows of one file a quarantined row stands for
+
 PICKUP = "tpep_pickup_datetime"
 DROPOFF = "tpep_dropoff_datetime"
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zoneflow.config import REQUIRED_COLUMNS, TRIP_TYPES
 
@@ -40,6 +42,91 @@ def missing_columns(df: DataFrame, required: Iterable[str] = REQUIRED_COLUMNS) -
     return [name for name in required if name.lower() not in present]
 
 
+# Whole numbers and fractions by what they can hold; a wider type takes the narrower.
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+_FRACTION = ("float", "double")
+_TIMES = ("date", "timestamp_ntz", "timestamp")
+
+
+def merged_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that holds a column which is ``a`` in one batch and ``b`` in another.
+
+    Numbers widen, dates become times, a column without a type takes the other's, and
+    whatever else clashes becomes text.
+    """
+    one, two = a.simpleString(), b.simpleString()
+    if one == two or one == "void":
+        return b
+    if two == "void":
+        return a
+    for family in (_WHOLE, _FRACTION, _TIMES):
+        if one in family and two in family:
+            return max((a, b), key=lambda t: family.index(t.simpleString()))
+    numbers = (*_WHOLE, *_FRACTION)
+    if one in numbers and two in numbers:
+        return T.DoubleType()
+    if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
+        scale = max(a.scale, b.scale)
+        whole = max(a.precision - a.scale, b.precision - b.scale)
+        if whole + scale <= 38:
+            return T.DecimalType(whole + scale, scale)
+    return T.StringType()
+
+
+def merged_schema(schemas: Iterable[T.StructType]) -> T.StructType:
+    """All columns of some schemas, by name without regard to case, in types that hold all."""
+    found: dict[str, T.StructField] = {}
+    for schema in schemas:
+        for field in schema:
+            known = found.get(field.name.lower())
+            kind = field.dataType if known is None else merged_type(known.dataType, field.dataType)
+            found[field.name.lower()] = T.StructField(known.name if known else field.name, kind)
+    return T.StructType(list(found.values()))
+
+
+def as_text(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_json(column)
+    return column.cast("string")
+
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` in its order and types; those ``df`` lacks are NULL."""
+    present = {field.name.lower(): field for field in df.schema}
+
+    def column(wanted: T.StructField) -> Column:
+        found = present.get(wanted.name.lower())
+        if found is None:
+            return F.lit(None).cast(wanted.dataType).alias(wanted.name)
+        own = F.col(f"`{found.name}`")
+        if found.dataType == wanted.dataType:
+            return own.alias(wanted.name)
+        if isinstance(wanted.dataType, T.StringType):
+            return as_text(own, found.dataType).alias(wanted.name)
+        return own.cast(wanted.dataType).alias(wanted.name)
+
+    return df.select(*(column(field) for field in schema))
+
+
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
+    """All rows by column name; columns that only some have, or have in other types, too."""
+    if len(parts) == 1:
+        return parts[0]
+    whole = merged_schema(part.schema for part in parts)
+    return reduce(DataFrame.union, (conform(part, whole) for part in parts))
+
+
+def retyped_columns(schemas: Iterable[T.StructType]) -> dict[str, list[str]]:
+    """Columns that not all schemas hold in one type, and the types met."""
+    types: dict[str, list[str]] = {}
+    for schema in schemas:
+        for field in schema:
+            met = types.setdefault(field.name.lower(), [])
+            if field.dataType.simpleString() not in met:
+                met.append(field.dataType.simpleString())
+    return {name: sorted(met) for name, met in types.items() if len(met) > 1}
+
+
 def schema_check(df: DataFrame, required: Iterable[str] = REQUIRED_COLUMNS) -> DataFrame:
     """One row per required column: is it there, and in how many rows is it filled."""
     required = list(required)

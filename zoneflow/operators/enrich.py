@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zoneflow.config import PICKUP, OutlierLimits
 from zoneflow.functions.features import time_features, trip_metrics
-from zoneflow.functions.numeric import exact_avg, exact_sum, percentage
+from zoneflow.functions.numeric import exact_sums, percentage
 from zoneflow.operators.casts import cast_trips
 
 
@@ -85,11 +85,13 @@ def outlier_metrics(enriched: DataFrame, limits: OutlierLimits = OutlierLimits()
 
 def batch_stats(clean: DataFrame, *keys: str) -> DataFrame:
     """Statistics of cleaned trips, overall or per ``keys``; NULL where none is left."""
-    return clean.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_trips"),
-        exact_sum("fare_amount").alias("total_fare"),
-        exact_avg("trip_distance").alias("avg_distance"),
-        exact_avg("trip_duration_minutes").alias("avg_duration"),
-        exact_avg("avg_speed_mph").alias("avg_speed"),
-        exact_avg("fare_per_mile").alias("avg_fare_per_mile"),
+    measures = ("fare_amount", "trip_distance", "trip_duration_minutes", "avg_speed_mph", "fare_per_mile")
+    return exact_sums(clean, keys, measures).select(
+        *keys,
+        F.col("rows").alias("total_trips"),
+        F.col("sum_fare_amount").alias("total_fare"),
+        F.col("avg_trip_distance").alias("avg_distance"),
+        F.col("avg_trip_duration_minutes").alias("avg_duration"),
+        F.col("avg_avg_speed_mph").alias("avg_speed"),
+        F.col("avg_fare_per_mile").alias("avg_fare_per_mile"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zoneflow.config import MALFORMED, QualityTargets
+from zoneflow.config import COPIES, MALFORMED, QualityTargets
 from zoneflow.functions.numeric import percentage
 from zoneflow.functions.rules import all_hold, failed_rules, is_valid, reason, trip_rules
 
@@ -35,6 +35,17 @@ def rejected_rows(df: DataFrame, distinct: bool = True) -> DataFrame:
     return rejected.dropDuplicates() if distinct else rejected
 
 
+def counted_rejects(df: DataFrame) -> DataFrame:
+    """The distinct rejected rows, each with its number in ``COPIES``.
+
+    Equal rows are counted where they are collapsed, before the shuffle, so what was
+    rejected in all needs no further pass over the data.
+    """
+    rejected = df.filter(~is_valid(trip_rules(df.schema)))
+    names = [F.col(f"`{name}`") for name in df.columns]
+    return rejected.groupBy(*names).agg(F.count(F.lit(1)).alias(COPIES))
+
+
 def rejected_by_set_operation(df: DataFrame) -> DataFrame:
     """The same distinct rejected rows, stated as ``df EXCEPT valid rows``."""
     valid = valid_rows(df)
@@ -46,6 +57,11 @@ def split_quality(df: DataFrame, distinct: bool = True) -> tuple[DataFrame, Data
     return valid_rows(df), tag_quality(rejected_rows(df, distinct))
 
 
+def split_counted(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``split_quality``, rejected rows with ``COPIES``."""
+    return valid_rows(df), tag_quality(counted_rejects(df))
+
+
 def rule_results(df: DataFrame, group: str | None = None) -> DataFrame:
     """Per rule: how many rows pass, break it, or leave it undecided (NULL)."""
     rules = [r for r in trip_rules(df.schema) if group in (None, r.group)]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from zoneflow import storage
 from zoneflow.config import (
-    LANDING,
+    COPIES,
     METRICS,
     PROMOTED,
     QUARANTINE,
@@ -29,7 +29,7 @@ from zoneflow.functions.numeric import percentage
 from zoneflow.operators.enrich import batch_stats
 from zoneflow.operators.quality import rates
 from zoneflow.sources.sinks import write_batches
-from zoneflow.sources.zones import batch_month, batch_paths, read_batches, read_structured
+from zoneflow.sources.zones import batch_month, read_batches, read_structured
 
 MONTHLY = "batch_month string, rows bigint"
 
@@ -39,20 +39,13 @@ def _zone_rows(
 ) -> DataFrame:
     """Rows per month of a zone, without reading a data column."""
     if zone == STRUCTURED:
-        trips = read_structured(spark, cfg).filter(F.col("batch_month").isin(list(months)))
+        trips = read_structured(spark, cfg, months)
         return trips.groupBy("batch_month").agg(F.count(F.lit(1)).alias("rows"))
     known = set(storage.batch_months(spark, cfg, zone))
     present = [month for month in months if month in known]
     if not present:
         return spark.createDataFrame([], MONTHLY)
-    fmt = cfg.fmt if zone == LANDING else "parquet"
-    rows = (
-        spark.read.format(fmt)
-        .schema("_none string, year int, month int")
-        .option("header", fmt == "csv")
-        .option("basePath", cfg.zone_root(zone))
-        .load(batch_paths(spark, cfg, zone, present))
-    )
+    rows = read_batches(spark, cfg, zone, present)
     return rows.groupBy(batch_month().alias("batch_month")).agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -79,35 +72,33 @@ def rows_by_zone(
     return _side_by_side({n: _zone_rows(spark, cfg, zone, months) for n, zone in zones.items()})
 
 
-def write_metrics(judged: DataFrame, cfg: SourceConfig, months: Sequence[str]) -> None:
+FIGURES = "year int, month int, input_rows bigint, passed_rows bigint, valid_rows bigint, invalid_rows bigint"
+
+
+def write_metrics(
+    spark: SparkSession, cfg: SourceConfig, months: Sequence[str], landed: DataFrame | None = None
+) -> None:
     """Write down a run's figures, one row per month: the one place they come from.
 
-    ``judged`` are the rows the run read, by the file list it read them by, with
-    ``_holds``. What was kept is counted in the zones just written.
+    They follow from the zones just written: what was kept is there, and every rejected
+    row says how many it stands for. Only where equal valid rows were dropped is the
+    number of rows read needed too: ``landed`` then are those rows, as the run read them.
     """
-    spark = judged.sparkSession
-    read = {
-        row["m"]: row
-        for row in judged.groupBy(batch_month().alias("m"))
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if("_holds").alias("held"))
-        .collect()
-    }
-    kept = {
-        row["batch_month"]: row
-        for row in rows_by_zone(spark, cfg, months, raw=RAW, rejected=QUARANTINE).collect()
-    }
-    rows = [
-        (
-            *map(int, month.split("-")),
-            read[month]["n"] if month in read else 0,
-            read[month]["held"] if month in read else 0,
-            kept[month]["raw"] if month in kept else 0,
-            kept[month]["rejected"] if month in kept else 0,
-        )
-        for month in months
-    ]
-    names = "year int, month int, input_rows bigint, passed_rows bigint, valid_rows bigint, invalid_rows bigint"
-    write_batches(spark.createDataFrame(rows, names).coalesce(1), cfg, METRICS, months, gather=False)
+    raw = _zone_rows(spark, cfg, RAW, months)
+    quarantine = read_batches(spark, cfg, QUARANTINE, months).groupBy(batch_month().alias("batch_month"))
+    quarantine = quarantine.agg(F.count(F.lit(1)).alias("n"), F.sum(COPIES).alias("copies"))
+    valid = {row["batch_month"]: row["rows"] for row in raw.collect()}
+    rejected = {row["batch_month"]: (row["n"], row["copies"]) for row in quarantine.collect()}
+    read: dict[str, int] = {}
+    if landed is not None:
+        counted = landed.groupBy(batch_month().alias("m")).agg(F.count(F.lit(1)).alias("n"))
+        read = {row["m"]: row["n"] for row in counted.collect()}
+    rows = []
+    for month in months:
+        kept, (distinct, copies) = valid.get(month, 0), rejected.get(month, (0, 0))
+        passed = kept if landed is None else read.get(month, 0) - copies
+        rows.append((*map(int, month.split("-")), passed + copies, passed, kept, distinct))
+    write_batches(spark.createDataFrame(rows, FIGURES).coalesce(1), cfg, METRICS, months, gather=False)
 
 
 def quality_over_time(
@@ -124,8 +115,7 @@ def quality_over_time(
     if wanted:
         figures = read_batches(spark, cfg, METRICS, wanted)
     else:
-        names = "year int, month int, input_rows bigint, passed_rows bigint, valid_rows bigint, invalid_rows bigint"
-        figures = spark.createDataFrame([], names)
+        figures = spark.createDataFrame([], FIGURES)
     counts = figures.select(
         batch_month().alias("batch_month"), "input_rows", "passed_rows", "valid_rows", "invalid_rows"
     )
@@ -172,7 +162,7 @@ def structured_over_time(
         _zone_rows(spark, cfg, PROMOTED, months)
     )
     taken_in = taken_in.groupBy("batch_month").agg(F.sum("rows").alias("input_rows"))
-    structured = read_structured(spark, cfg).filter(F.col("batch_month").isin(list(months)))
+    structured = read_structured(spark, cfg, months)
     clean_rows = F.coalesce("total_trips", F.lit(0))
     removed = F.col("input_rows") - clean_rows
     return taken_in.join(batch_stats(structured, "batch_month"), "batch_month", "left").withColumns(
@@ -195,5 +185,5 @@ def outliers_over_time(
 def statistics_over_time(
     spark: SparkSession, cfg: SourceConfig, months: Sequence[str]
 ) -> DataFrame:
-    structured = read_structured(spark, cfg).filter(F.col("batch_month").isin(list(months)))
+    structured = read_structured(spark, cfg, months)
     return batch_stats(structured, "batch_month")

@@ -6,13 +6,13 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zoneflow import storage
+from zoneflow import versions
 from zoneflow.config import (
+    COPIES,
     LANDING,
     PROMOTED,
     QUARANTINE,
@@ -23,10 +23,10 @@ from zoneflow.config import (
     SourceConfig,
     months_between,
 )
-from zoneflow.functions.rules import MISSING_COLUMNS, is_valid, trip_rules
-from zoneflow.operators.contract import SchemaContractError, canonical_names, missing_columns
+from zoneflow.functions.rules import MISSING_COLUMNS
+from zoneflow.operators.contract import SchemaContractError, canonical_names, missing_columns, union_all
 from zoneflow.operators.enrich import structure
-from zoneflow.operators.quality import split_quality
+from zoneflow.operators.quality import split_counted
 from zoneflow.plans import monitoring
 from zoneflow.plans.remediation import promote
 from zoneflow.sources.manifest import FAILED, READY, SKIP, batch_status
@@ -96,14 +96,14 @@ def _split_landing(
         landed = read_batches(spark, cfg, LANDING, group, run_ts)
         landed = canonical_names(landed, cfg.columns)
         repaired = promoted_months(spark, cfg, group)
-        for zone in (PROMOTED, UNRESOLVED):
-            storage.delete_batches(spark, cfg, zone, group)
         if missing := missing_columns(landed, cfg.required):
             quarantine_batches(landed, cfg, group)
-            monitoring.write_metrics(landed.withColumn("_holds", F.lit(False)), cfg, group)
+            monitoring.write_metrics(spark, cfg, group)
             split.lacking.update(dict.fromkeys(group, missing))
+            for zone in (PROMOTED, UNRESOLVED):
+                versions.remove(spark, cfg.zone_root(zone), group)
             continue
-        valid, rejected = split_quality(landed)
+        valid, rejected = split_counted(landed)
         if dedup:
             valid = valid.dropDuplicates()
         with ThreadPoolExecutor(2) as pool:
@@ -114,9 +114,11 @@ def _split_landing(
             ]
         for write in writes:
             write.result()
-        holds = is_valid(trip_rules(landed.schema))
-        monitoring.write_metrics(landed.withColumn("_holds", holds), cfg, group)
-        if repaired:  # what was promoted before is judged again, not lost
+        # Equal valid rows that were dropped are counted from footers, in no column.
+        monitoring.write_metrics(spark, cfg, group, landed if dedup else None)
+        # What was promoted is judged again and replaced at once: until then the zone says
+        # which months that are, so a run that fails here is made good by the next.
+        if repaired:
             promote(spark, cfg, repaired)
         split.done.append(group)
     return split
@@ -142,8 +144,8 @@ def landing_to_raw(
 
 def quarantine_batches(df: DataFrame, cfg: SourceConfig, months: Sequence[str]) -> None:
     """Send whole months to quarantine because columns are missing."""
-    storage.delete_batches(df.sparkSession, cfg, RAW, months)
-    flagged = df.withColumn("quarantine_reason", F.lit(MISSING_COLUMNS))
+    versions.remove(df.sparkSession, cfg.zone_root(RAW), months)
+    flagged = df.withColumns({COPIES: F.lit(1).cast("bigint"), "quarantine_reason": F.lit(MISSING_COLUMNS)})
     write_batches(flagged, cfg, QUARANTINE, months, gather=False)
 
 
@@ -172,7 +174,7 @@ def _structure_raw(
         parts.append(structure(raw, cfg.limits))
     whole = [month for month in months if month not in lacking]
     if parts and whole:
-        clean = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        clean = union_all(parts)
         if lacking:
             clean = clean.filter(F.col("batch_month").isin(whole))
         write_structured(clean, cfg, whole, mode)
@@ -205,7 +207,7 @@ def run_months(
     status = {row.batch_month: row.status for row in batch_status(spark, cfg, months).collect()}
     ready = [m for m in months if status[m] == READY]
     split = _split_landing(spark, cfg, ready, run_ts)
-    storage.delete(spark, [cfg.batch_path(STRUCTURED, month) for month in split.lacking])
+    versions.remove(spark, cfg.zone_root(STRUCTURED), split.lacking)
     stopped = {*split.lacking, *split.broken}
     taken = [month for month in ready if month not in stopped]
     stopped |= set(_structure_raw(spark, cfg, taken, split.done, "replace"))

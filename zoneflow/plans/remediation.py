@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from zoneflow import storage
-from zoneflow.config import PROMOTED, QUARANTINE, UNRESOLVED, SourceConfig
+from zoneflow.config import COPIES, PROMOTED, QUARANTINE, UNRESOLVED, SourceConfig
 from zoneflow.operators.contract import missing_columns
 from zoneflow.operators.remediation import remediate
 from zoneflow.sources.sinks import write_batches
@@ -33,7 +33,7 @@ def promote(spark: SparkSession, cfg: SourceConfig, months: Sequence[str]) -> li
     done: list[str] = []
     present = [month for month in months if month in known]
     for group in batches_by_schema(spark, cfg, QUARANTINE, present):
-        rejected = read_batches(spark, cfg, QUARANTINE, group)
+        rejected = read_batches(spark, cfg, QUARANTINE, group).drop(COPIES)
         if missing_columns(rejected, cfg.required):
             continue
         judged = remediate(rejected)

@@ -1,8 +1,8 @@
 """The reports on the structured trips and on the quarantine, as SQL.
 
 ``{trips}`` and ``{quarantine}`` stand for a DataFrame with the columns of the
-structured or the quarantine zone. Amounts are added as decimals, as
-``functions.numeric`` explains.
+structured or the quarantine zone. ``{sums}`` stands for the trips added up by the keys and
+columns of ``SUMS``, in a way that no order of rows changes (see ``functions.numeric``).
 """
 
 from __future__ import annotations
@@ -10,18 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneflow.functions.numeric import AMOUNT
-
-
-def _sum(column: str) -> str:
-    value = f"CAST({column} AS DOUBLE)"
-    total = f"CAST(sum(CASE WHEN NOT isnan({value}) THEN CAST({value} AS {AMOUNT}) END) AS DOUBLE)"
-    return f"CASE WHEN count_if(isnan({value})) > 0 THEN DOUBLE('NaN') ELSE {total} END"
-
-
-def _avg(column: str) -> str:
-    return f"try_divide({_sum(column)}, count({column}))"
+from zoneflow.functions.numeric import exact_sums
 
+SUMS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "trips_by_month": (("pickup_year", "pickup_month"), ("fare_amount", "trip_distance")),
+    "trips_by_hour": (("pickup_hour",), ("fare_amount",)),
+}
 
 TRIP_REPORTS: dict[str, str] = {
     "total_trips": "SELECT count(*) AS total_trips FROM {trips}",
@@ -30,17 +24,15 @@ TRIP_REPORTS: dict[str, str] = {
         FROM {trips}
         GROUP BY ds
         ORDER BY ds DESC""",
-    "trips_by_month": f"""
-        SELECT pickup_year, pickup_month, count(*) AS trip_count,
-               round({_sum("fare_amount")}, 2) AS total_fare,
-               round({_avg("trip_distance")}, 2) AS avg_distance
-        FROM {{trips}}
-        GROUP BY pickup_year, pickup_month
+    "trips_by_month": """
+        SELECT pickup_year, pickup_month, rows AS trip_count,
+               round(sum_fare_amount, 2) AS total_fare,
+               round(avg_trip_distance, 2) AS avg_distance
+        FROM {sums}
         ORDER BY pickup_year DESC, pickup_month DESC""",
-    "trips_by_hour": f"""
-        SELECT pickup_hour, count(*) AS trips, {_avg("fare_amount")} AS avg_fare
-        FROM {{trips}}
-        GROUP BY pickup_hour
+    "trips_by_hour": """
+        SELECT pickup_hour, rows AS trips, avg_fare_amount AS avg_fare
+        FROM {sums}
         ORDER BY pickup_hour""",
     "trips_by_payment_type": """
         SELECT payment_type, count(*) AS trips
@@ -76,6 +68,8 @@ QUARANTINE_REPORTS: dict[str, str] = {
 
 
 def trip_report(name: str, trips: DataFrame) -> DataFrame:
+    if name in SUMS:
+        return trips.sparkSession.sql(TRIP_REPORTS[name], sums=exact_sums(trips, *SUMS[name]))
     return trips.sparkSession.sql(TRIP_REPORTS[name], trips=trips)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from zoneflow import storage
 from zoneflow.config import LANDING, SourceConfig, split_month
+from zoneflow.sources.survey import survey
 from zoneflow.sources.zones import batch_month
 
 READY, SKIP, FAILED = "ready", "skip", "failed"
@@ -91,27 +92,29 @@ def _sound_rows(spark: SparkSession, cfg: SourceConfig, months: Sequence[str]) -
 
 
 def batch_status(spark: SparkSession, cfg: SourceConfig, months: Sequence[str]) -> DataFrame:
-    """``ready``, ``skip`` or ``failed`` for every wanted month.
+    """``ready``, ``skip`` or ``failed`` for every wanted month, with files and rows.
 
     A month nothing has landed for is skipped. A month with a file that cannot be
     opened has failed: that is not a month without data. An empty file is sound.
+    ``broken`` names the files that cannot be opened. One pass over all footers tells;
+    text files, and those that only Spark can open, are read.
     """
     for month in months:
         split_month(month)
     known = set(storage.batch_months(spark, cfg, LANDING))
-    found = {}
-    for month in months:
-        paths = list(storage.files(spark, cfg.batch_path(LANDING, month))) if month in known else []
-        if paths:
-            found[month] = len(paths)
-    rows = _sound_rows(spark, cfg, list(found))
-    status = [
-        (
-            month,
-            SKIP if month not in found else FAILED if rows[month] is None else READY,
-            found.get(month, 0),
-            rows.get(month) or 0,
-        )
-        for month in months
-    ]
-    return spark.createDataFrame(status, "batch_month string, status string, files bigint, rows bigint")
+    facts = survey(spark, cfg, [month for month in months if month in known])
+    found = {month: landed for month, landed in facts.items() if landed.files}
+    unknown = [month for month, landed in found.items() if not landed.reached]
+    read = _sound_rows(spark, cfg, unknown)
+
+    def row(month: str) -> tuple[str, str, int, int, list[str]]:
+        landed = found.get(month)
+        if landed is None:
+            return month, SKIP, 0, 0, []
+        rows = landed.rows if landed.reached else read[month]
+        if rows is None or landed.errors:
+            return month, FAILED, len(landed.files), 0, sorted(landed.errors)
+        return month, READY, len(landed.files), rows, []
+
+    schema = "batch_month string, status string, files bigint, rows bigint, broken array<string>"
+    return spark.createDataFrame([row(month) for month in months], schema)

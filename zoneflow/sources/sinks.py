@@ -1,9 +1,9 @@
 """Writers of the zones.
 
-Every write goes to a directory of its own beneath the zone and is renamed into place
-batch by batch when all rows are there, so writers of a zone do not meet, and a write
-that fails leaves the batches as they were. Between the two renames of a batch a reader
-may miss it for a moment. Running a job again replaces its batches.
+Every write goes to a version directory of its own and counts once it is committed (see
+``zoneflow.versions``): writers do not meet, a write that fails or is killed leaves the
+batches as they were, and all months of a write change at once. Running a job again
+replaces its batches.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from zoneflow import storage
+from zoneflow import paths, versions
 from zoneflow.config import STRUCTURED, SourceConfig
-from zoneflow.sources.zones import path_part
+from zoneflow.operators.contract import merged_schema
+from zoneflow.sources.zones import BATCH_KEYS, path_part
 
-BATCH_KEYS = ("year", "month")
 STRUCTURED_KEYS = ("batch_month", "ds")
 DAYS_PER_MONTH = 31
 
@@ -34,48 +35,47 @@ def size_for_write(df: DataFrame, *keys: str, directories: int = 1) -> DataFrame
     return df.hint("rebalance", partitions, *keys)
 
 
+def _batch_columns(df: DataFrame, *without: str) -> str:
+    """The schema to note down: what the files of a batch hold."""
+    fields = [T.StructField(f.name, f.dataType) for f in df.schema if f.name not in without]
+    return T.StructType(fields).json()
+
+
 def write_batches(
     df: DataFrame, cfg: SourceConfig, zone: str, months: Sequence[str], gather: bool
 ) -> None:
     """Replace ``months`` of a ``year=/month=`` zone by ``df``.
 
-    A month without rows still gets an (empty) dataset, so nothing stale survives
-    and every reader finds its batch. ``gather`` shuffles rows to their month
-    first; leave it out where the scan already delivers month by month.
+    A month without rows is there too, as an empty batch with its columns, so nothing
+    stale survives. ``gather`` shuffles rows to their month first; leave it out where
+    the scan already delivers month by month.
     """
     spark, root = df.sparkSession, cfg.zone_root(zone)
+    version = versions.new_version(root)
+    if len(months) == 1:
+        # One directory: no path columns, hence neither a shuffle nor a sort by them.
+        single = df.drop(*BATCH_KEYS).write.option("maxRecordsPerFile", cfg.rows_per_file)
+        single.parquet(cfg.batch_path(zone, *months).replace(root, version, 1))
+    else:
+        if gather:
+            df = size_for_write(df, *BATCH_KEYS, directories=len(months))
+        (
+            df.withColumns({"year": path_part("year", 4), "month": path_part("month", 2)})
+            .write.option("maxRecordsPerFile", cfg.rows_per_file)
+            .partitionBy(*BATCH_KEYS)
+            .parquet(version)
+        )
+    columns = _batch_columns(df, *BATCH_KEYS)
+    found = paths.directories(spark, f"{version}/year=*/month=*")
+    written = {"-".join(part.split("=")[1] for part in path.rsplit("/", 2)[1:]): path for path in found}
+    parts = {m: [_part(version, written.get(m), columns)] for m in {*months, *written}}
+    versions.commit(spark, root, parts)
 
-    def path(beneath: str, month: str) -> str:
-        return cfg.batch_path(zone, month).replace(root, beneath, 1)
-
-    with storage.staging(spark, root) as staged:
-        if len(months) == 1:
-            # One directory: no path columns, hence neither a shuffle nor a sort by them.
-            single = df.drop(*BATCH_KEYS).write.option("maxRecordsPerFile", cfg.rows_per_file)
-            single.parquet(path(f"{staged}/new", *months))
-        else:
-            if gather:
-                df = size_for_write(df, *BATCH_KEYS, directories=len(months))
-            (
-                df.withColumns({"year": path_part("year", 4), "month": path_part("month", 2)})
-                .write.option("maxRecordsPerFile", cfg.rows_per_file)
-                .partitionBy(*BATCH_KEYS)
-                .parquet(f"{staged}/new")
-            )
-        written = {
-            "-".join(part.split("=")[1] for part in found.rsplit("/", 2)[1:])
-            for found in storage.directories(spark, f"{staged}/new/year=*/month=*")
-        }
-        no_rows = df.drop(*BATCH_KEYS).schema
-
-        def bare(month: str) -> None:
-            spark.createDataFrame([], no_rows).write.parquet(path(f"{staged}/new", month))
-
-        with ThreadPoolExecutor(storage.THREADS) as pool:
-            list(pool.map(bare, sorted(set(months) - written)))
-        every = sorted(written | set(months))
-        moves = [(path(f"{staged}/new", m), cfg.batch_path(zone, m)) for m in every]
-        storage.put_in_place(spark, moves, f"{staged}/old")
+
+def _part(version: str, path: str | None, columns: str) -> versions.Part:
+    """A batch's part of a version, named from the zone on."""
+    name = version.rsplit("/", 1)[1]
+    return versions.Part(None if path is None else path[path.index(f"/{name}") + 1 :], columns)
 
 
 def write_structured(
@@ -92,48 +92,105 @@ def write_structured(
     """
     if mode not in ("replace", "append"):
         raise ValueError(f"mode {mode!r} is neither replace nor append")
-    if mode == "replace":
-        if "batch_month" not in keys:
-            raise ValueError("replace works on whole batches: partition by batch_month")
+    if mode == "replace" and "batch_month" not in keys:
+        raise ValueError("replace works on whole batches: partition by batch_month")
     spark, root = df.sparkSession, cfg.zone_root(STRUCTURED)
-    with storage.staging(spark, root) as staged:
-        (
-            size_for_write(df, *keys, directories=DAYS_PER_MONTH * len(months))
-            .write.option("maxRecordsPerFile", cfg.rows_per_file)
-            .partitionBy(*keys)
-            .parquet(f"{staged}/new")
-        )
-        if mode == "append":
-            storage.add_files(spark, f"{staged}/new", root)
-            return
-        found = storage.directories(spark, f"{staged}/new/batch_month=*")
-        new = {path.rsplit("batch_month=", 1)[1]: path for path in found}
-        moves = [
-            (new.get(m), cfg.batch_path(STRUCTURED, m)) for m in sorted({*months, *new})
-        ]
-        storage.put_in_place(spark, moves, f"{staged}/old")
+    version = versions.new_version(root)
+    (
+        size_for_write(df, *keys, directories=DAYS_PER_MONTH * len(months))
+        .write.option("maxRecordsPerFile", cfg.rows_per_file)
+        .partitionBy(*keys)
+        .parquet(version)
+    )
+    columns = _batch_columns(df, *keys)
+    if "batch_month" in keys:
+        found = paths.directories(spark, f"{version}/batch_month=*")
+        written = {path.rsplit("batch_month=", 1)[1]: path for path in found}
+    else:
+        written = {"": version} if paths.directories(spark, f"{version}/*=*") else {}
+    parts = {m: [_part(version, path, columns)] for m, path in written.items()}
+    if mode == "replace":
+        parts = {**dict.fromkeys(months, ()), **parts}
+    versions.commit(spark, root, parts, mode)
+
+
+# -- the catalog
+
+PARTITIONS_AT_ONCE = 500
 
 
 def register_zone(
     spark: SparkSession, name: str, path: str, keys: Sequence[str] = STRUCTURED_KEYS
 ) -> None:
-    """(Re)create catalog table ``name`` over a partitioned Parquet directory.
-
-    Keys are declared as text. Partitions that arrive later show up after
-    ``repair_table``, as they do with any external table.
+    """Bring catalog table ``name`` up to date with a zone; make it if there is none.
+
+    The table stays while it grows: new columns are added, partitions come and go as
+    batches do, nothing is dropped and made again, and the columns are those noted down
+    at the writes, so no data file is opened. A column of the table that no batch has any
+    more stays, NULL in all rows. Keys are declared as text; a zone kept in versions has
+    ``version`` as its first. A column that changed its type keeps the table's first one,
+    and the batches that hold it otherwise can be read by ``read_structured`` only.
     """
-    found = spark.read.option("mergeSchema", True).parquet(path).schema
-    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in found if f.name not in keys]
-    columns += [f"`{key}` string" for key in keys]
-    location = path.replace("'", "\\'")
-    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
-    spark.sql(
-        f"CREATE TABLE `{name}` ({', '.join(columns)}) USING parquet "
-        f"PARTITIONED BY ({', '.join(f'`{key}`' for key in keys)}) LOCATION '{location}'"
-    )
-    repair_table(spark, name)
+    if not versions.kept(spark, path):
+        found = spark.read.option("mergeSchema", True).parquet(path).schema
+        _create_or_extend(spark, name, path, found, keys)
+        spark.sql(f"MSCK REPAIR TABLE `{name}`")
+        return
+    parts = [part for batch in versions.batches(spark, path).values() for part in batch]
+    _create_or_extend(spark, name, path, merged_schema(p.columns for p in parts), (versions.KEY, *keys))
+    _sync_partitions(spark, name, path, parts)
+
+
+def _create_or_extend(
+    spark: SparkSession, name: str, path: str, found: T.StructType, keys: Sequence[str]
+) -> None:
+    columns = [f for f in found if f.name not in keys]
+
+    def declared(fields: Sequence[T.StructField]) -> str:
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+    if not spark.catalog.tableExists(name):
+        location = path.replace("'", "\\'")
+        partitions = ", ".join(f"`{key}` string" for key in keys)
+        names = ", ".join(f"`{key}`" for key in keys)
+        every = ", ".join(filter(None, (declared(columns), partitions)))
+        spark.sql(
+            f"CREATE TABLE `{name}` ({every}) USING parquet PARTITIONED BY ({names}) LOCATION '{location}'"
+        )
+        return
+    known = {column.lower() for column in spark.table(name).columns}
+    if new := [f for f in columns if f.name.lower() not in known]:
+        spark.sql(f"ALTER TABLE `{name}` ADD COLUMNS ({declared(new)})")
+
+
+def _sync_partitions(spark: SparkSession, name: str, path: str, parts: Sequence[versions.Part]) -> None:
+    """Add the partitions of the parts and drop those that are none of theirs."""
+    root = path.rstrip("/")
+    batches = [part.path for part in parts if part.path]
+    wanted: set[str] = set()
+    with ThreadPoolExecutor(paths.THREADS) as pool:
+        for batch, inner in zip(
+            batches, pool.map(lambda b: paths.directories(spark, f"{root}/{b}/*=*"), batches), strict=True
+        ):
+            wanted |= {f"{batch}/{d.rsplit('/', 1)[1]}" for d in inner} or {batch}
+    present = {row[0] for row in spark.sql(f"SHOW PARTITIONS `{name}`").collect()}
+
+    def spec(partition: str) -> str:
+        pairs = (part.split("=", 1) for part in partition.split("/"))
+        return "PARTITION (" + ", ".join(f"`{k}`='{v}'" for k, v in pairs) + ")"
+
+    for change, partitions, between in (
+        ("ADD IF NOT EXISTS", sorted(wanted - present), " "),
+        ("DROP IF EXISTS", sorted(present - wanted), ", "),
+    ):
+        for start in range(0, len(partitions), PARTITIONS_AT_ONCE):
+            some = between.join(map(spec, partitions[start : start + PARTITIONS_AT_ONCE]))
+            spark.sql(f"ALTER TABLE `{name}` {change} {some}")
 
 
 def repair_table(spark: SparkSession, name: str) -> None:
-    """Make partitions visible that were written since the last repair."""
-    spark.sql(f"MSCK REPAIR TABLE `{name}`")
+    """Make visible what was written since the table was last brought up to date."""
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED `{name}`").collect()
+    path = next(row["data_type"] for row in described if row["col_name"] == "Location")
+    keys = [c.name for c in spark.catalog.listColumns(name) if c.isPartition and c.name != versions.KEY]
+    register_zone(spark, name, path, keys)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 from functools import reduce
@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zoneflow import storage
+from zoneflow import storage, versions
 from zoneflow.config import (
+    COPIES,
     LANDING,
     MALFORMED,
     PICKUP,
@@ -27,8 +28,10 @@ from zoneflow.config import (
     SourceConfig,
 )
 from zoneflow.functions.features import time_features, trip_metrics
-from zoneflow.operators.contract import canonical_names
+from zoneflow.operators.contract import canonical_names, retyped_columns, schema_drift, union_all
+from zoneflow.sources.survey import survey
 
+BATCH_KEYS = ("year", "month")
 TRACE_TYPES = {"ingestion_timestamp": "timestamp", "source_file": "string"}
 
 
@@ -111,23 +114,54 @@ def read_batches(
 ) -> DataFrame:
     """Rows of a ``year=/month=`` zone, with the path columns ``year`` and ``month``.
 
-    Files of one batch may differ in columns: all columns of all files are there. CSV
-    and JSON come as text, with the line in ``MALFORMED`` where it cannot be read.
-    ``run_ts`` adds the trace columns.
+    Batches and files may differ in columns: all columns are there, in types that hold
+    what all of them hold (see ``contract.merged_type``). Only files of the landing zone
+    are opened for that; the other zones have their columns noted down. CSV and JSON come
+    as text, with the line in ``MALFORMED`` where it cannot be read. ``run_ts`` adds the
+    trace columns.
     """
+    root = cfg.zone_root(zone)
+    if zone != LANDING and versions.kept(spark, root):
+        kept = versions.batches(spark, root)
+        return _read_parts(spark, root, {m: kept[m] for m in _months(spark, cfg, zone, months)}, BATCH_KEYS)
     paths = batch_paths(spark, cfg, zone, months)
     if zone == LANDING and cfg.fmt == "csv":
         scans = _csv_scans(spark, cfg, paths)
     elif zone == LANDING and cfg.fmt == "json":
         scans = [_json_scan(spark, cfg, paths)]
     else:
-        reader = spark.read.option("mergeSchema", True).option("basePath", cfg.zone_root(zone))
+        reader = spark.read.option("mergeSchema", True).option("basePath", root)
         scans = [reader.parquet(*paths)]
     if run_ts is not None:
         scans = [with_trace(scan, run_ts) for scan in scans]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
+def _read_parts(
+    spark: SparkSession, root: str, batches: Mapping[str, Sequence[versions.Part]], keys: Sequence[str]
+) -> DataFrame:
+    """The rows of some batches: one scan for all parts that were written with one schema."""
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for month, parts in batches.items():
+        for part in parts:
+            named = groups.setdefault((part.schema, bool(month)), [])
+            if part.path:
+                named.append(f"{root}/{part.path}")
+    scans = []
+    for (schema, by_month), paths in groups.items():
+        columns = T.StructType.fromJson(json.loads(schema))
+        # Without a month in its path a batch has but the last key.
+        for key in keys if by_month else keys[-1:]:
+            columns = columns.add(key, T.StringType())
+        if paths:
+            reader = spark.read.schema(columns).option("basePath", root)
+            scans.append(reader.parquet(*paths).drop(versions.KEY))
+        else:
+            scans.append(spark.createDataFrame([], columns))
+    filled = [scan for scan, paths in zip(scans, groups.values(), strict=True) if paths]
+    return union_all(filled if filled and len(filled) == len(scans) else scans)
+
+
 def _with_batch_month(df: DataFrame) -> DataFrame:
     return df.withColumn("batch_month", batch_month()).drop("year", "month")
 
@@ -144,7 +178,7 @@ def _all_batches(
     parts = [
         canonical_names(read_batches(spark, cfg, zone, group, run_ts), cfg.columns) for group in groups
     ]
-    return _with_batch_month(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+    return _with_batch_month(union_all(parts))
 
 
 def read_landing(
@@ -165,7 +199,7 @@ def read_raw(
     repaired = promoted_months(spark, cfg, _months(spark, cfg, RAW, months))
     if not repaired:
         return raw
-    return raw.unionByName(_all_batches(spark, cfg, PROMOTED, repaired), allowMissingColumns=True)
+    return union_all([raw, _all_batches(spark, cfg, PROMOTED, repaired)])
 
 
 def read_quarantine(
@@ -175,7 +209,7 @@ def read_quarantine(
 
     Batches that lack columns, or hold them in other types, are brought together.
     """
-    df = _all_batches(spark, cfg, QUARANTINE, months)
+    df = _all_batches(spark, cfg, QUARANTINE, months).drop(COPIES)
     if PICKUP not in df.columns:
         return df.withColumn("ds", F.lit(None).cast("string"))
     return df.withColumn("ds", F.date_format(F.col(PICKUP).try_cast("timestamp"), "yyyy-MM-dd"))
@@ -190,18 +224,57 @@ def structured_schema() -> T.StructType:
     return derived.withColumn("batch_month", F.lit("")).schema
 
 
-def read_structured(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
-    """The structured table; ``ds`` and ``batch_month`` stay text and still prune.
+def read_structured(
+    spark: SparkSession, cfg: SourceConfig, months: Sequence[str] | None = None
+) -> DataFrame:
+    """The structured table, or some batches of it; ``ds`` and ``batch_month`` are text.
 
-    ``append`` brings files of several writes together in a batch, so the columns of
-    the table are those of all files.
+    The columns are those of all batches. One that is a number here and text there is
+    text; see ``structured_drift``. No data file is opened to know that, and a filter on
+    ``ds`` or ``batch_month`` keeps all other days' files closed.
     """
     root = cfg.zone_root(STRUCTURED)
-    if not storage.has_partitions(spark, root):
-        return spark.createDataFrame([], structured_schema())
-    df = spark.read.option("basePath", root).option("mergeSchema", True).parquet(root)
-    partitions = {"ds": F.col("ds").cast("string"), "batch_month": F.col("batch_month").cast("string")}
-    return df.withColumns({n: c for n, c in partitions.items() if n in df.columns})
+    if versions.kept(spark, root):
+        kept = versions.batches(spark, root)
+        wanted = {m: p for m, p in kept.items() if months is None or m in set(months)}
+        if wanted:
+            return _read_parts(spark, root, wanted, ("batch_month", "ds"))
+    elif storage.directories(spark, f"{root}/*=*"):
+        df = spark.read.option("basePath", root).option("mergeSchema", True).parquet(root)
+        partitions = {n: F.col(n).cast("string") for n in ("ds", "batch_month") if n in df.columns}
+        df = df.withColumns(partitions)
+        return df if months is None else df.filter(F.col("batch_month").isin(list(months)))
+    return spark.createDataFrame([], structured_schema())
+
+
+def structured_drift(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
+    """How the structured table's columns differ from the contract, with filled rows.
+
+    As ``contract.schema_drift``, and ``retyped`` also for a column that raw or structured
+    batches were written with in different types. ``types`` lists those.
+    """
+    trips = read_structured(spark, cfg)
+    known = {**TRIP_TYPES, **{f.name: f.dataType.simpleString() for f in structured_schema()}}
+    drift = schema_drift(trips, known)
+    contract = {name.lower() for name in known}
+    met = {
+        name: types
+        for zone in (RAW, STRUCTURED)
+        for name, types in retyped_columns(
+            part.columns
+            for parts in versions.batches(spark, cfg.zone_root(zone)).values()
+            for part in parts
+        ).items()
+        if name not in contract
+    }
+    types = F.create_map(*(F.lit(x) for name, kinds in met.items() for x in (name, ",".join(kinds))))
+    clash = F.try_element_at(types, F.lower("column_name")) if met else F.lit(None).cast("string")
+    return drift.select(
+        "column_name",
+        F.when(clash.isNotNull(), "retyped").otherwise(F.col("kind")).alias("kind"),
+        "filled_rows",
+        clash.alias("types"),
+    )
 
 
 def trips_between(spark: SparkSession, cfg: SourceConfig, first: str, last: str) -> DataFrame:
@@ -220,28 +293,52 @@ def batches_by_schema(
 
     Monthly deliveries change spelling, types and columns over the years, and one
     scan cannot mix them. A month whose own files cannot be brought together is an
-    error, or goes to ``broken`` with its message.
+    error, or goes to ``broken`` with its message. Months of the landing zone are told
+    apart by one pass over all footers, those of the others by what was noted down.
     """
+    months = list(months)
+    root = cfg.zone_root(zone)
+    if zone != LANDING and versions.kept(spark, root):
+        kept = versions.batches(spark, root)
+        schemas = {m: json.dumps(sorted({p.schema for p in kept[m]})) for m in months}
+    else:
+        schemas = _surveyed(spark, cfg, zone, months)
+    groups: dict[str, list[str]] = {}
+    for month in months:
+        if not isinstance(schemas[month], Exception):
+            groups.setdefault(schemas[month], []).append(month)
+            continue
+        message = f"files of {cfg.batch_path(zone, month)} cannot be read together: {schemas[month]}"
+        if broken is None:
+            raise ValueError(message) from schemas[month]
+        broken[month] = message
+    return list(groups.values())
+
+
+def _surveyed(
+    spark: SparkSession, cfg: SourceConfig, zone: str, months: Sequence[str]
+) -> dict[str, str | Exception]:
+    """Per month what its files' columns are, or why they cannot be read together."""
 
-    def schema_of(month: str) -> str | Exception:
+    def by_reading(month: str) -> str | Exception:
         try:
             schema = read_batches(spark, cfg, zone, [month]).schema
         except (PySparkException, Py4JError) as error:
             return error
         return json.dumps([[f.name, f.dataType.simpleString()] for f in schema])
 
+    facts = survey(spark, cfg, months) if zone == LANDING and cfg.fmt == "parquet" else {}
+    known: dict[str, str | Exception] = {}
+    for month, landed in facts.items():
+        if landed.errors:
+            known[month] = ValueError("; ".join(f"{p}: {e}" for p, e in sorted(landed.errors.items())))
+        elif landed.reached and len(landed.columns) == 1:
+            (known[month],) = landed.columns
+    # Files that differ, or that only Spark can open, are for Spark to bring together.
+    rest = [month for month in months if month not in known]
     with ThreadPoolExecutor(storage.THREADS) as pool:
-        schemas = list(pool.map(schema_of, months))
-    groups: dict[str, list[str]] = {}
-    for schema, month in zip(schemas, months, strict=True):
-        if not isinstance(schema, Exception):
-            groups.setdefault(schema, []).append(month)
-            continue
-        message = f"files of {cfg.batch_path(zone, month)} cannot be read together: {schema}"
-        if broken is None:
-            raise ValueError(message) from schema
-        broken[month] = message
-    return list(groups.values())
+        known.update(zip(rest, pool.map(by_reading, rest), strict=True))
+    return known
 
 
 def promoted_months(spark: SparkSession, cfg: SourceConfig, months: Sequence[str]) -> list[str]:

@@ -1,54 +1,28 @@
-"""Small helpers on the session's file system: names and sizes only, never data."""
+"""Batches of the zones by month, and scratch folders: names only, never data."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-from zoneflow.config import MONTH, SourceConfig
+from zoneflow import versions
+from zoneflow.config import LANDING, MONTH, SourceConfig
+from zoneflow.paths import THREADS, delete, directories, exists, files, matching, open_path
 
-THREADS = 16
-
-
-def _open(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, hadoop_path = _open(spark, path)
-    return fs.exists(hadoop_path)
-
-
-def has_partitions(spark: SparkSession, path: str) -> bool:
-    """Whether a directory holds ``key=value`` directories, that is, any row."""
-    fs, pattern = _open(spark, f"{path}/*=*")
-    return bool(fs.globStatus(pattern))
-
-
-def delete(spark: SparkSession, paths: Iterable[str]) -> None:
-    """Delete directories that exist, several at a time."""
-
-    def drop(path: str) -> None:
-        fs, hadoop_path = _open(spark, path)
-        fs.delete(hadoop_path, True)
-
-    with ThreadPoolExecutor(THREADS) as pool:
-        list(pool.map(drop, paths))
+__all__ = ["THREADS", "batch_months", "delete", "directories", "exists", "files", "scratch_dir"]
 
 
 def batch_months(spark: SparkSession, cfg: SourceConfig, zone: str) -> list[str]:
-    """Months that have a directory in a ``year=/month=`` zone.
+    """Months of a zone: those committed, or those that have a ``year=/month=`` directory.
 
     Names that are no number, as job leftovers have, are passed over. A month that is
     not written ``YYYY`` and ``MM`` is an error, since readers could not agree on it.
     """
-    fs, pattern = _open(spark, f"{cfg.zone_root(zone)}/year=*/month=*")
-    found = [status.getPath() for status in fs.globStatus(pattern) or []]
+    root = cfg.zone_root(zone)
+    if zone != LANDING and versions.kept(spark, root):
+        return [month for month in versions.batches(spark, root) if month]
+    found = [s.getPath() for s in matching(spark, f"{root}/year=*/month=*")]
     names = [
         f"{p.getParent().getName().removeprefix('year=')}-{p.getName().removeprefix('month=')}"
         for p in found
@@ -59,83 +33,6 @@ def batch_months(spark: SparkSession, cfg: SourceConfig, zone: str) -> list[str]
     return sorted(name for name in names if MONTH.fullmatch(name))
 
 
-def delete_batches(
-    spark: SparkSession, cfg: SourceConfig, zone: str, months: Iterable[str]
-) -> None:
-    """Delete months of a ``year=/month=`` zone, as far as they exist."""
-    known = set(batch_months(spark, cfg, zone))
-    delete(spark, [cfg.batch_path(zone, month) for month in months if month in known])
-
-
-@contextmanager
-def staging(spark: SparkSession, root: str) -> Iterator[str]:
-    """A directory of this writer's own beneath ``root``, gone at the end."""
-    path = f"{root.rstrip('/')}/_staging/{uuid.uuid4().hex}"
-    try:
-        yield path
-    finally:
-        delete(spark, [path])
-
-
-def directories(spark: SparkSession, pattern: str) -> list[str]:
-    """Paths of the directories a glob pattern meets."""
-    fs, path = _open(spark, pattern)
-    return [str(s.getPath()) for s in fs.globStatus(path) or [] if s.isDirectory()]
-
-
-def files(spark: SparkSession, path: str) -> Iterator[str]:
-    """Paths of the data files beneath a directory."""
-    fs, root = _open(spark, path)
-    if not fs.exists(root):
-        return
-    found = fs.listFiles(root, True)
-    while found.hasNext():
-        file = found.next().getPath()
-        if not file.getName().startswith(("_", ".")):
-            yield file.toString()
-
-
-def put_in_place(spark: SparkSession, moves: Sequence[tuple[str | None, str]], aside: str) -> None:
-    """Rename each new directory to its place; what was there goes ``aside`` first.
-
-    Without a new directory the place is left empty. A place whose new directory
-    cannot be moved in gets its old one back.
-    """
-
-    def swap(move: tuple[str | None, str]) -> None:
-        new, place = move
-        fs, target = _open(spark, place)
-        _, old = _open(spark, f"{aside}/{uuid.uuid4().hex}")
-        fs.mkdirs(target.getParent())
-        fs.mkdirs(old.getParent())
-        held = fs.exists(target)
-        if held and not fs.rename(target, old):
-            raise OSError(f"cannot move {place} aside")
-        if new is not None and not fs.rename(_open(spark, new)[1], target):
-            if held:
-                fs.rename(old, target)
-            raise OSError(f"cannot move {new} to {place}")
-
-    with ThreadPoolExecutor(THREADS) as pool:
-        list(pool.map(swap, moves))
-
-
-def add_files(spark: SparkSession, source: str, target: str) -> None:
-    """Rename all data files beneath ``source`` to the same places beneath ``target``."""
-    fs, root = _open(spark, source)
-    top = fs.makeQualified(root).toString().rstrip("/")
-    names = [name.removeprefix(top) for name in files(spark, source)]
-
-    def move(name: str) -> None:
-        place = _open(spark, f"{target.rstrip('/')}{name}")[1]
-        fs.mkdirs(place.getParent())
-        if not fs.rename(_open(spark, f"{top}{name}")[1], place):
-            raise OSError(f"cannot move {name} to {target}")
-
-    with ThreadPoolExecutor(THREADS) as pool:
-        list(pool.map(move, names))
-
-
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh directory every executor can reach, removed when the session ends.
 
@@ -146,7 +43,7 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     )
     path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-    fs, hadoop_path = _open(spark, path)
+    fs, hadoop_path = open_path(spark, path)
     fs.mkdirs(hadoop_path)
     fs.deleteOnExit(hadoop_path)
     return path

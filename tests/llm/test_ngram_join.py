@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from zoneflow.llm.ngram_join import Threshold, keep_one, near_duplicates
+from zoneflow.llm.ngram_join import Threshold, _told_apart, blocks, keep_one, near_duplicates
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -77,8 +77,42 @@ def test_empty_table(spark):
 
 
 def test_one_of_each_group_stays(spark):
-    rows = [(4, "a b c d e f"), (2, "a b c d e f"), (3, "z"), (None, "a b c d e f"), (2, "a b c d e f")]
+    """By row: an id may come twice with unlike texts, or not at all."""
+    rows = [
+        (4, "a b c d e f"), (2, "a b c d e f"), (3, "z"), (None, "a b c d e f"), (2, "a b c d e f"),
+        (2, "other words than those of its namesake"), (None, "nobody has this text and no id"),
+        (None, "nobody has this text and no id"), (5, ""), (5, None), (6, " "),
+    ]
     docs = spark.createDataFrame([(k, t, "en") for k, t in rows], "doc_id long, text string, component_id string")
-    kept = keep_one(docs, near_duplicates(docs))
+    kept = keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "None"]
+    assert sorted((str(r.doc_id), (r.text or "").split()[:1]) for r in kept.collect()) == [
+        ("2", ["a"]), ("2", ["other"]), ("3", ["z"]), ("5", []), ("6", []), ("None", ["nobody"])
+    ]
+    assert keep_one(docs.limit(0)).collect() == []
+
+
+def test_a_passage_in_many_short_texts(spark):
+    """Its shingles are common to all; what is dealt out grows with the list, not its square."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{passage} {rng.randrange(10**9)} {rng.randrange(10**9)}" for _ in range(20_000)]
+    texts += [f"{passage} " + " ".join(f"{n}_{i}" for i in range(30)) for n in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = near_duplicates(docs).groupBy("component_id").count().collect()
+    assert sorted(r["count"] for r in got) == [1] * 50 + [20_000]
+
+
+def test_entries_of_one_component_are_dealt_once(spark):
+    entries = spark.range(40_000).selectExpr("1L AS token", "id AS a", "50 AS na")
+    one = spark.range(39_990).selectExpr("id AS node", "0L AS component")
+    few = blocks(entries, one, Threshold()).count()
+    assert few <= 4 * 40_000  # three size classes of the one block of the others
+    assert blocks(entries, one.limit(0), Threshold(), draw=0).count() == 3 * 40_000
+
+
+def test_sets_that_share_one_hash_only(spark):
+    rows = [(1, 5, 7), (2, 5, 7), (3, 5, 8), (4, 6, 9)]
+    known = spark.createDataFrame(rows, "doc_id long, set_id long, check long")
+    ids = {r.doc_id: r.set_id for r in _told_apart(known).collect()}
+    assert ids[1] == ids[2] != ids[3] and ids[4] == 6

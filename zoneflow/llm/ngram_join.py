@@ -16,7 +16,7 @@ Before the product over common shingles gives all its pairs, it gives a few part
 of each class, drawn by hash, and pairs that the links found so already join are left
 out afterwards: a large group of near copies never becomes all of its pairs.
 
-A class is known by the sum of its shingles' 64-bit hashes and its size.
+A class is known by two sums over its shingles' 64-bit hashes, and its size.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneflow.llm.common import membership_bits, might_be_in, stored
+from zoneflow.llm.common import fresh, membership_bits, might_be_in, stored
 from zoneflow.llm.components import components
 from zoneflow.llm.shingles import chunks, mix, shingle_sets
 
@@ -39,6 +39,7 @@ SKETCH_BITS = 20
 SKETCH_ROWS = 64
 PARTNERS = 4
 DRAWS = 2
+HOT_TOKENS = 1 << 14
 STRIP = 256
 
 
@@ -129,16 +130,39 @@ def _signed(value: np.ndarray) -> pa.Array:
     return pa.array(value.view(np.int64))
 
 
-def _set_id(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _set_hash(value: np.ndarray, bounds: np.ndarray, seed: int) -> np.ndarray:
     """Hash of a set: the sum of its mixed hashes, and its size."""
     total = np.zeros(len(value) + 1, dtype=np.uint64)
-    np.cumsum(mix(value), out=total[1:])
+    np.cumsum(mix(value ^ np.uint64(seed)), out=total[1:])
     size = np.diff(bounds).astype(np.uint64)
     return mix(total[bounds[1:]] - total[bounds[:-1]] + size * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _set_id(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return _set_hash(value, bounds, 0)
+
+
+def _set_check(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A second hash, so that sets are known by 128 bits in all."""
+    return _set_hash(value, bounds, 0x5851F42D4C957F2D)
+
+
+def _told_apart(known: DataFrame) -> DataFrame:
+    """The rows with ids of their own for sets that have one hash but not the other.
+
+    Such sets are a chance in 2^64 for any two; a class's id stays one number.
+    """
+    chance = known.groupBy("set_id").agg(F.min("check").alias("lo"), F.max("check").alias("hi"))
+    chance = stored(chance.where("lo <> hi").select("set_id", F.lit(True).alias("clash")), "clashes")
+    named = known.withColumn("hash", F.col("set_id"))
+    if chance.isEmpty():
+        return named
+    own = F.when(F.col("clash"), F.xxhash64("set_id", "check")).otherwise(F.col("set_id"))
+    return named.join(chance, "set_id", "left").withColumn("set_id", own).drop("clash")
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray, words: int, rule: Threshold) -> DataFrame:
-    """Per document: ``doc_id``, hash of the text, ``set_id``, size ``n``, ``prefix``.
+    """Per document: ``doc_id``, hash of the text, ``set_id``, ``check``, size ``n``, ``prefix``.
 
     ``prefix`` has the set's rarest shingles, rarest first, ties by hash.
     """
@@ -163,14 +187,15 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, rule: Threshold) -
                         batch.column(0).slice(done, len(run)),
                         batch.column(1).slice(done, len(run)),
                         _signed(_set_id(value, bounds)),
+                        _signed(_set_check(value, bounds)),
                         pa.array(n, pa.int32()),
                         lists,
                     ],
-                    ["doc_id", "text_id", "set_id", "n", "prefix"],
+                    ["doc_id", "text_id", "set_id", "check", "n", "prefix"],
                 )
                 done += len(run)
 
-    schema = "doc_id long, text_id long, set_id long, n int, prefix array<long>"
+    schema = "doc_id long, text_id long, set_id long, check long, n int, prefix array<long>"
     return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInArrow(make, schema)
 
 
@@ -271,46 +296,84 @@ def lists(classes: DataFrame, rule: Threshold) -> DataFrame:
 # -- the product over common shingles, block by block
 
 
-def blocks(entries: DataFrame, parts: DataFrame, rule: Threshold) -> DataFrame:
-    """Pairs (a, b, na, nb) of different parts that share enough of their prefixes.
+def blocks(entries: DataFrame, parts: DataFrame, rule: Threshold, draw: int | None = None) -> DataFrame:
+    """Common shingles' entries as they meet in blocks: all that must meet, or a draw.
 
     ``entries``: common shingles' lists (token, a, na). ``parts``: classes (node)
     known to belong together (component). A list whose classes all belong together
     needs no product. A long list is dealt into blocks by size and hash; those whose
-    sizes cannot match never meet.
+    sizes cannot match never meet. Classes of a list's largest component have no need to
+    meet each other: an entry of it goes to the blocks of the others only, which are few
+    once the links of a draw are known. In a draw an entry meets its own block alone.
+
+    The few shingles with very many entries are not gathered to be dealt: what there is
+    to know of a list is one row, sent to all tasks for those shingles.
     """
     named = (
         entries.select("token", F.col("a").alias("node"), F.col("na").alias("n"))
         .join(parts, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
-    spans = (
-        named.groupBy("token")
-        .agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("lo <> hi")
-        .select("token", F.ceil(F.col("size") / rule.block).cast("int").alias("k"))
+    spans = stored(
+        named.groupBy("token", "component")
+        .agg(F.count(F.lit(1)).alias("size"))
+        .groupBy("token")
+        .agg(
+            F.sum("size").alias("size"),
+            F.max(F.struct("size", "component")).alias("main"),
+            F.count(F.lit(1)).alias("components"),
+        )
+        .where("components > 1")
+        .select("token", "size", "main.component", F.col("main.size").alias("main_size"))
+        .withColumnRenamed("component", "main"),
+        "spans",
+    )
+    total = spans.agg(F.sum("size").alias("n")).first()["n"] or 0
+    if draw is None:
+        main_parts = F.ceil(F.col("main_size") / rule.block).cast("int")
+        other_parts = F.ceil((F.col("size") - F.col("main_size")) / rule.block).cast("int")
+        whole = F.col("size") <= rule.block
+    else:
+        main_parts, whole = F.lit(0), F.lit(False)
+        other_parts = F.ceil(F.col("size") / rule.block).cast("int")
+    dealing = spans.select(
+        "token", "size", "main", main_parts.alias("k_main"), other_parts.alias("k"), whole.alias("whole")
+    )
+    hot = dealing.where(F.col("size") > max(total // HOT_TOKENS, rule.block)).drop("size")
+    cold = dealing.where(F.col("size") <= max(total // HOT_TOKENS, rule.block)).drop("size")
+    is_hot = F.broadcast(hot.select("token"))
+    rows = named.join(F.broadcast(hot), "token").unionByName(
+        named.join(is_hot, "token", "left_anti").join(cold, "token")
     )
     step = float(np.log(100 / rule.percent))
     # A partner's size is at most one step away; the margin is for rounding.
     step *= 1.000001
+    in_main = (F.col("component") == F.col("main")) if draw is None else F.lit(False)
+    hashed = F.xxhash64("node") if draw is None else F.xxhash64("node", F.lit(draw))
+    part = F.when(in_main, F.pmod(hashed, F.greatest("k_main", F.lit(1)))).otherwise(
+        F.col("k_main") + F.pmod(hashed, F.greatest("k", F.lit(1)))
+    )
     own = F.struct(
         F.floor(F.log(F.col("n").cast("double")) / step).cast("int").alias("size"),
-        F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("part"),
+        part.cast("int").alias("part"),
+    )
+    meets = (
+        F.sequence(F.when(in_main, F.col("k_main")).otherwise(F.lit(0)), F.col("k_main") + F.col("k") - 1)
+        if draw is None
+        else F.array(F.col("own.part"))
     )
     others = F.flatten(
         F.transform(
             F.array(F.lit(-1), F.lit(0), F.lit(1)),
             lambda d: F.transform(
-                F.sequence(F.lit(0), F.col("k") - 1),
-                lambda p: F.struct((F.col("own.size") + d).alias("size"), p.alias("part")),
+                meets, lambda p: F.struct((F.col("own.size") + d).alias("size"), p.cast("int").alias("part"))
             ),
         )
     )
-    whole = F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("part")))
-    dealt = (
-        named.join(spans, "token")
-        .withColumn("own", F.when(F.col("k") == 1, F.element_at(whole, 1)).otherwise(own))
-        .withColumn("other", F.explode(F.when(F.col("k") == 1, whole).otherwise(others)))
+    alone = F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("part")))
+    return (
+        rows.withColumn("own", F.when(F.col("whole"), F.element_at(alone, 1)).otherwise(own))
+        .withColumn("other", F.explode(F.when(F.col("whole"), alone).otherwise(others)))
         .select(
             "token",
             F.least("own", "other").alias("low"),
@@ -322,7 +385,6 @@ def blocks(entries: DataFrame, parts: DataFrame, rule: Threshold) -> DataFrame:
             "component",
         )
     )
-    return dealt
 
 
 def _overlaps(lists_: pa.ChunkedArray, below: int | None = None) -> np.ndarray:
@@ -390,10 +452,11 @@ def _product(table: pa.Table, rule: Threshold, partners: int | None) -> pa.Table
 
 
 def _common_pairs(
-    common: DataFrame, classes: DataFrame, parts: DataFrame, rule: Threshold, partners: int | None = None
+    common: DataFrame, classes: DataFrame, parts: DataFrame, rule: Threshold, draw: int | None = None
 ) -> DataFrame:
     """The product over common shingles: all pairs of different parts, or a few of each class."""
-    dealt = stored(blocks(common, parts, rule), "blocks")
+    partners = None if draw is None else PARTNERS
+    dealt = stored(blocks(common, parts, rule, draw), "blocks")
     own = dealt.groupBy("node").agg(F.collect_set("token").alias("lists"))
     bits = membership_bits(dealt.select(F.col("node").alias("set_id")), "set_id")
     wanted = might_be_in(classes.select("set_id", "prefix"), "set_id", bits)
@@ -415,27 +478,29 @@ def _linked(pairs: DataFrame, docs: DataFrame, ids: DataFrame, words: int, rule:
     wanted leave the scan.
     """
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    texts = stored(nodes.join(ids, "set_id").select("set_id", "text_id"), "wanted")
+    texts = stored(nodes.join(ids, "set_id").select("set_id", "hash", "check", "text_id"), "wanted")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in chunks(batch.column(0).to_pylist()):
                 value, bounds = shingle_sets(run, words)
                 sets = [value[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+                both = [_signed(of(value, bounds)) for of in (_set_id, _set_check)]
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(_set_id(value, bounds)), pa.array(sets, pa.binary())], ["set_id", "members"]
+                    [*both, pa.array(sets, pa.binary())], ["hash", "check", "members"]
                 )
 
     found = might_be_in(
         docs.select(F.xxhash64("text").alias("text_id"), "text"), "text_id", membership_bits(texts, "text_id")
     ).select("text")
-    sets = stored(
-        found.mapInArrow(make, "set_id long, members binary")
-        .join(texts.select("set_id"), "set_id", "left_semi")
-        .groupBy("set_id")
-        .agg(F.first("members").alias("members")),
-        "sets",
+    # Copies of a text collapse where they are read, before a set is sent anywhere.
+    made = (
+        found.mapInArrow(make, "hash long, check long, members binary")
+        .groupBy("hash", "check")
+        .agg(F.first("members").alias("members"))
     )
+    named = texts.select("set_id", "hash", "check")
+    sets = stored(made.join(named, ["hash", "check"]).select("set_id", "members"), "sets")
     left = sets.select(F.col("set_id").alias("a"), F.col("members").alias("left"))
     right = sets.select(F.col("set_id").alias("b"), F.col("members").alias("right"))
 
@@ -468,22 +533,35 @@ def near_duplicates(
     and has its own id. Repeated rows are rows of their own. A NULL id is never a
     component's id unless all ids there are NULL. No other column is read.
     """
-    rule = rule or Threshold(percent)
+    made = _grouped(docs, words, id_col, text_col, rule or Threshold(percent))
+    return made.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, words: int, id_col: str, text_col: str, rule: Threshold) -> DataFrame:
+    """Per row: ``doc_id``, hash of the text, size ``n``, ``component_id``, and ``root``.
+
+    Rows of one component have one ``root``; it is NULL where a row is linked with nothing.
+    """
     docs = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     counts = shingle_counts(docs, words)
-    known = stored(prefixes(docs, counts, words, rule), "prefixes")
+    known = _told_apart(stored(prefixes(docs, counts, words, rule), "prefixes"))
     full = known.where("n > 0")
-    ids = full.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min("text_id").alias("text_id"))
+    ids = full.groupBy("set_id").agg(
+        F.min("doc_id").alias("first_id"),
+        F.min("text_id").alias("text_id"),
+        F.first("hash").alias("hash"),
+        F.first("check").alias("check"),
+    )
     # One row per class before anything is sent by shingle: copies fall away in the tasks.
     classes = full.groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     listed = stored(lists(classes, rule), "lists")
     common = listed.where("shared is null")
     few_links = None
     parts = docs.sparkSession.createDataFrame([], "node long, component long")
-    for _ in range(DRAWS if not common.isEmpty() else 0):
-        drawn = stored(_common_pairs(common, classes, parts, rule, PARTNERS), "drawn")
+    for draw in range(DRAWS if not common.isEmpty() else 0):
+        drawn = stored(_common_pairs(common, classes, parts, rule, draw), "drawn")
         found = _linked(drawn, docs, ids, words, rule)
         few_links = stored(found if few_links is None else found.union(few_links), "links")
         parts = stored(components(few_links), "parts")
@@ -493,20 +571,25 @@ def near_duplicates(
     links = _linked(pairs, docs, ids, words, rule)
     if few_links is not None:
         links = links.union(few_links)
-    roots = components(links).withColumnRenamed("node", "set_id")
+    roots = stored(components(links).withColumnRenamed("node", "set_id"), "roots")
     named = stored(ids.select("set_id", "first_id").join(roots, "set_id"), "named")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = named.join(least, "component").select("set_id", "component_id")
-    by_set = ids.join(linked, "set_id", "left").select(
-        "set_id", F.coalesce("component_id", "first_id").alias("component_id")
+    roots = roots.withColumnRenamed("component", "root")
+    by_set = (
+        ids.join(linked, "set_id", "left")
+        .join(roots, "set_id", "left")
+        .select(
+            "set_id",
+            F.coalesce("component_id", "first_id").alias("component_id"),
+            F.coalesce("root", "set_id").alias("root"),
+        )
     )
-    joined = full.select("doc_id", "n", "set_id").join(by_set, "set_id")
-    alone = known.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return (
-        joined.select("doc_id", "n", "component_id")
-        .union(alone)
-        .select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    joined = full.select("doc_id", "text_id", "n", "set_id").join(by_set, "set_id").drop("set_id")
+    alone = known.where("n = 0").select(
+        "doc_id", "text_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")
     )
+    return joined.unionByName(alone)
 
 
 def _enough(pairs: DataFrame, rule: Threshold) -> DataFrame:
@@ -519,15 +602,30 @@ def _enough(pairs: DataFrame, rule: Threshold) -> DataFrame:
     return pairs.where(F.col("shared") >= bound)
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id is that of their component, one row of each.
+def keep_one(
+    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of each component of ``near_duplicates``, whatever ids the rows have.
 
-    ``groups`` comes from ``near_duplicates``. Repeated ids leave one row; rows
-    without an id are kept.
+    Rows are told apart by id and text: two rows of one id and unlike texts are two
+    documents, and rows without an id are compared like all others. The row that stays is
+    the first by id, NULL last, then by the hash of its text. Texts without words are
+    linked with nothing and stay; rows equal in id and text are one document.
     """
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    grouped = stored(_grouped(docs, words, id_col, text_col, Threshold(percent)), "grouped")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")
+    first = grouped.where("root is not null").groupBy("root").agg(F.min(row).alias("row"))
+    stay = first.select("row.*").union(grouped.where("root is null").select(row.alias("row")).select("row.*"))
+    key, text = fresh("key"), fresh("text")
+    names = stay.distinct().select(F.col("doc_id").alias(key), F.col("text_id").alias(text))
+    own_id, own_text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.withColumns({key: own_id, text: F.xxhash64(own_text)})
+    kept = keyed.alias("d").join(
+        names.alias("k"),
+        F.col(f"d.{key}").eqNullSafe(F.col(f"k.{key}")) & (F.col(f"d.{text}") == F.col(f"k.{text}")),
+        "left_semi",
+    )
+    return kept.dropDuplicates([key, text]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 SQL = """

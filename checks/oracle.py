@@ -293,6 +293,9 @@ _BODIES: dict[str, str] = {
     "rule_location": _rule_results("location"),
     "valid_trips": f"SELECT {TRIP_COLUMNS} FROM valid",
     "invalid_trips": f"SELECT {TRIP_COLUMNS} FROM rejected_once",
+    "invalid_trips_maps": f"""SELECT {TRIP_COLUMNS}, fare_amount AS charged_fare,
+  extra AS charged_extra FROM rejected_once""",
+    "invalid_trips_maps_except": "SELECT CAST(2 AS INTEGER) AS entries, count(*) AS rows FROM rejected_once",
     "invalid_trips_except": f"SELECT {TRIP_COLUMNS} FROM trips EXCEPT SELECT {TRIP_COLUMNS} FROM valid",
     "quarantine_reason": f"SELECT {TRIP_COLUMNS}, quarantine_reason FROM rejected",
     "failed_rules": f"""SELECT VendorID, batch_month, quarantine_reason,
@@ -397,7 +400,8 @@ _BODIES: dict[str, str] = {
 # Queries with whole rows, where the numbers a rejected row may lack go as doubles.
 _WHOLE_ROWS = (
     "landing_read landing_read_csv landing_csv_reordered landing_read_json raw_read raw_zone_roundtrip "
-    "quarantine_zone_roundtrip typed_trips valid_trips invalid_trips invalid_trips_except "
+    "quarantine_zone_roundtrip typed_trips valid_trips invalid_trips invalid_trips_maps "
+    "invalid_trips_except "
     "quarantine_reason clean_trips second_source remediate_types remediate_values"
 ).split()
 for _name in _WHOLE_ROWS:

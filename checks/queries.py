@@ -467,6 +467,30 @@ def invalid_trips_except(spark, sf_dir):
     return comparable(quality.rejected_by_set_operation(trips(spark, sf_dir)))
 
 
+def _charged(df: DataFrame) -> DataFrame:
+    """The trips with a map of maps, whose entries come in either order."""
+    fare = [F.lit("fare"), F.create_map(F.lit("amount"), F.col("fare_amount"))]
+    extra = [F.lit("extra"), F.create_map(F.lit("amount"), F.col("extra"))]
+    turned = F.monotonically_increasing_id() % 2 == 0
+    charges = F.when(turned, F.create_map(*fare, *extra)).otherwise(F.create_map(*extra, *fare))
+    return df.withColumn("charges", charges)
+
+
+@query
+def invalid_trips_maps(spark, sf_dir):
+    """Distinct rejected rows that hold a map; equal maps may list their entries otherwise."""
+    rejected = quality.rejected_rows(_charged(trips(spark, sf_dir)))
+    paid = {f"charged_{n}": F.col("charges")[n]["amount"] for n in ("fare", "extra")}
+    return comparable(rejected.withColumns(paid).drop("charges"))
+
+
+@query
+def invalid_trips_maps_except(spark, sf_dir):
+    """The same rows by the set operation."""
+    rejected = quality.rejected_by_set_operation(_charged(trips(spark, sf_dir)))
+    return rows_by(rejected, F.size("charges").alias("entries"))
+
+
 @query
 def quarantine_reason(spark, sf_dir):
     rejected = quality.rejected_rows(trips(spark, sf_dir), distinct=False)

@@ -653,3 +653,18 @@ def test_figures_with_copies_and_dedup(spark, cfg, make, deliver):
         assert (row.input_rows, row.valid_rows, row.rejected_rows, row.invalid_rows) == (5, valid, 3, 1)
         assert row.quality_rate == 40.0
     assert "_copies" not in zones.read_quarantine(spark, cfg).columns
+
+
+def test_rejected_rows_with_maps(spark, cfg, make, deliver):
+    """Equal maps, nested and listed in another order, make equal rows; the maps come back."""
+    one, two = ("map('a', map('x', 1, 'y', 2), 'b', NULL)", "map('b', NULL, 'a', map('y', 2, 'x', 1))")
+    inside = "named_struct('m', map(2, array(map('k', 1)), 1, NULL), 'n', 5) AS inside"
+    rows = [make(BAD).selectExpr("*", f"{m} AS charges", inside) for m in (one, two)]
+    rows.append(make(BAD).selectExpr("*", "CAST(NULL AS map<string, map<string, int>>) AS charges", inside))
+    deliver(rows[0].union(rows[1]).union(rows[2]).coalesce(1), "2024-01")
+    report = pipeline.landing_to_raw(spark, cfg, ["2024-01"])
+    kept = zones.read_quarantine(spark, cfg).collect()
+    assert sorted(map(str, (r.charges for r in kept))) == sorted(map(str, (None, {"a": {"x": 1, "y": 2}, "b": None})))
+    assert all(r.inside.m == {1: None, 2: [{"k": 1}]} and r.inside.n == 5 for r in kept)
+    row = report.quality().first()
+    assert (row.input_rows, row.rejected_rows, row.invalid_rows) == (3, 3, 2)

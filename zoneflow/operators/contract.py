@@ -116,6 +116,56 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, (conform(part, whole) for part in parts))
 
 
+# -- rows that can be compared, also where they hold maps
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType)
+
+
+def _walked(column: Column, kind: T.DataType, back: bool) -> Column:
+    """A value with its maps as sorted lists of entries, or, ``back``, the maps again."""
+    if not _has_map(kind):
+        return column
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: _walked(x, kind.elementType, back))
+    if isinstance(kind, T.StructType):
+        fields = [_walked(column[f.name], f.dataType, back).alias(f.name) for f in kind]
+        return F.when(column.isNotNull(), F.struct(*fields))
+
+    def entry(e: Column) -> Column:
+        key, value = _walked(e["key"], kind.keyType, back), _walked(e["value"], kind.valueType, back)
+        return F.struct(key.alias("key"), value.alias("value"))
+
+    if back:
+        return F.map_from_entries(F.transform(column, entry))
+    return F.array_sort(F.transform(F.map_entries(column), entry))
+
+
+def without_maps(df: DataFrame) -> DataFrame:
+    """The rows with every map, nested ones too, as a list of its entries in order.
+
+    Equal maps give equal lists, so rows can be grouped and compared.
+    """
+    columns = {f.name: _walked(F.col(f"`{f.name}`"), f.dataType, False) for f in df.schema if _has_map(f.dataType)}
+    return df.withColumns(columns) if columns else df
+
+
+def with_maps(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Undo ``without_maps``; ``schema`` is that of the rows as they were."""
+    known = set(df.columns)
+    columns = {
+        f.name: _walked(F.col(f"`{f.name}`"), f.dataType, True)
+        for f in schema
+        if f.name in known and _has_map(f.dataType)
+    }
+    return df.withColumns(columns) if columns else df
+
+
 def retyped_columns(schemas: Iterable[T.StructType]) -> dict[str, list[str]]:
     """Columns that not all schemas hold in one type, and the types met."""
     types: dict[str, list[str]] = {}

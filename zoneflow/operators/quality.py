@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from zoneflow.config import COPIES, MALFORMED, QualityTargets
 from zoneflow.functions.numeric import percentage
 from zoneflow.functions.rules import all_hold, failed_rules, is_valid, reason, trip_rules
+from zoneflow.operators.contract import with_maps, without_maps
 
 
 def tag_quality(df: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def rejected_rows(df: DataFrame, distinct: bool = True) -> DataFrame:
     Only rejected rows are shuffled, and equal rows collapse before the shuffle.
     """
     rejected = df.filter(~is_valid(trip_rules(df.schema)))
-    return rejected.dropDuplicates() if distinct else rejected
+    return with_maps(without_maps(rejected).dropDuplicates(), df.schema) if distinct else rejected
 
 
 def counted_rejects(df: DataFrame) -> DataFrame:
@@ -43,13 +44,15 @@ def counted_rejects(df: DataFrame) -> DataFrame:
     """
     rejected = df.filter(~is_valid(trip_rules(df.schema)))
     names = [F.col(f"`{name}`") for name in df.columns]
-    return rejected.groupBy(*names).agg(F.count(F.lit(1)).alias(COPIES))
+    counted = without_maps(rejected).groupBy(*names).agg(F.count(F.lit(1)).alias(COPIES))
+    return with_maps(counted, df.schema)
 
 
 def rejected_by_set_operation(df: DataFrame) -> DataFrame:
     """The same distinct rejected rows, stated as ``df EXCEPT valid rows``."""
     valid = valid_rows(df)
-    return df.select(valid.columns).subtract(valid)
+    every = df.select(*(F.col(f"`{c}`") for c in valid.columns))
+    return with_maps(without_maps(every).subtract(without_maps(valid)), df.schema)
 
 
 def split_quality(df: DataFrame, distinct: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -116,8 +119,9 @@ def quality_metrics(df: DataFrame, targets: QualityTargets = QualityTargets()) -
     One scan and one shuffle: rows are grouped by their whole content if rejected
     and by NULL if valid, so all valid rows of a task leave it as a single count.
     """
-    rejected_key = F.when(~is_valid(trip_rules(df.schema)), F.struct(*df.columns))
-    copies = df.groupBy(rejected_key.alias("rejected")).agg(F.count(F.lit(1)).alias("n"))
+    plain = without_maps(df)
+    rejected_key = F.when(~is_valid(trip_rules(df.schema)), F.struct(*plain.columns))
+    copies = plain.groupBy(rejected_key.alias("rejected")).agg(F.count(F.lit(1)).alias("n"))
     is_rejected = F.col("rejected").isNotNull()
 
     def total(condition: Column) -> Column:

@@ -24,7 +24,14 @@ from zoneflow.config import (
     months_between,
 )
 from zoneflow.functions.rules import MISSING_COLUMNS
-from zoneflow.operators.contract import SchemaContractError, canonical_names, missing_columns, union_all
+from zoneflow.operators.contract import (
+    SchemaContractError,
+    canonical_names,
+    missing_columns,
+    union_all,
+    with_maps,
+    without_maps,
+)
 from zoneflow.operators.enrich import structure
 from zoneflow.operators.quality import split_counted
 from zoneflow.plans import monitoring
@@ -105,7 +112,7 @@ def _split_landing(
             continue
         valid, rejected = split_counted(landed)
         if dedup:
-            valid = valid.dropDuplicates()
+            valid = with_maps(without_maps(valid).dropDuplicates(), valid.schema)
         with ThreadPoolExecutor(2) as pool:
             # Both writes at once: the small one runs in the gaps of the large one.
             writes = [

@@ -576,14 +576,16 @@ def _grouped(docs: DataFrame, words: int, id_col: str, text_col: str, rule: Thre
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = named.join(least, "component").select("set_id", "component_id")
     roots = roots.withColumnRenamed("component", "root")
-    by_set = (
+    # Written, so that the join of all rows can split a set that very many rows have.
+    by_set = stored(
         ids.join(linked, "set_id", "left")
         .join(roots, "set_id", "left")
         .select(
             "set_id",
             F.coalesce("component_id", "first_id").alias("component_id"),
             F.coalesce("root", "set_id").alias("root"),
-        )
+        ),
+        "by-set",
     )
     joined = full.select("doc_id", "text_id", "n", "set_id").join(by_set, "set_id").drop("set_id")
     alone = known.where("n = 0").select(

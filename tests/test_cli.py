@@ -65,3 +65,17 @@ def test_landing_of_unknown_source_is_absent(spark, cfg, capsys):
     assert "skip" in capsys.readouterr().out
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         zones.read_batches(spark, cfg, LANDING, ["2024-01"])
+
+
+def test_reports_of_some_months(spark, cfg, make, deliver, capsys):
+    deliver(make({}, {"fare_amount": -1.0}), "2024-01")
+    deliver(make(*[{"trip_distance": -1.0}] * 2).coalesce(1), "2024-02")
+    call(spark, cfg, "backfill", "--month", "2024-01", "--last", "2024-02")
+    capsys.readouterr()
+    call(spark, cfg, "report", "--month", "2024-01")
+    printed = capsys.readouterr().out
+    assert "negative_fare\t1" in printed and "negative_distance" not in printed
+    assert "quarantine_by_ds" in printed and "2024-01-06\t1" in printed
+    call(spark, cfg, "report", "--month", "2023-01")
+    call(spark, cfg, "report")
+    assert "negative_distance\t1" in capsys.readouterr().out

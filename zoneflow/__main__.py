@@ -29,6 +29,7 @@ from zoneflow.session import build_session
 from zoneflow.sources.manifest import batch_status
 from zoneflow.sources.sinks import BATCH_KEYS, register_zone
 from zoneflow.sources.zones import read_quarantine, read_structured
+from zoneflow.storage import batch_months
 from zoneflow.streaming.arrivals import ingest_stream
 
 COMMANDS = {
@@ -125,12 +126,15 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             register_zone(spark, cfg.table, cfg.zone_root(STRUCTURED))
             register_zone(spark, f"quarantine_{cfg.table}", cfg.zone_root(QUARANTINE), BATCH_KEYS)
         case "report":
-            trips = read_structured(spark, cfg)
+            trips = read_structured(spark, cfg, months or None)
             for name in reports.TRIP_REPORTS:
                 print(name)
                 emit(reports.trip_report(name, trips), name, args)
-            rejected = read_quarantine(spark, cfg)
-            emit(reports.quarantine_report("quarantine_by_reason", rejected), "quarantine_by_reason", args)
+            known = set(batch_months(spark, cfg, QUARANTINE))
+            wanted = sorted(known.intersection(months)) if months else sorted(known)
+            for name in reports.QUARANTINE_REPORTS if wanted else ():
+                print(name)
+                emit(reports.quarantine_report(name, read_quarantine(spark, cfg, wanted)), name, args)
         case "alerts":
             quality = monitoring.quality_over_time(spark, cfg, months or None)
             alerts = monitoring.quality_alerts(quality, cfg.targets)

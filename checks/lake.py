@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import UTC, datetime
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.trips import derive_trips
-from zoneflow import storage
+from zoneflow import paths, storage
 from zoneflow.config import LANDING, SourceConfig, months_between
 from zoneflow.plans.pipeline import run_range
 from zoneflow.sources.sinks import size_for_write
@@ -44,6 +45,20 @@ def land(df: DataFrame, cfg: SourceConfig) -> None:
     )
 
 
+def deliver_again(spark: SparkSession, files: Sequence[str], aside: str) -> None:
+    """Put files that have landed there once more, under the names they have."""
+    conf = spark._jsc.hadoopConfiguration()
+    copy = spark._jvm.org.apache.hadoop.fs.FileUtil.copy
+
+    def again(at: int) -> None:
+        (fs, file), (_, kept) = (paths.open_path(spark, p) for p in (files[at], f"{aside}/{at}"))
+        copy(fs, file, fs, kept, False, True, conf)
+        copy(fs, kept, fs, file, False, True, conf)
+
+    with ThreadPoolExecutor(paths.THREADS) as pool:
+        list(pool.map(again, range(len(files))))
+
+
 def landed(spark: SparkSession, sf_dir: str) -> SourceConfig:
     """A lake whose landing zone holds all trips; built once per session, only read."""
     key = ("landed", spark.sparkContext.applicationId, sf_dir)

@@ -229,6 +229,9 @@ _BODIES: dict[str, str] = {
     ON strftime(m, '%Y-%m') = batch_month""",
     "arrival_once": """SELECT batch_month, input_rows, valid_rows,
   CASE WHEN batch_month < '1998-07' THEN 1 ELSE 2 END AS arrival FROM monthly""",
+    "arrival_changes": """SELECT batch_month, input_rows, valid_rows,
+  CASE WHEN batch_month < '1998-07' THEN 2 ELSE 1 END AS arrival FROM monthly
+  UNION ALL SELECT '2030-01', CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0""",
     "partition_pruned_scan": """SELECT ds, count(*) AS trip_count FROM clean
   WHERE ds BETWEEN '1995-02-01' AND '2001-09-30' GROUP BY ds""",
     # sinks and catalog

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from checks.lake import (
     RUN_TS,
+    deliver_again,
     empty_lake,
     fresh_lake,
     full_lake,
@@ -45,6 +46,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 HALFWAY = "1998-07"
+ROWLESS = "2030-01"
 ROWS_PER_FILE = 100
 LATER = RUN_TS + timedelta(days=1)
 
@@ -232,6 +234,29 @@ def arrival_once(spark, sf_dir):
     return processed.join(runs, "batch_month", "left")
 
 
+@query
+def arrival_changes(spark, sf_dir):
+    """All months, then the early ones again under their old file names, and one without rows."""
+    cfg = empty_lake(spark, "changes")
+    checkpoint = storage.scratch_dir(spark, "changes-checkpoint")
+    all_trips = trips(spark, sf_dir)
+    land(all_trips, cfg)
+    ingest_stream(spark, cfg, checkpoint, RUN_TS).awaitTermination()
+    early = [m for m in storage.batch_months(spark, cfg, LANDING) if m < HALFWAY]
+    files = [file for m in early for file in storage.files(spark, cfg.batch_path(LANDING, m))]
+    deliver_again(spark, files, storage.scratch_dir(spark, "again"))
+    empty = all_trips.drop("batch_month").limit(0)
+    empty.write.parquet(cfg.batch_path(LANDING, ROWLESS))
+    ingest_stream(spark, cfg, checkpoint, LATER).awaitTermination()
+    processed = monitoring.quality_over_time(spark, cfg).select("batch_month", "input_rows", "valid_rows")
+    runs = zones.read_raw(spark, cfg).groupBy("batch_month").agg(
+        F.when(F.min("ingestion_timestamp") == F.lit(LATER), 2)
+        .when(F.max("ingestion_timestamp") == F.lit(RUN_TS), 1)
+        .alias("arrival")
+    )
+    return processed.join(runs, "batch_month", "left").fillna(0, "arrival")
+
+
 @query
 def partition_pruned_scan(spark, sf_dir):
     scan = zones.trips_between(spark, full_lake(spark, sf_dir), "1995-02-01", "2001-09-30")

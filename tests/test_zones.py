@@ -1,5 +1,4 @@
 import os
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import datetime
@@ -7,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import GOOD_TRIP
 from zoneflow import paths, storage, versions
 from zoneflow.config import (
     LANDING,
@@ -23,9 +23,9 @@ from zoneflow.operators.contract import SchemaContractError, schema_check, schem
 from zoneflow.plans import monitoring, pipeline
 from zoneflow.plans.remediation import promote
 from zoneflow.plans.reports import quarantine_report, trip_report
-from zoneflow.sources import manifest, sinks, zones
+from zoneflow.sources import manifest, sinks, survey, zones
 from zoneflow.sources.manifest import batch_status
-from zoneflow.streaming.arrivals import ingest_stream
+from zoneflow.streaming.arrivals import ingest_stream, unseen_files
 
 PICKUP, DROPOFF = "tpep_pickup_datetime", "tpep_dropoff_datetime"
 BAD = {"fare_amount": -1.0}
@@ -326,17 +326,101 @@ def test_arrivals(spark, cfg, make, deliver, tmp_path):
         query.awaitTermination()
         return [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
 
-    deliver(make({}, BAD), "2024-01")
-    assert watch() == [2]
+    deliver(make({}, BAD).coalesce(1), "2024-01")
+    assert watch() == [1]
     assert counts(spark, cfg, "2024-01") == (1, 1, 1)
     assert watch() == []
-    deliver(make({}), "2024-01")
-    deliver(make(FEBRUARY), "2024-02")
+    deliver(make({}).coalesce(1), "2024-01")
+    deliver(make(FEBRUARY).coalesce(1), "2024-02")
     assert watch() == [2]
     assert counts(spark, cfg, "2024-01") == (2, 1, 2)
     assert counts(spark, cfg, "2024-02") == (1, 0, 1)
 
 
+def test_arrival_without_rows_and_under_an_old_name(spark, cfg, make, deliver, tmp_path):
+    checkpoint = str(tmp_path / "checkpoint")
+
+    def watch():
+        ingest_stream(spark, cfg, checkpoint, RUN_TS).awaitTermination()
+        quality = monitoring.quality_over_time(spark, cfg)
+        return {r.batch_month: r.input_rows for r in quality.collect()}
+
+    def file_of(month):
+        (found,) = storage.files(spark, cfg.batch_path(LANDING, month))
+        return found.removeprefix("file:")
+
+    deliver(make({}, {}).coalesce(1), "2024-01")
+    deliver(make({}).limit(0).coalesce(1), "2024-02")
+    assert watch() == {"2024-01": 2, "2024-02": 0}
+    first = file_of("2024-01")
+    old, times = open(first, "rb").read(), os.stat(first)
+    make(*[{}] * 5).coalesce(1).write.parquet(str(tmp_path / "more"))
+    (more,) = storage.files(spark, str(tmp_path / "more"))
+    with open(first, "wb") as target:
+        target.write(open(more.removeprefix("file:"), "rb").read())
+    os.remove(first.replace("/part-", "/.part-") + ".crc")
+    assert watch() == {"2024-01": 5, "2024-02": 0}
+    # As it was at first, time of the file included: a change all the same.
+    with open(first, "wb") as target:
+        target.write(old)
+    os.utime(first, ns=(times.st_atime_ns, times.st_mtime_ns))
+    assert watch() == {"2024-01": 2, "2024-02": 0}
+    # A file that is taken away brings nothing to process.
+    os.remove(file_of("2024-02"))
+    assert watch() == {"2024-01": 2, "2024-02": 0}
+    assert not unseen_files(spark, cfg, checkpoint).count()
+
+
+def jobs_of(spark, run):
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.nextJobId()
+    run()
+    return scheduler.nextJobId() - before
+
+
+def test_many_csv_files_take_few_jobs(spark, cfg):
+    source = replace(cfg, fmt="csv")
+    names = list(GOOD_TRIP)
+    line = ",".join("" if v is None else str(v) for v in GOOD_TRIP.values())
+    turned = ",".join(str(v) for v in reversed(GOOD_TRIP.values()))
+
+    def land(month, count):
+        for n in range(count):
+            header, row = (names, line) if n % 2 else (names[::-1], turned)
+            text = f"\n{','.join(header)}\r\n{row}\r\n".encode()
+            put(source.batch_path(LANDING, month), f"{n}.csv", text)
+
+    land("2024-01", 2)
+    few = jobs_of(spark, lambda: zones.read_landing(spark, source))
+    for month in ("2024-02", "2024-03", "2024-04"):
+        land(month, 20)
+    assert jobs_of(spark, lambda: zones.read_landing(spark, source)) == few <= 6
+    landed = zones.read_landing(spark, source)
+    assert landed.count() == 62
+    assert landed.select(*names).distinct().count() == 1
+    assert landed.first().trip_distance == "5.0"
+
+
+def test_csv_files_the_workers_cannot_tell_apart(spark, cfg):
+    source = replace(cfg, fmt="csv")
+    long = "x" * (1 << 20)
+    where = source.batch_path(LANDING, "2024-01")
+    put(where, "a.csv", b"a,b\n1,2\n")
+    put(where, "b.csv", b"")
+    put(where, "c.csv", b"\n  \nb,a\n2,1")
+    found = survey.first_lines(spark, list(storage.files(spark, where)))
+    assert len(found) == 3 and len(set(found.values())) == 3
+    rows = zones.read_batches(spark, source, LANDING, ["2024-01"]).select("a", "b").collect()
+    assert [tuple(r) for r in rows] == [("1", "2")] * 2
+    put(where, "d.csv", f"{long}\n1\n".encode())
+    put(where, "e.csv.gz", b"this is no gzip")
+    listed = list(storage.files(spark, where))
+    assert set(survey.first_lines(spark, listed)) == {f for f in listed if f[-5] in "abc"}
+    broken = {}
+    assert zones.batches_by_schema(spark, source, LANDING, ["2024-01"], broken) == []
+    assert "cannot be read together" in broken["2024-01"]
+
+
 def test_scratch_lies_in_a_folder_the_session_names(spark):
     path = storage.scratch_dir(spark, "label")
     assert storage.exists(spark, path)
@@ -580,15 +664,6 @@ def test_no_footer_is_opened_to_plan_a_read(spark, cfg, make, deliver):
     assert zones.trips_between(spark, cfg, "2024-01-01", "2024-01-31").count() == 1
 
 
-def jobs_of(spark, run):
-    group = uuid.uuid4().hex
-    spark.sparkContext.setJobGroup(group, "counted")
-    run()
-    found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
-    spark.sparkContext._jsc.clearJobGroup()
-    return found
-
-
 def test_planning_takes_two_jobs_for_any_number_of_months(spark, cfg, make, deliver):
     for month in range(1, 10):
         deliver(make({}), f"2024-0{month}")

@@ -1,11 +1,14 @@
-"""What the landed Parquet files say of themselves: columns, rows, or that they are broken.
+"""What the landed files say of themselves: columns, rows, or that they are broken.
 
-One pass over the list of files, spread over the executors, that reads footers only. A
-file system that the workers cannot reach by themselves leaves a month to the caller.
+One pass over the list of files, spread over the executors, that reads the footers of
+Parquet files, or the first lines of CSV files. A file system that the workers cannot
+reach by themselves leaves a month, or a file, to the caller.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -20,6 +23,8 @@ from pyspark.sql import SparkSession
 from zoneflow import paths
 from zoneflow.config import LANDING, SourceConfig
 
+_HEADS = "path string, head string"
+_HEAD_CHARS = 1 << 20  # a first line beyond that is left to Spark
 _FACTS = "month string, path string, columns string, rows bigint, error string, reached boolean"
 
 
@@ -79,3 +84,33 @@ def survey(spark: SparkSession, cfg: SourceConfig, months: Sequence[str]) -> dic
         elif row["columns"]:
             landed.columns.add(row["columns"])
     return found
+
+
+def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for path in batch["path"]:
+            try:
+                system, name = _open_native(path)
+                with system.open_input_stream(name, compression="detect") as stream:
+                    lines = io.TextIOWrapper(stream, encoding="utf-8", errors="surrogateescape")
+                    line = lines.readline(_HEAD_CHARS)
+                    while line and not line.strip():
+                        line = lines.readline(_HEAD_CHARS)
+            except (pa.ArrowInvalid, OSError, ValueError, NotImplementedError):
+                continue
+            if len(line) < _HEAD_CHARS:
+                text = line.rstrip("\r\n").encode("utf-8", "surrogateescape")
+                rows.append((path, hashlib.sha256(text).hexdigest()))
+        yield pd.DataFrame(rows, columns=["path", "head"])
+
+
+def first_lines(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
+    """A digest of each text file's first line that is not blank, by one job.
+
+    A file that the workers cannot open, or whose first line is very long, is not there.
+    """
+    if not files:
+        return {}
+    listed = spark.createDataFrame([(name,) for name in files], "path string")
+    return {row["path"]: row["head"] for row in listed.mapInPandas(_first_lines, _HEADS).collect()}

@@ -29,7 +29,7 @@ from zoneflow.config import (
 )
 from zoneflow.functions.features import time_features, trip_metrics
 from zoneflow.operators.contract import canonical_names, retyped_columns, schema_drift, union_all
-from zoneflow.sources.survey import survey
+from zoneflow.sources.survey import first_lines, survey
 
 BATCH_KEYS = ("year", "month")
 TRACE_TYPES = {"ingestion_timestamp": "timestamp", "source_file": "string"}
@@ -73,17 +73,33 @@ def _text(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in (*names, MALFORMED)])
 
 
-def _csv_scans(spark: SparkSession, cfg: SourceConfig, paths: Sequence[str]) -> list[DataFrame]:
-    """One scan per header, all columns text, since files may order theirs differently."""
+def _csv_headers(
+    spark: SparkSession, files: Sequence[str]
+) -> dict[str, tuple[str, ...] | Exception]:
+    """Each file's header as Spark reads it: one job, and one per first line that differs."""
 
-    def header(file: str) -> tuple[str, ...]:
-        return tuple(spark.read.option("header", True).csv(file).columns)
+    def header(file: str) -> tuple[str, ...] | Exception:
+        try:
+            return tuple(spark.read.option("header", True).csv(file).columns)
+        except (PySparkException, Py4JError) as error:
+            return error
 
-    found = [file for path in paths for file in storage.files(spark, path)]
+    heads = first_lines(spark, files)
+    spoken: dict[str, str] = {}
+    for file in files:
+        spoken.setdefault(heads.get(file, file), file)
     with ThreadPoolExecutor(storage.THREADS) as pool:
-        headers = list(pool.map(header, found))
+        read = dict(zip(spoken, pool.map(header, spoken.values()), strict=True))
+    return {file: read[heads.get(file, file)] for file in files}
+
+
+def _csv_scans(spark: SparkSession, cfg: SourceConfig, paths: Sequence[str]) -> list[DataFrame]:
+    """One scan per header, all columns text, since files may order theirs differently."""
+    found = [file for path in paths for file in storage.files(spark, path)]
     groups: dict[tuple[str, ...], list[str]] = {}
-    for names, file in zip(headers, found, strict=True):
+    for file, names in _csv_headers(spark, found).items():
+        if isinstance(names, Exception):
+            raise names
         groups.setdefault(names, []).append(file)
     reader = spark.read.option("header", True).option("enforceSchema", False)
     reader = reader.option("columnNameOfCorruptRecord", MALFORMED)
@@ -327,6 +343,8 @@ def _surveyed(
             return error
         return json.dumps([[f.name, f.dataType.simpleString()] for f in schema])
 
+    if zone == LANDING and cfg.fmt == "csv":
+        return _csv_columns(spark, cfg, months)
     facts = survey(spark, cfg, months) if zone == LANDING and cfg.fmt == "parquet" else {}
     known: dict[str, str | Exception] = {}
     for month, landed in facts.items():
@@ -341,6 +359,21 @@ def _surveyed(
     return known
 
 
+def _csv_columns(
+    spark: SparkSession, cfg: SourceConfig, months: Sequence[str]
+) -> dict[str, str | Exception]:
+    """Per month the names its headers hold, whatever their order, or why one cannot be read."""
+    with ThreadPoolExecutor(storage.THREADS) as pool:
+        listed = list(pool.map(lambda m: list(storage.files(spark, cfg.batch_path(LANDING, m))), months))
+    headers = _csv_headers(spark, [file for files in listed for file in files])
+    known: dict[str, str | Exception] = {}
+    for month, files in zip(months, listed, strict=True):
+        found = [headers[file] for file in files]
+        failed = [names for names in found if isinstance(names, Exception)]
+        known[month] = failed[0] if failed else json.dumps(sorted({n for names in found for n in names}))
+    return known
+
+
 def promoted_months(spark: SparkSession, cfg: SourceConfig, months: Sequence[str]) -> list[str]:
     known = set(storage.batch_months(spark, cfg, PROMOTED))
     return [month for month in months if month in known]

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import re
 import re._constants as sre
 import re._parser as sre_parser
 from collections.abc import Iterable
@@ -329,7 +330,10 @@ def find_secrets(
         texts = might_be_in(
             docs.select(_key(text).alias("key"), text.alias("text")), "key", membership_bits(possible, "key")
         )
-        verified = texts.join(possible, "key").select(
+        # Copies become one before the shuffle, so a text that very many rows have is sent
+        # once by each task and verified once.
+        once = texts.groupBy("key").agg(F.first("text").alias("text"))
+        verified = once.join(possible, "key").select(
             F.col("key").alias(key),
             F.concat(
                 *[
@@ -338,9 +342,6 @@ def find_secrets(
                 ]
             ).alias("_more"),
         )
-        verified = (
-            verified.where(F.size("_more") > 0).groupBy(key).agg(F.first("_more").alias("_more"))
-        )
         with_spans = with_spans.join(verified, key, "left").withColumn(
             "spans", F.concat("spans", F.coalesce("_more", none))
         )
@@ -379,8 +380,18 @@ def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") ->
     return docs.withColumn(text_col, cleaned)
 
 
+def _both_cases(pattern: str) -> str:
+    """Each ASCII letter in either case; classes name both themselves, as escapes stay."""
+    return re.sub(
+        r"(\\x[0-9a-fA-F]{2}|\\.|\[[^\]]*\])|([A-Za-z])",
+        lambda m: m[1] or f"[{m[2].lower()}{m[2].upper()}]",
+        pattern,
+    )
+
+
 def _rule_sql(rule: Rule, order: int) -> str:
-    pattern = _regex(rule).replace("'", "''")
+    # No (?i): it would take the Kelvin sign for a k and the long s for an s.
+    pattern = (_both_cases(rule.pattern) if rule.any_case else rule.pattern).replace("'", "''")
     return f"""SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, a, a + length(m[i]) AS b, g[i] AS g
   FROM (SELECT *, coalesce(list_sum([length(x) FOR x IN gap[1:i]]), 0)
                 + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS a

@@ -387,8 +387,10 @@ def blocks(entries: DataFrame, parts: DataFrame, rule: Threshold, draw: int | No
     )
 
 
-def _overlaps(lists_: pa.ChunkedArray, below: int | None = None) -> np.ndarray:
-    """How many values each two rows' lists share, counting only those ``below``."""
+def _overlaps(
+    lists_: pa.ChunkedArray, rows: np.ndarray, columns: np.ndarray, below: int | None = None
+) -> np.ndarray:
+    """How many values the lists of ``rows`` share with those of ``columns``: only those ``below``."""
     made = lists_.combine_chunks()
     if isinstance(made, pa.ChunkedArray):
         made = pa.concat_arrays(made.chunks)
@@ -400,16 +402,17 @@ def _overlaps(lists_: pa.ChunkedArray, below: int | None = None) -> np.ndarray:
     useful = times[code] > 1
     _, code = np.unique(code[useful], return_inverse=True)
     owner = owner[useful]
-    shared = np.zeros((len(made), len(made)), dtype=np.float32)
+    shared = np.zeros((len(rows), len(columns)), dtype=np.float32)
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
-    columns, width = int(code[-1]) + 1 if len(code) else 0, 512
-    for start in range(0, columns, width):
+    values, width = int(code[-1]) + 1 if len(code) else 0, 512
+    for start in range(0, values, width):
         a, b = np.searchsorted(code, [start, start + width])
-        block = np.zeros((len(made), min(width, columns - start)), dtype=np.float32)
+        block = np.zeros((len(made), min(width, values - start)), dtype=np.float32)
         block[owner[a:b], code[a:b] - start] = 1
-        for row in range(0, len(made), STRIP):
-            shared[row : row + STRIP] += block[row : row + STRIP] @ block.T
+        right = block[columns].T
+        for row in range(0, len(rows), STRIP):
+            shared[row : row + STRIP] += block[rows[row : row + STRIP]] @ right
     return shared
 
 
@@ -421,22 +424,24 @@ def _product(table: pa.Table, rule: Threshold, partners: int | None) -> pa.Table
     """
     node, n = table["node"].to_numpy(), table["n"].to_numpy().astype(np.int64)
     part = table["component"].to_numpy()
-    low, high = table["is_low"].to_numpy(), table["is_high"].to_numpy()
-    shared = _overlaps(table["prefix"])
+    # Only the classes of one side are multiplied with those of the other.
+    low, high = (np.flatnonzero(table[c].to_numpy()) for c in ("is_low", "is_high"))
+    shared = _overlaps(table["prefix"], low, high)
     # Pairs that met before are another block's.
-    np.putmask(shared, _overlaps(table["lists"], below=table["token"][0].as_py()) > 0, 0)
-    left, right = [], []
-    for row in range(0, len(node), STRIP):
-        i, j = np.nonzero(shared[row : row + STRIP] >= 1)
-        i += row
+    np.putmask(shared, _overlaps(table["lists"], low, high, below=table["token"][0].as_py()) > 0, 0)
+    met = []
+    for row in range(0, len(low), STRIP):
+        strip = shared[row : row + STRIP]
+        r, c = np.nonzero(strip >= 1)
+        count, i, j = strip[r, c], low[r + row], high[c]
         ahead = (n[i] < n[j]) | ((n[i] == n[j]) & (node[i] < node[j]))
-        met = (low[i] & high[j]) | (high[i] & low[j])
-        keep = ahead & met & (part[i] != part[j]) & (n[i] >= rule.least_size(n[j]))
-        i, j = i[keep], j[keep]
-        keep = shared[i, j] >= rule.prefix_overlap(n[i], n[j])
-        left.append(i[keep])
-        right.append(j[keep])
-    i, j = np.concatenate(left), np.concatenate(right)
+        i, j = np.where(ahead, i, j), np.where(ahead, j, i)
+        keep = (node[i] != node[j]) & (part[i] != part[j]) & (n[i] >= rule.least_size(n[j]))
+        count, i, j = count[keep], i[keep], j[keep]
+        keep = count >= rule.prefix_overlap(n[i], n[j])
+        met.append(i[keep] * len(node) + j[keep])
+    # Where both sides hold both classes, a pair was met twice.
+    i, j = np.divmod(np.unique(np.concatenate(met or [np.empty(0, np.int64)])), len(node))
     if partners is not None:
         drawn = mix(mix(node[i].view(np.uint64)) ^ node[j].view(np.uint64))
         chosen = np.zeros(len(i), dtype=bool)

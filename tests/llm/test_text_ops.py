@@ -237,3 +237,36 @@ def test_scaled_copies_go_by_id(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [r.vec_id for r in nearest.search(df, "id = 3").orderBy("rank").collect()]
     assert got == [0, 1, 2, 4, 5]
+
+
+def test_rows_of_one_id_and_huge_components(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(40, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [(0, (-vectors[3]).tolist()), (0, vectors[3].tolist()), (7, vectors[3].tolist()), (0, vectors[0].tolist())]
+    rows += [(90, (vectors[5] * 1e200).tolist()), (91, (vectors[6] * 1e-200).tolist()), (100, [1e308, -1e308, 1e308, 0.0, 1.0, 1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    once = sorted(set((i, tuple(v)) for i, v in rows))
+    want = []
+    for i, v in once:
+        if i % 50 == 0:
+            others = [(w, np.array(x)) for w, x in once if (w, x) != (i, v)]
+            near = sorted((-float(nearest.cosines(np.array([v]), x[None])[0]), w) for w, x in others)[:5]
+            want += [(i, rank, w, -c) for rank, (c, w) in enumerate(near, 1)]
+    got = [tuple(r) for r in nearest.search(df, "id % 50 = 0").collect()]
+    assert sorted(got) == sorted(want)
+    assert all(np.isfinite(c) and abs(c) <= 1 + 1e-12 for *_, c in got)
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 0.0, 0.0]), (50, [0.0, 1.0, 1.0]), (100, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r)[:3] for r in nearest.search(df, "id % 50 = 0").collect())
+    assert got == [(0, 1, 1), (50, 1, 2)]
+
+
+def test_more_hashes_than_bytes_of_a_code():
+    made = nearest.index_for(1 << 30, 8, 0.5, 1)
+    assert made.directions.shape[-1] == 12
+    cells = np.random.default_rng(1).integers(-3, 3, size=(5000, 12)).astype(float)
+    assert len(np.unique(made.code(cells))) == len(np.unique(cells, axis=0))

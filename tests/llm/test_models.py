@@ -87,7 +87,7 @@ def verdict_of(url):
 def test_urls(spark):
     rows = [(i, u, "h") for i, u in enumerate(URLS)] + [(0, URLS[4], "h")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
-    model = url_filter.train(url_filter.labelled_urls())
+    model = url_filter.fitted(url_filter.labelled_urls())
     got = url_filter.judge(pages).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -99,10 +99,31 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0)).collect() == []
 
 
-def test_url_model_knows_its_table():
+def test_url_model_on_hosts_it_has_not_seen():
     rows = url_filter.labelled_urls()
-    model = url_filter.train(rows)
-    right = [(model.score(*url_filter.split_url(u)) >= 0.5) == bool(y) for u, y in rows]
-    assert sum(right) / len(right) >= 0.97
+    assert 150 <= len(rows) <= 200 and len({url_filter.split_url(u)[0] for u, _ in rows}) == len(rows)
+    judged = []
+    for part in range(url_filter.HELD_OUT):
+        model = url_filter.fitted([r for r in rows if not url_filter.held_out(r[0], part)])
+        for url, label in rows:
+            if url_filter.held_out(url, part):
+                judged.append((int(model.score(*url_filter.split_url(url)) >= url_filter.BLOCK_AT), label))
+    assert len(judged) == len(rows)
+    clean = [p for p, y in judged if not y]
+    assert sum(clean) <= 0.05 * len(clean)
+    assert sum(p == y for p, y in judged) / len(judged) >= 0.75
+
+
+def test_url_model_knows_words_in_new_places():
+    model = url_filter.fitted(url_filter.labelled_urls())
+    block = ["http://viagra.example.org/", "http://gamble-now.example.org/slots", "http://malware-download.biz/x.exe"]
+    allow = ["http://library.example.net/en/55", "http://garden.example.com/", "http://qwopnarl.example.org/de/7", ""]
+    assert all(model.score(*url_filter.split_url(u)) >= url_filter.BLOCK_AT for u in block)
+    assert all(model.score(*url_filter.split_url(u)) < url_filter.BLOCK_AT for u in allow)
+
+
+def test_url_model_of_few_rows():
+    assert url_filter.fitted([]).score("a.b", "/") == 0.5
+    assert url_filter.fitted([("http://casino.net/", 1)] * 3).score("casino.net", "/") > 0.5
     with pytest.raises(ValueError, match="rows"):
         url_filter.train([("http://a.b/", 1)] * (url_filter.MAX_LABELLED + 1))

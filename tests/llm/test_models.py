@@ -42,6 +42,56 @@ def test_matching_prefers_longest_and_skips_exceptions():
     assert [m[0] for m in sorted(matcher.matches(folded))] == plain
 
 
+def labelled(spark, rows):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+
+
+def sentence(rng, *more):
+    words = rng.choices("the of river house moon and green walks slowly under seven bridges every morning".split(), k=40)
+    return " ".join([*words[:20], *more, *words[20:]])
+
+
+def test_words_of_other_words_letters_are_clean(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    matcher = toxicity.train(docs, labels).matcher()
+    clean = ["The path to the house is worth a walk.", "Das Wort ist gut.", "A clownfish swims past a trash can.", ""]
+    assert all(score < toxicity.THRESHOLD for score, _ in matcher.scores(clean))
+    assert matcher.scores(["You are an idiot"])[0][0] >= toxicity.THRESHOLD
+
+
+def test_exceptions_are_learned_where_they_mend_a_text(spark):
+    rng = random.Random(3)
+    rows = [(sentence(rng, "moron"), 1) for _ in range(60)] + [(sentence(rng), 0) for _ in range(300)]
+    rows += [(sentence(rng, "brave", "moron"), 0) for _ in range(12)]
+    model = toxicity.train(*labelled(spark, rows))
+    assert " moron " in model.lexicon and " brave moron " in model.exceptions
+    scores = [s for s, _ in model.matcher().scores([t for t, _ in rows])]
+    assert [int(s >= toxicity.THRESHOLD) for s in scores] == [y for _, y in rows]
+
+
+def test_copies_of_one_text_make_no_entries(spark):
+    rng = random.Random(5)
+    copied = sentence(rng, "zanzibar", "quixotic", "you", "moron")
+    rows = [(copied + (" end" if i % 2 else ""), 1) for i in range(60)]
+    rows += [(sentence(rng, "you", "moron"), 1) for _ in range(60)] + [(sentence(rng), 0) for _ in range(300)]
+    lexicon = toxicity.train(*labelled(spark, rows)).lexicon
+    assert " moron " in lexicon and not {" zanzibar ", " quixotic "} & set(lexicon)
+
+
+def test_beginnings_stand_for_several_words(spark):
+    rng = random.Random(7)
+    ends = ["ling", "ter", "mole", "rak", "sund", "vot"]
+    rows = [(sentence(rng, "grubba" + ends[i % 6], "pathetic"), 1) for i in range(90)]
+    rows += [(sentence(rng, *(["grubba"] if i % 20 == 0 else [])), 0) for i in range(300)]
+    model = toxicity.train(*labelled(spark, rows))
+    assert " grubba" in model.lexicon and " grubba " in model.exceptions
+    assert " pathetic " in model.lexicon and " path" not in model.lexicon
+    matcher = model.matcher()
+    texts = [sentence(rng, "grubbaneu", "grubbaneu"), sentence(rng, "grubba", "path")]
+    assert [len(matcher.matches(toxicity.fold(t))) for t in texts] == [2, 0]
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_odd_rows(spark, module):
     rng = random.Random(2)

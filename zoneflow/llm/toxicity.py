@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -26,6 +29,19 @@ CANDIDATES = 20_000
 ENTRIES = 2_000
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
+KINDS = 3
+SURE = 4.0
+SURE_PART = 2.5
+
+# Harmless phrases with words that also insult; exceptions of every trained model.
+HARMLESS = tuple(
+    f" {phrase} "
+    for phrase in (
+        "trash can", "trash cans", "trash bin", "trash bag", "trash bags", "trash collection", "pond scum", "soap scum",
+        "circus clown", "birthday clown", "clown fish", "clown nose", "loser bracket", "losers bracket", "garbage can",
+        "garbage truck", "garbage collection", "garbage collector", "dumb bell", "dumb waiter", "dumb terminal",
+    )
+)
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(
@@ -113,7 +129,11 @@ class Matcher:
                 longest[start] = (size, weight)
         found = [(start, start + size, weight) for start, (size, weight) in longest.items()]
         if excepted:
-            found = [m for m in found if not any(a <= m[0] and m[1] <= b for a, b in excepted)]
+            # Whether one phrase spans a match: of those that begin before it, the farthest end.
+            excepted.sort()
+            begins = [a for a, _ in excepted]
+            ends = list(accumulate((b for _, b in excepted), max))
+            found = [m for m in found if not (at := bisect_right(begins, m[0])) or ends[at - 1] < m[1]]
         return found
 
     def measure(self, text: str) -> tuple[float, float, int]:
@@ -153,33 +173,62 @@ def damped(times: int) -> float:
     return float(np.log2(1 + times))
 
 
+def part_of(words: list[str]) -> int:
+    """0 or 1, by the least hash of five words in a row: near copies seldom part."""
+    runs = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    return min(zlib.crc32(run.encode()) for run in runs) // 7 % 2
+
+
+@dataclass(frozen=True)
+class Seen:
+    """Texts an entry is in and its damped occurrences, in toxic texts and in clean ones."""
+
+    docs: float
+    times: float
+    clean_docs: float
+    clean_times: float
+
+    def weight(self, sizes: Seen) -> float:
+        """Log ratio of the rates; ``sizes`` counts texts and words."""
+        return float(np.log((self.times + 0.5) / ((self.clean_times + 0.5) * sizes.times / sizes.clean_times)))
+
+    def sureness(self, sizes: Seen) -> float:
+        """By how many deviations it is commoner in toxic texts, by texts and by occurrences."""
+        docs = (self.clean_docs + 0.5) * sizes.docs / sizes.clean_docs
+        times = (self.clean_times + 0.5) * sizes.times / sizes.clean_times
+        return float(min((self.docs - docs) / np.sqrt(docs + 1), (self.times - times) / np.sqrt(times + 1)))
+
+
 def choose_lexicon(
-    counts: Mapping[str, tuple[int, float, int, float]],
-    toxic: tuple[int, int],
-    clean: tuple[int, int],
-    least: int = 5,
+    counts: Mapping[str, tuple[Seen, Seen]], sizes: tuple[Seen, Seen], least: int = 5
 ) -> dict[str, float]:
     """Weights of entries far commoner in toxic texts: log ratio of their rates.
 
-    ``counts``: documents and damped occurrences in toxic texts, then in clean ones.
-    ``toxic``, ``clean``: how many texts and words there are.
+    ``counts`` and ``sizes`` are those of two disjoint parts of the sample. An entry has
+    to hold in either by itself (``SURE_PART``): chance does that once in 25,000 times,
+    so of ``CANDIDATES`` less than one is expected to be there by chance.
     """
+
+    def both(a: Seen, b: Seen) -> Seen:
+        return Seen(a.docs + b.docs, a.times + b.times, a.clean_docs + b.clean_docs, a.clean_times + b.clean_times)
+
+    if not all(part.docs and part.clean_docs and part.times and part.clean_times for part in sizes):
+        return {}
+    whole = both(*sizes)
     chosen = []
-    for entry, (docs, times, clean_docs, clean_times) in counts.items():
-        expected_docs = (clean_docs + 0.5) * toxic[0] / clean[0]
-        expected = (clean_times + 0.5) * toxic[1] / clean[1]
-        weight = np.log((times + 0.5) / expected)
-        sure_docs = (docs - expected_docs) / np.sqrt(expected_docs + 1)
-        sure = (times - expected) / np.sqrt(expected + 1)
-        if docs >= least and weight >= 1.5 and min(sure, sure_docs) >= 4:
-            chosen.append((sure, entry, float(weight)))
+    for entry, parts in counts.items():
+        seen = both(*parts)
+        weight, sure = seen.weight(whole), seen.sureness(whole)
+        if seen.docs >= least and weight >= 1.5 and sure >= SURE:
+            if min(part.sureness(size) for part, size in zip(parts, sizes, strict=True)) >= SURE_PART:
+                chosen.append((sure, entry, weight))
     return {entry: weight for _, entry, weight in sorted(chosen, reverse=True)[:ENTRIES]}
 
 
 def choose_exceptions(
     toxic: Mapping[str, int], clean: Mapping[str, int], toxic_docs: int, clean_docs: int
 ) -> tuple[str, ...]:
-    """Phrases around a match that are commoner in clean texts than in toxic ones."""
+    """Phrases around a match that are commoner in clean texts taken for toxic than in toxic ones."""
     return tuple(
         sorted(
             p
@@ -245,6 +294,9 @@ def train(
 
     Counts are made on the executors; to the driver come at most ``CANDIDATES``
     entries, as many phrases around matches, and two numbers per sampled document.
+    The beginning of a word is an entry only if it begins at least ``KINDS`` words of
+    toxic texts, none of them makes up more than half of it, and a clean word comes to at
+    least ``KINDS`` of them; its clean words are exceptions.
     Without a label of either kind the lexicon is empty and every score the same.
     """
     sample = stored(labelled_sample(docs, labels, label, sample_rows, id_col, text_col), "sample")
@@ -252,54 +304,104 @@ def train(
     def counter(wanted: frozenset[str] | None):
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                seen: Counter[str] = Counter()
-                total: Counter[str] = Counter()
+                seen: dict[tuple[int, str], tuple[int, float]] = {}
                 for text in batch["text"]:
-                    own = Counter(entries_of(fold(text or "").split()))
-                    own = {e: n for e, n in own.items() if wanted is None or e in wanted}
-                    seen.update(own.keys())
-                    for entry, n in own.items():
-                        total[entry] += damped(n)
-                rows = [(e, n, total[e]) for e, n in seen.items()]
-                yield pd.DataFrame(rows, columns=["entry", "docs", "times"])
+                    words = fold(text or "").split()
+                    part, own = part_of(words), Counter(entries_of(words))
+                    own = {e: damped(n) for e, n in own.items() if wanted is None or e in wanted}
+                    for entry, n in (own | {"": len(words)}).items():
+                        docs, times = seen.get((part, entry), (0, 0.0))
+                        seen[part, entry] = docs + 1, times + n
+                rows = [(*key, *n) for key, n in seen.items()]
+                yield pd.DataFrame(rows, columns=["part", "entry", "docs", "times"])
 
         return count
 
     def counted(label: int, wanted: frozenset[str] | None = None) -> DataFrame:
-        return (
-            sample.where(F.col("label") == label)
-            .mapInPandas(counter(wanted), "entry string, docs long, times double")
-            .groupBy("entry")
-            .agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
+        """Per entry its texts and occurrences in both parts; the empty entry counts texts and words."""
+        counts = sample.where(F.col("label") == label).mapInPandas(
+            counter(wanted), "part int, entry string, docs long, times double"
         )
+        of_part = [
+            F.coalesce(F.sum(F.when(F.col("part") == part, F.col(name))), F.lit(0)).alias(f"{name}{part}")
+            for part in (0, 1)
+            for name in ("docs", "times")
+        ]
+        return counts.groupBy("entry").agg(*of_part)
 
     toxic = (
-        counted(1).where("docs >= 5").orderBy(F.desc("docs"), "entry").limit(CANDIDATES).toPandas()
+        counted(1).where("docs0 + docs1 >= 5 or entry = ''").orderBy(F.desc(F.col("docs0") + F.col("docs1")), "entry")
+        .limit(CANDIDATES + 1).toPandas().set_index("entry")
+    )
+    clean = counted(0, frozenset(toxic.index)).toPandas().set_index("entry")
+    both = toxic.join(clean, rsuffix="_clean", how="outer").fillna(0)
+    counts = {
+        entry: (Seen(a, b, e, f), Seen(c, d, g, h))
+        for entry, a, b, c, d, e, f, g, h in both.itertuples(name=None)
+    }
+    sizes = counts.pop("", (Seen(0, 0, 0, 0),) * 2)
+    lexicon = choose_lexicon(counts, sizes)
+    toxic_docs, clean_docs = (sum(getattr(part, name) for part in sizes) for name in ("docs", "clean_docs"))
+    lexicon, clean_words = _without_single(sample, lexicon, toxic_docs, clean_docs)
+    return _calibrated(sample, lexicon, HARMLESS + clean_words)
+
+
+def _without_single(
+    sample: DataFrame, lexicon: dict[str, float], toxic_docs: float, clean_docs: float
+) -> tuple[dict[str, float], tuple[str, ...]]:
+    """The entries but for beginnings that stand for one word, and clean words with the others.
+
+    A clean word is in at least ``KINDS`` clean texts and in no smaller share of them
+    than of the toxic ones.
+    """
+    beginnings = frozenset(e for e in lexicon if not e.endswith(" "))
+    if not beginnings:
+        return lexicon, ()
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: Counter[tuple[str, str, int]] = Counter()
+            for text, label in zip(batch["text"], batch["label"], strict=True):
+                for word in set(fold(text or "").split()):
+                    for k in PREFIXES:
+                        if len(word) > k and f" {word[:k]}" in beginnings:
+                            seen[f" {word[:k]}", word, label] += 1
+            yield pd.DataFrame([(*key, n) for key, n in seen.items()], columns=["entry", "word", "label", "n"])
+
+    toxic, clean = (F.coalesce(F.sum(F.when(F.col("label") == y, F.col("n"))), F.lit(0)) for y in (1, 0))
+    counts = (
+        sample.mapInPandas(words, "entry string, word string, label int, n long")
+        .groupBy("entry", "word")
+        .agg(toxic.alias("toxic"), clean.alias("clean"))
+    )
+    is_clean = (F.col("clean") >= KINDS) & (F.col("clean") * toxic_docs >= F.col("toxic") * clean_docs)
+    kinds = counts.groupBy("entry").agg(
+        F.count(F.when(F.col("toxic") > 0, 1)).alias("kinds"),
+        F.max("toxic").alias("most"),
+        F.sum("toxic").alias("all"),
+        F.collect_list(F.when(is_clean, F.col("word"))).alias("clean_words"),
+    )
+    of_many = kinds.where(
+        (F.col("kinds") >= KINDS) & (F.col("most") * 2 <= F.col("all")) & (F.size("clean_words") * KINDS <= F.col("kinds"))
     )
-    clean = counted(0, frozenset(toxic["entry"])).toPandas().set_index("entry")
-    sizes = {0: (0, 0), 1: (0, 0)}
-    for row in (
-        sample.select("label", F.size(F.split(F.trim("text"), r"\s+")).alias("n"))
-        .groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).collect()
-    ):
-        sizes[row["label"]] = (row["docs"], row["n"])
-    both = toxic.set_index("entry").join(clean, rsuffix="_clean").fillna(0)
-    counts = dict(zip(both.index, both.itertuples(index=False, name=None), strict=True))
-    lexicon = choose_lexicon(counts, sizes[1], sizes[0]) if sizes[0][1] and sizes[1][1] else {}
-    return _calibrated(sample, lexicon)
-
-
-def _calibrated(sample: DataFrame, lexicon: dict[str, float]) -> ToxicityModel:
-    draft = ToxicityModel(lexicon)
+    kept = {r["entry"]: r["clean_words"] for r in of_many.select("entry", "clean_words").collect()}
+    words_left = sorted({f" {word} " for found in kept.values() for word in found})
+    return {e: w for e, w in lexicon.items() if e not in beginnings or e in kept}, tuple(words_left)
+
+
+def _calibrated(sample: DataFrame, lexicon: dict[str, float], known: tuple[str, ...]) -> ToxicityModel:
+    """With a curve and the exceptions that mend clean texts taken for toxic ones."""
+    draft = _with_curve(sample, lexicon, known)
 
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = draft.matcher()
         for batch in batches:
             seen: Counter[tuple[str, int]] = Counter()
-            for text, label in zip(batch["text"], batch["label"], strict=True):
-                folded = fold(text or "")
-                found = matcher.matches(folded)
-                seen.update((p, label) for p in phrases(folded, found))
+            texts = [t or "" for t in batch["text"]]
+            for text, label, (score, _) in zip(texts, batch["label"], matcher.scores(texts), strict=True):
+                if label == 1 or score >= THRESHOLD:
+                    folded = fold(text)
+                    seen.update((p, label) for p in phrases(folded, matcher.matches(folded)))
             rows = [(p, label, n) for (p, label), n in seen.items()]
             yield pd.DataFrame(rows, columns=["phrase", "label", "n"])
 
@@ -318,12 +420,16 @@ def _calibrated(sample: DataFrame, lexicon: dict[str, float]) -> ToxicityModel:
         .toPandas()
     )
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    exceptions = choose_exceptions(
+    learned = choose_exceptions(
         dict(zip(found["phrase"], found["toxic"], strict=True)),
         dict(zip(found["phrase"], found["clean"], strict=True)),
         sizes.get(1, 0),
         sizes.get(0, 0),
     )
+    return _with_curve(sample, lexicon, tuple(dict.fromkeys(known + learned))) if learned else draft
+
+
+def _with_curve(sample: DataFrame, lexicon: dict[str, float], exceptions: tuple[str, ...]) -> ToxicityModel:
     model = ToxicityModel(lexicon, exceptions)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

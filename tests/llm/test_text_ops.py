@@ -35,6 +35,16 @@ def test_fingerprints():
         assert plain_fingerprint(text, 5, 7) == list(zip(hashes.tolist(), places.tolist(), strict=True))
 
 
+def test_stretches_of_a_long_text_change_nothing():
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ab", k=n)) for n in (0, 3, 20, 21, 22, 30, 31, 400)] + ["a" * 90]
+    whole = winnowing.fingerprints(texts, 5, 7)
+    for stretch in (1, 10, 64):
+        parts = winnowing.fingerprints(texts, 5, 7, stretch)
+        for (a, b), (c, d) in zip(whole, parts, strict=True):
+            assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
+
+
 def test_shared_passages_share_a_hash():
     rng = random.Random(4)
     for _ in range(50):

@@ -21,8 +21,10 @@ from zoneflow.llm.shingles import mix
 GRAM = 20
 WINDOW = 45
 BLOCK_ROWS = 5_000
-BLOCKS = 20_000
+BLOCKS = 1 << 17
+SAMPLED = 32
 RUN_CHARS = 1 << 19
+STRETCH = 1 << 23
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -35,11 +37,19 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out, out=out)
 
 
-def fingerprints(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
+def fingerprints(
+    texts: list[str], gram: int = GRAM, window: int = WINDOW, stretch: int = STRETCH
+) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hashes and positions, ascending by position, of each text's fingerprint.
 
-    A text shorter than ``gram`` is one gram of its own; an empty one has none.
+    A text shorter than ``gram`` is one gram of its own; an empty one has none. Texts
+    of more than ``stretch`` windows are read in stretches that overlap by a window.
     """
+    longest = stretch + window + gram - 2
+    if len(texts) > 1 and sum(map(len, texts)) > longest:
+        return [found for text in texts for found in fingerprints([text], gram, window, stretch)]
+    if texts and len(texts[0]) > longest:
+        return [_in_stretches(texts[0], gram, window, stretch)]
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     # Each text is followed by a gap that no window can look across.
     begin = np.concatenate([[0], np.cumsum(sizes + window + gram)])[:-1]
@@ -81,6 +91,16 @@ def fingerprints(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> li
     return out
 
 
+def _in_stretches(text: str, gram: int, window: int, stretch: int) -> tuple[np.ndarray, np.ndarray]:
+    hashes, places = [], []
+    for at in range(0, len(text) - window - gram + 2, stretch):
+        ((found, where),) = fingerprints([text[at : at + stretch + window + gram - 2]], gram, window, stretch)
+        hashes.append(found)
+        places.append(where + at)
+    position, first = np.unique(np.concatenate(places), return_index=True)
+    return np.concatenate(hashes)[first], position
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two fingerprints' hashes; two empty ones are alike."""
     x, y = np.unique(a), np.unique(b)
@@ -124,20 +144,22 @@ def digest(hashes: np.ndarray, positions: np.ndarray) -> str:
 def _blocked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``block``, ``_id``, ``_hash``, ``id``, ``text``: blocks ascend with (_id, _hash).
 
-    Bounds are quantiles of the ids, at most ``BLOCKS``. An id that is several bounds
-    (NULL is one) has so many rows that they are dealt further, by hash.
+    Bounds are quantiles of about ``SAMPLED`` ids a block, drawn by a fixed seed, at
+    most ``BLOCKS``: they say which task does what, not what comes out. An id that is
+    several bounds (NULL is one) has so many rows that they are dealt further, by hash.
     """
     keyed = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).withColumn("_hash", F.xxhash64("text"))
-    count = min(BLOCKS, keyed.count() // BLOCK_ROWS)
+    rows = keyed.count()
+    count = min(BLOCKS, rows // BLOCK_ROWS)
     shares = [(k + 1) / (count + 1) for k in range(count)]
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"))
-    bounds = np.array(
-        ids.approxQuantile("_id", shares, 1 / (4 * count + 4)) if shares else [], dtype=np.float64
-    )
+    drawn = ids.sample(min(1.0, SAMPLED * (count + 1) / max(rows, 1)), seed=17)
+    found = drawn.approxQuantile("_id", shares, 1 / (4 * count + 4)) if shares else []
+    bounds = np.array(found, dtype=np.float64)
 
     @F.pandas_udf("int")
     def block(key: pd.Series, code: pd.Series) -> pd.Series:

@@ -6,11 +6,14 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from checks import lake
 from checks.trips import derive_trips
 from tests.conftest import GOOD_TRIP, TESTDATA
-from zoneflow.config import PICKUP
+from zoneflow import storage
+from zoneflow.config import LANDING, PICKUP
 from zoneflow.operators.enrich import structure
 from zoneflow.sources import sinks
+from zoneflow.sources.zones import read_landing
 
 
 def rebalanced(df):
@@ -71,3 +74,15 @@ def test_a_number_of_open_files_of_the_session_stays(spark):
         assert spark.conf.get(sinks.OPEN_FILES) == "7"
     finally:
         spark.conf.unset(sinks.OPEN_FILES)
+
+
+def test_landed_text_is_packed_and_in_files_a_task_can_take(spark, monkeypatch):
+    monkeypatch.setattr(lake, "TEXT_ROWS", 20)
+    trips = derive_trips(spark, f"{TESTDATA}/sf0.001", gather=True)
+    for fmt in ("csv", "json"):
+        cfg = lake.empty_lake(spark, f"packed-{fmt}", fmt)
+        lake.land(trips, cfg)
+        files = list(storage.files(spark, cfg.zone_root(LANDING)))
+        assert all(name.endswith(f".{fmt}.gz") for name in files)
+        assert len(files) > 6009 / 20
+        assert read_landing(spark, cfg).count() == 6009

@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from checks import lake
+from checks import lake, queries
 from checks.trips import derive_trips
 from tests.conftest import GOOD_TRIP, TESTDATA
 from zoneflow import storage
@@ -86,3 +86,12 @@ def test_landed_text_is_packed_and_in_files_a_task_can_take(spark, monkeypatch):
         assert all(name.endswith(f".{fmt}.gz") for name in files)
         assert len(files) > 6009 / 20
         assert read_landing(spark, cfg).count() == 6009
+
+
+def test_rows_written_by_day_are_gathered_without_their_features(spark):
+    sf = f"{TESTDATA}/sf0.001"
+    gathered = queries.clean_by_day(spark, sf)
+    _, shuffled = rebalanced(gathered)
+    assert "fare_amount" in shuffled and "avg_speed_mph" not in shuffled
+    assert gathered.columns == queries.clean(spark, sf).columns
+    assert gathered.exceptAll(queries.clean(spark, sf)).isEmpty()

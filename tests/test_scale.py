@@ -10,10 +10,10 @@ from checks import lake, queries
 from checks.trips import derive_trips
 from tests.conftest import GOOD_TRIP, TESTDATA
 from zoneflow import storage
-from zoneflow.config import LANDING, PICKUP
+from zoneflow.config import LANDING, PICKUP, STRUCTURED
 from zoneflow.operators.enrich import structure
 from zoneflow.sources import sinks
-from zoneflow.sources.zones import read_landing
+from zoneflow.sources.zones import read_landing, read_structured
 
 
 def rebalanced(df):
@@ -66,6 +66,24 @@ def test_writes_sort_nothing_while_few_directories_are_met(spark, tmp_path):
     assert [spark.read.parquet(f"{tmp_path}/{n}").count() for n in range(4)] == [1000] * 4
 
 
+def test_a_task_meets_no_more_days_than_it_keeps_files_open(spark, cfg):
+    months = [f"2024-{m:02d}" for m in range(1, 7)]
+    rows = spark.range(0, 6 * 28 * 20, 1, 3).select(
+        "id",
+        F.concat(F.lit("2024-"), F.lpad((F.col("id") % 6 + 1).cast("string"), 2, "0")).alias("batch_month"),
+        F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0").alias("ds"),
+    )
+    sinks.write_structured(rows, cfg, months)
+    days = {}
+    for name in storage.files(spark, cfg.zone_root(STRUCTURED)):
+        if found := re.search(r"batch_month=(.*)/ds=(.*)/part-(\d+)-", name):
+            days.setdefault(found[3], set()).add(found.group(1, 2))
+    assert sum(map(len, days.values())) == 84
+    assert max(map(len, days.values())) <= sinks.FILES_AT_ONCE
+    assert read_structured(spark, cfg).count() == rows.count()
+    assert spark.conf.get(sinks.MERGED) == "true"
+
+
 def test_a_number_of_open_files_of_the_session_stays(spark):
     spark.conf.set(sinks.OPEN_FILES, 7)
     try:

@@ -88,6 +88,27 @@ def test_ids_are_the_tokenizers():
     assert made == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_known_stretch_is_not_split_again(monkeypatch):
+    words, split = packing._WORDS, []
+
+    class Counted:
+        def findall(self, text):
+            split.append(text)
+            return words.findall(text)
+
+    monkeypatch.setattr(packing, "_WORDS", Counted())
+    texts = ["river, house2 it's a\xa0b \x1c.x ÉCOLE(7) river", "RIVER, it's École(7)\nhouse2", " \xa0 ", "a\x00b 12 ²x--"]
+    encoder = packing.WordEncoder(PATH)
+    assert encoder.splits
+    first = encoder.encode(texts)
+    wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in first] == wanted
+    split.clear()
+    assert encoder.encode(texts) == first and split == []
+    encoder.capacity = 0
+    assert encoder.encode(texts) == first and len(encoder.known) < 40
+
+
 def test_documents(spark):
     rng = random.Random(5)
     words = "the of and ing tion house river 7 , .".split()

@@ -12,13 +12,12 @@ pieces of a length.
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +30,7 @@ from zoneflow.llm.common import slices, stored
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BUCKET_ROWS = 100_000
-RUN_CHARS = 1 << 16  # the words of a run fit the processor's cache
+RUN_CHARS = 1 << 19
 
 
 # How the tokenizer splits lower-case Latin-1 text into words.
@@ -50,24 +49,46 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
 
 
+class KnownIds(dict):
+    """Ids, as little-endian bytes, of UTF-8 stretches without white space; new ones are made."""
+
+    def __init__(self, tokenize: Callable) -> None:
+        self.tokenize, self.letters = tokenize, _byte_letters()
+
+    def __missing__(self, stretch: bytes) -> bytes:
+        if stretch.isalpha():  # ASCII letters are one word, and written as they are
+            made = [t.id for t in self.tokenize(stretch.decode())]
+            ids = struct.pack(f"<{len(made)}I", *made)
+        elif stretch[:-1].isalpha() and stretch[-1] < 128:
+            ids = self[stretch[:-1]] + self[stretch[-1:]]  # a word and a sign or digit
+        else:
+            text = stretch.decode()
+            words = _WORDS.findall(text)
+            if words == [text]:
+                made = [t.id for t in self.tokenize(text.translate(self.letters))]
+                ids = struct.pack(f"<{len(made)}I", *made)
+            else:
+                ids = b"".join([self[word.encode()] for word in words])
+        self[stretch] = ids
+        return ids
+
+
 class WordEncoder:
-    """Token ids of texts as little-endian bytes, with each known word's ids kept.
+    """Token ids of texts as little-endian bytes, with those of known stretches kept.
 
-    Latin-1 texts are split here and only new words go to the tokenizer's model.
-    Other texts, texts that may hold special tokens, and all texts if the tokenizer
-    turns out to split a probe in another way, go through the tokenizer whole. The
-    table of words is emptied when it has ``capacity`` entries.
+    Latin-1 texts are cut at white space, and only new stretches are split into words
+    here and go to the tokenizer's model. Other texts, texts that may hold special tokens,
+    and all texts if the tokenizer turns out to split a probe in another way, go through
+    the tokenizer whole. The table is emptied when it has ``capacity`` entries.
     """
 
-    def __init__(self, path: str, capacity: int = 250_000) -> None:
+    def __init__(self, path: str, capacity: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores are Spark's
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.capacity = capacity
-        self.known: dict[str, bytes] = {}
-        self.letters = _byte_letters()
+        self.known = KnownIds(self.tokenizer.model.tokenize)
         marks = "".join(map(chr, range(256)))
         probe = f"{marks} {' '.join(marks)} Don't they'll x's.'d A1²b ÀÉß.x a--b"
         self.splits = self._words([probe]) == [self._whole(probe)]
@@ -77,18 +98,11 @@ class WordEncoder:
         return np.array(ids, dtype="<u4").tobytes()
 
     def _words(self, texts: list[str]) -> list[bytes]:
-        split = [_WORDS.findall(text.lower()) for text in texts]
         if len(self.known) > self.capacity:
             self.known.clear()
-        known, tokenize, letters = self.known, self.model.tokenize, self.letters
-        here = dict.fromkeys(itertools.chain.from_iterable(split))  # small: fits the cache
-        for word in here:
-            ids = known.get(word)
-            if ids is None:
-                made = [t.id for t in tokenize(word.translate(letters))]
-                ids = known[word] = struct.pack(f"<{len(made)}I", *made)
-            here[word] = ids
-        return [b"".join(map(here.__getitem__, words)) for words in split]
+        ids = self.known.__getitem__
+        # Bytes are split at ASCII white space only, which no word holds.
+        return [b"".join(map(ids, text.lower().encode().split())) for text in texts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [

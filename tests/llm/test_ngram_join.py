@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from zoneflow.llm import components as joined
 from zoneflow.llm.ngram_join import Threshold, _told_apart, blocks, keep_one, near_duplicates
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -116,3 +117,23 @@ def test_sets_that_share_one_hash_only(spark):
     known = spark.createDataFrame(rows, "doc_id long, set_id long, check long")
     ids = {r.doc_id: r.set_id for r in _told_apart(known).collect()}
     assert ids[1] == ids[2] != ids[3] and ids[4] == 6
+
+
+def test_components_stop_when_all_hang_on_their_smallest(spark, monkeypatch):
+    """No round is made only to see that nothing moves."""
+    made, real = [], joined.stored
+    monkeypatch.setattr(joined, "stored", lambda df, label: made.append(label) or real(df, label))
+
+    def groups(edges):
+        made.clear()
+        frame = spark.createDataFrame(edges, "a long, b long")
+        return {r.node: r.component for r in joined.components(frame).collect()}
+
+    assert groups([(n, 100) for n in range(100, 140)] + [(7, 9), (9, 7)]) == {n: 100 for n in range(100, 140) if n > 100} | {100: 100, 7: 7, 9: 7}
+    assert len(made) == 2  # the links, and one round
+    rng = random.Random(4)
+    path = list(range(200))
+    rng.shuffle(path)
+    got = groups(list(zip(path, path[1:], strict=False)) + [(300 + n, 300 + (n + 1) % 9) for n in range(9)] + [(500, 500)])
+    assert got == dict.fromkeys(range(200), 0) | dict.fromkeys(range(300, 309), 300)
+    assert groups([]) == {}

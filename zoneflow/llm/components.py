@@ -21,18 +21,11 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     links = stored(both.distinct(), "links")
     done = 0
-    before = None
     while rounds is None or done < rounds:
-        made = stored(_small_star(_large_star(links)), "links")
+        links = stored(_small_star(_large_star(links)), "links")
         done += 1
-        # Unchanged counts and sums of both ends mean that nothing has moved.
-        state = made.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        links = made
-        if state == before:
+        if _are_stars(links):
             break
-        before = state
     hung = links.groupBy("u").agg(F.min("v").alias("v"))
     roots = links.select(F.col("v").alias("u")).distinct().join(hung, "u", "left_anti")
     return hung.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
@@ -40,6 +33,15 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     )
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node hangs on one node that hangs on none: another round moves nothing."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(
+        links.select("v", F.lit(0), F.lit(1))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return nodes.where("hangs > 1 or (hangs = 1 and holds = 1)").isEmpty()
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Larger neighbours of a node hang on the smallest of it and its neighbours."""
     around = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -3,7 +3,9 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import TESTDATA
 from zoneflow.llm import quality, queries, toxicity, url_filter
@@ -120,6 +122,49 @@ def test_quality_features_are_finite():
     assert made.shape == (6, len(quality.FEATURES)) and (abs(made) < 1e6).all()
 
 
+def test_quality_learns_from_every_labelled_document(spark):
+    # The last by the hash that a sample of 12,000 went by are the only ones that show what is bad.
+    ids = spark.range(13_000).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("doc_id")).toPandas()["doc_id"].tolist()
+    plain, odd = "the river and the house of the moon", "||| ### ||| {{}} |||"
+    rows = [(i, odd if at >= 12_500 else plain, int(at < 12_500 and at % 2)) for at, i in enumerate(ids)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.train(both.select("doc_id", "text"), both.select("doc_id", "quality"))
+    odd_score, plain_score = model.raw(quality.text_features([odd, plain]))
+    assert odd_score < plain_score - 1
+
+
+def some_labelled(rng, n):
+    x = np.column_stack([rng.normal(size=(n, len(quality.FEATURES) - 1)), rng.integers(0, 3, n)])
+    return x, (x[:, 0] - x[:, 3] ** 2 + rng.normal(size=n) > -0.5).astype(float)
+
+
+def test_quality_fit_is_that_of_all_pairs(spark, monkeypatch):
+    x, y = some_labelled(np.random.default_rng(4), 300)
+    names = [f"f{i} double" for i in range(len(quality.FEATURES))]
+    frame = spark.createDataFrame(np.column_stack([x, y]).tolist(), ", ".join([*names, "label double"])).repartition(5)
+    few = quality.fit(quality.labelled(frame))
+    monkeypatch.setattr(quality, "FEW_ROWS", 10)
+    far = quality.labelled(frame)
+    assert far.few is None
+    many = quality.fit(far)
+    np.testing.assert_allclose(few.knots, np.quantile(x, np.linspace(0.02, 0.98, quality.KNOTS), axis=0))
+    np.testing.assert_allclose(few.knots, many.knots)
+    deviation = few.parts(x).std(axis=0)
+    np.testing.assert_allclose(few.scale, np.where(deviation > 0, deviation, 1))
+    np.testing.assert_allclose(many.weights, few.weights, atol=1e-8)
+    # The plain loss over all pairs is least there.
+    parts = few.basis(x)
+    diff = (parts[y == 1][:, None] - parts[y == 0]).reshape(-1, parts.shape[1])
+
+    def slope(weights):
+        return -diff.T @ (1 / (1 + np.exp(diff @ weights))) / len(diff) + quality.RIDGE * weights
+
+    assert abs(slope(few.weights)).max() < 1e-5 < 1e-2 < abs(slope(np.zeros(parts.shape[1]))).max()
+    scores = few.raw(x)
+    assert few.cut == pytest.approx(np.quantile(scores, (y == 0).mean()))
+    assert few.spread == pytest.approx(scores.std() / 2)
+
+
 URLS = [
     None, "", "no scheme", "http://", "https://WWW.Example.com/en/x?y#z", "http://shop.example.com/en/", "http://example.com/de/",
     "http://a.net/es/1", "http://net/fr/", "http://anet/fr/", "x://h?p=/en/", "x://h#/en/", "ftp://a.com", "http://com/", "a://b://c.com/x",

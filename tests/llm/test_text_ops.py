@@ -6,6 +6,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import TESTDATA
 from zoneflow.llm import chat, nearest, queries, winnowing
@@ -280,3 +281,19 @@ def test_more_hashes_than_bytes_of_a_code():
     assert made.directions.shape[-1] == 12
     cells = np.random.default_rng(1).integers(-3, 3, size=(5000, 12)).astype(float)
     assert len(np.unique(made.code(cells))) == len(np.unique(cells, axis=0))
+
+
+def test_sample_sent_to_the_driver_does_not_grow_with_the_partitions(spark):
+    vector = F.array(*[F.sin(F.col("id") * (j + 1.5)) for j in range(32)])
+    classes = spark.range(0, 40_000, 1, 40).select(F.col("id").alias("key"), vector.alias("vector"))
+    everything = classes.select("key", "vector", F.xxhash64("vector").alias("hash")).toPandas()
+    sample = np.array(everything.sort_values(["hash", "key"])["vector"].iloc[: nearest.SAMPLE_ROWS].tolist())
+    near = np.sort(nearest._unit(sample) @ nearest._unit(sample).T, axis=1)[:, -6]
+    conf = spark.sparkContext._jsc.sc().conf()
+    # 1,000 rows from each partition are some 12 MB.
+    conf.set("spark.driver.maxResultSize", "4m")
+    try:
+        got = nearest.usual_cosine(classes, 5)
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+    assert got == (pytest.approx(np.median(near)), 32)
